@@ -90,22 +90,36 @@ def near_duplicates(banded: DataFrame, **skew) -> DataFrame:
     return reduce(DataFrame.union, blocked, banded.select("ord").limit(0))
 
 
-def keep_first(records: DataFrame, text: str, params: FilterParams, **skew) -> DataFrame:
-    """Adds ``is_duplicate`` to (ord, <text>, ...); ``ord`` is a unique bigint giving the order.
+def fingerprint(records: DataFrame, text: str, params: FilterParams) -> DataFrame:
+    """Replaces ``text`` by ``_group`` (equal for records one of which must go) and ``bands``.
 
-    The text is read once, for digest and band keys; everything after works on these. Records with
-    equal band lists are reduced to their first beforehand, since the later ones share all its
-    blockers; that covers equal contents too. Records without tokens compare by digest alone.
+    Records with equal band lists share all their blockers, so only the first can stay; that covers
+    equal contents too. Records without tokens, and all records in exact mode, compare by digest.
     """
-    near = params.dedup_method == "minhash"
     group = F.sha2(F.col(text), 256)
-    keyed = records
-    if near:
-        keyed = with_band_keys(keyed, F.col(text), params.dedup_threshold)
+    if params.dedup_method == "minhash":
+        records = with_band_keys(records, F.col(text), params.dedup_threshold)
         group = F.coalesce(F.md5(F.array_join("bands", "")), group)
-    keyed = stage(keyed.withColumn("_group", group).drop(text), "keyed")
+    return records.withColumn("_group", group).drop(text)
+
+
+def keep_first(
+    records: DataFrame,
+    text: str,
+    params: FilterParams,
+    order: list[Column] | None = None,
+    **skew,
+) -> DataFrame:
+    """``records`` without ``text``, plus ``is_duplicate`` and ``ord``.
+
+    ``order`` is a total order of the records; without it they bring a unique bigint ``ord``. The
+    texts are read once; everything after works on fingerprints.
+    """
+    keyed = stage(fingerprint(records, text, params), "keyed")
+    if order is not None:
+        keyed = number_in_order(keyed, order)
     firsts = first_per(keyed, "_group")
-    if near:
+    if params.dedup_method == "minhash":
         banded = firsts.filter(F.col("bands").isNotNull()).select("ord", "bands")
         firsts = firsts.join(near_duplicates(banded, **skew), "ord", "left_anti")
     verdict = firsts.select("ord", F.lit(False).alias("is_duplicate"))
