@@ -167,7 +167,7 @@ class Outcome:
     decisions: list[DataFrame] = field(default_factory=list)
     collected: list[DataFrame] = field(default_factory=list)
     records: dict[str, DataFrame] = field(default_factory=dict)
-    excluded: list[DataFrame] = field(default_factory=list)
+    excluded: list[tuple[str, DataFrame, list[str]]] = field(default_factory=list)
     oversized_files: DataFrame | None = None
 
     def all_decisions(self) -> DataFrame:
@@ -182,19 +182,31 @@ class Outcome:
         parts = [df.withColumn("task", F.lit(t)).select(*columns) for t, df in self.records.items()]
         return reduce(DataFrame.unionByName, parts)
 
-    def excluded_log(self) -> DataFrame:
-        """record_type, record (JSON text of the source record), stage_failed, reason."""
-        return reduce(DataFrame.unionByName, self.excluded)
+    def exclude(self, source: str, df: DataFrame, columns: list[str]) -> None:
+        self.excluded.append((source, df.filter(F.col("reason").isNotNull()), columns))
 
+    def excluded_log(self) -> DataFrame:
+        """source, repo, record (JSON text), stage_failed, reason."""
+        parts = [
+            df.select(
+                F.lit(source).alias("source"),
+                "repo",
+                F.to_json(F.struct(*columns)).alias("record"),
+                "stage_failed",
+                "reason",
+            )
+            for source, df, columns in self.excluded
+        ]
+        return reduce(DataFrame.unionByName, parts)
 
-def _excluded(df: DataFrame, source: str, columns: list[str]) -> DataFrame:
-    failed = df.filter(F.col("reason").isNotNull())
-    return failed.select(
-        F.lit(source).alias("record_type"),
-        F.to_json(F.struct(*columns)).alias("record"),
-        "stage_failed",
-        "reason",
-    )
+    def excluded_lines(self, logged_at: Column) -> DataFrame:
+        """The log as JSON lines with the nested record."""
+        parts = []
+        for _, df, columns in self.excluded:
+            record = F.struct(*columns).alias("record")
+            entry = F.struct(record, "stage_failed", "reason", logged_at.alias("timestamp"))
+            parts.append(df.select(F.to_json(entry).alias("value")))
+        return reduce(DataFrame.union, parts)
 
 
 _COMMIT_RECORD = [
@@ -225,7 +237,7 @@ def _plan_commits(out: Outcome, screened: DataFrame, judged: DataFrame, files: D
     unnested = large.withColumn("files", F.lit(None).cast(nested.schema["files"].dataType))
     for df in (nested, unnested, judged):
         shaped = df.withColumnRenamed("files", "files_changed")
-        out.excluded.append(_excluded(shaped, "commit", _COMMIT_RECORD))
+        out.exclude("commit", shaped, _COMMIT_RECORD)
     out.oversized_files = files.join(large.select(*file_source.KEY), file_source.KEY, "left_semi")
 
 
@@ -234,7 +246,7 @@ def _plan_pulls(out: Outcome, gated: DataFrame, exports: Exports, params: RunPar
     dropped = gated.filter(F.col("reason").isNotNull())
     out.decisions.append(_decision(dropped, "pr", "number", None, F.lit(None)))
     out.collected.append(gated.select("repo", F.lit("pr").alias("source")))
-    out.excluded.append(_excluded(dropped, "pr", _PULL_RECORD))
+    out.exclude("pr", dropped, _PULL_RECORD)
     if params.wants_reviews:
         out.decisions.append(_decision(accepted, "pr", "number", "pr_review", F.lit(1.0)))
         reviewed = review_candidates(accepted, exports, out.output_format)
@@ -244,7 +256,7 @@ def _plan_pulls(out: Outcome, gated: DataFrame, exports: Exports, params: RunPar
         passed = patches.filter(F.col("reason").isNull())
         out.decisions.append(_decision(patches, "pr", "number", "issue_to_patch", F.lit(1.0)))
         out.records["issue_to_patch"] = formats.format_patches(passed, out.output_format)
-        out.excluded.append(_excluded(patches, "pr", _PULL_RECORD))
+        out.exclude("pr", patches, _PULL_RECORD)
 
 
 def plan_run(exports: Exports, params: RunParams, **skew) -> Outcome:

@@ -65,8 +65,8 @@ def run(exports: Exports, params: RunParams, output: str, dry_run: bool = False)
         records = stage(outcome.all_records(), "records")
         records.drop("task").write.mode("overwrite").json(f"{output}/{DATASET_WITH_META}")
         clean(records).write.mode("overwrite").json(f"{output}/{DATASET}")
-        log = outcome.excluded_log().withColumn("timestamp", logged_at)
-        log.write.mode("overwrite").json(f"{output}/{EXCLUDED_LOG}")
+        log = outcome.excluded_lines(logged_at)
+        log.write.mode("overwrite").text(f"{output}/{EXCLUDED_LOG}")
         if outcome.oversized_files is not None:
             outcome.oversized_files.write.mode("overwrite").json(f"{output}/{EXCLUDED_FILES}")
     ended = time.time()
