@@ -58,7 +58,7 @@ def uncomment(expr: str) -> str:
 
 
 def iso(expr: str) -> str:
-    return f"concat(strftime({expr}, '%Y-%m-%dT%H:%M:%S'), '+00:00')"
+    return f"coalesce(strftime({expr}, '%Y-%m-%dT%H:%M:%S') || '+00:00', '')"
 
 
 def first_reason(rules: list[tuple[str, str]]) -> str:
@@ -606,7 +606,7 @@ def _selects() -> dict[str, str]:
         "release_semver": f"SELECT tag_name, regexp_matches(tag_name, {q(fv.SEMVER_TAG)}) AS is_semver FROM fx_releases",
         "release_norm": f"""SELECT tag_name, repo, coalesce(title, '') AS title, coalesce(body, '') AS body,
             regexp_matches(tag_name, {q(fv.SEMVER_TAG)}) AS is_semver,
-            CASE WHEN published_at IS NULL THEN '' ELSE {iso("published_at")} END AS published_at FROM fx_releases""",
+            {iso("published_at")} AS published_at FROM fx_releases""",
         "repo_catalog": catalog,
         "repo_prefilter": f"SELECT * FROM ({catalog}) WHERE visibility = 'public' AND stars >= 3000",
         "branch_catalog": "SELECT DISTINCT branch FROM fx_branches ORDER BY branch",

@@ -22,14 +22,12 @@ def record_columns(output_format: str) -> list[str]:
 
 def commit_diff(files: Column) -> Column:
     """Per-file parts joined by newlines."""
-    path = lambda f: f["filename"]
-    parts = F.transform(
-        files,
-        lambda f: F.concat(
-            F.lit("diff --git a/"), path(f), F.lit(" b/"), path(f), F.lit("\n"), f["diff"]
-        ),
-    )
-    return F.array_join(parts, "\n")
+
+    def part(f: Column) -> Column:
+        name = f["filename"]
+        return F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n"), f["diff"])
+
+    return F.array_join(F.transform(files, part), "\n")
 
 
 def commit_diff_terminated(files: Column) -> Column:
@@ -44,7 +42,7 @@ def _meta(task: str, when: Column, score: Column | None, sha=None, number=None)
         (number if number is not None else F.lit(None).cast("bigint")).alias("pr_number"),
         F.lit(task).alias("task"),
         (score if score is not None else F.lit(None).cast("double")).alias("score"),
-        tx.iso_timestamp(when).alias("timestamp"),
+        F.coalesce(tx.iso_timestamp(when), F.lit("")).alias("timestamp"),
     )
 
 

@@ -37,9 +37,10 @@ def review_signals(sampled: DataFrame) -> DataFrame:
 
     Columns: repo, number, rank, login, system_pos, system, doc_url, signal, by_bot.
     """
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    login = low("author_login")
-    text = F.concat_ws(" ", low("body"), low("title"), login)
+    body, title, login = (
+        F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("body", "title", "author_login")
+    )
+    text = F.concat_ws(" ", body, title, login)
     systems = []
     for pos, (name, signals, bots, url) in enumerate(fv.REVIEW_SYSTEMS):
         systems.append(
