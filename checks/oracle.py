@@ -328,7 +328,8 @@ def _ctes() -> list[tuple[str, str]]:
         ),
         (
             "links",
-            """SELECT repo, number, issue, coalesce(greatest(open_issues * 3, 5000), 100000) AS ceiling
+            """SELECT repo, number, issue, CASE WHEN open_issues IS NULL THEN 100000
+                ELSE greatest(open_issues * 3, 5000) END AS ceiling
             FROM (SELECT repo, number, unnest(links) AS issue FROM pulls)
             LEFT JOIN fx_repo_sizes ON full_name = repo""",
         ),

@@ -89,7 +89,8 @@ def comment_author(author: Column) -> Column:
 def issue_ceiling(open_issues: Column) -> Column:
     """Largest number taken for an issue of this repo; the fallback when the repo is unknown."""
     known = F.greatest(open_issues * fv.ISSUE_CEILING_FACTOR, F.lit(fv.ISSUE_CEILING_MIN))
-    return F.coalesce(known.cast("bigint"), F.lit(fv.ISSUE_CEILING_UNKNOWN).cast("bigint"))
+    ceiling = F.when(open_issues.isNull(), F.lit(fv.ISSUE_CEILING_UNKNOWN)).otherwise(known)
+    return ceiling.cast("bigint")
 
 
 def within_ceiling(digits: Column, ceiling: Column) -> Column:
