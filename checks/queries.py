@@ -15,7 +15,12 @@ from histloom.functions import text as tx
 from histloom.operators import dedup, formats, health, quality, report, split
 from histloom.operators.exclusions import exclusion_rules
 from histloom.operators.rules import first_failing
-from histloom.operators.structure import commit_structure_rules, pull_structure_rules
+from histloom.operators.staging import stage
+from histloom.operators.structure import (
+    commit_structure_rules,
+    pull_structure_rules,
+    with_full_message,
+)
 from histloom.plans import dataset, jobs
 from histloom.sources import catalog, commits, files, pulls
 from histloom.sources.exports import Exports
@@ -109,7 +114,7 @@ def language_detect(spark, sf):
 @query
 def commit_assembly(spark, sf):
     rows = files.normalise_files(view(spark, sf, "fx_order_files"))
-    facts = files.with_file_facts(view(spark, sf, "fx_orders"), rows)
+    facts = stage(files.with_file_facts(view(spark, sf, "fx_orders"), rows), "facts")
     return files.assemble_files(rows, facts, max_files=1000).select(
         "repo",
         "sha",
@@ -321,7 +326,8 @@ for _name in EXCLUSIONS:
 @query
 def structural_commit(spark, sf):
     reason = first_failing(commit_structure_rules(PROFILE.filter))
-    return _with_facts(spark, sf).select("repo", "sha", reason.alias("reason"))
+    described = with_full_message(_with_facts(spark, sf))
+    return described.select("repo", "sha", reason.alias("reason"))
 
 
 @query
@@ -574,7 +580,7 @@ def run_report(spark, sf):
 @query
 def profile_funnel(spark, sf):
     """Stages 1 to 3 of the commit rules under each preset, from one pass over the commits."""
-    rows = _scored(spark, sf)
+    rows = with_full_message(_scored(spark, sf))
     verdicts = []
     for name in pm.profile_names():
         p = pm.profile(name).filter

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histloom.functions import text as tx
@@ -10,14 +10,19 @@ from histloom.operators.rules import Rule
 from histloom.params import FilterParams
 
 
-def full_message() -> Column:
-    """Subject and body without trailers."""
+def with_full_message(commits: DataFrame) -> DataFrame:
+    """Adds ``full_message``: subject and body without trailers.
+
+    A column of its own, since two rules read it and stripping trailers is the costly part.
+    """
     body = tx.strip_trailers(F.col("message_body"))
-    return tx.strip(F.concat("message_subject", F.lit("\n"), body))
+    message = tx.strip(F.concat("message_subject", F.lit("\n"), body))
+    return commits.withColumn("full_message", message)
 
 
 def commit_structure_rules(p: FilterParams) -> list[Rule]:
-    message = full_message()
+    """Needs full_message and the file facts."""
+    message = F.col("full_message")
     rules = [
         ("message_too_short", tx.count_words(message) < p.min_commit_message_words),
         ("message_too_long", F.length(message) > p.max_commit_message_chars),

@@ -19,7 +19,11 @@ from histloom.operators.exclusions import exclusion_rules
 from histloom.operators.quality import quality_rules, with_scores
 from histloom.operators.rules import Rule, first_failing
 from histloom.operators.staging import stage
-from histloom.operators.structure import commit_structure_rules, pull_structure_rules
+from histloom.operators.structure import (
+    commit_structure_rules,
+    pull_structure_rules,
+    with_full_message,
+)
 from histloom.params import FilterParams, RunParams
 from histloom.sources import commits as commit_source
 from histloom.sources import files as file_source
@@ -43,10 +47,9 @@ def decide(df: DataFrame, stages: list[tuple[str, list[Rule]]]) -> DataFrame:
 
 def screen_commits(commits: DataFrame, files: DataFrame, p: FilterParams) -> DataFrame:
     """Stages 1 and 2 from the commit row and its file counts; no diff text leaves its task."""
-    with_facts = file_source.with_file_facts(commits, files)
-    return decide(
-        with_facts, [("stage1", exclusion_rules(p)), ("stage2", commit_structure_rules(p))]
-    )
+    described = with_full_message(file_source.with_file_facts(commits, files))
+    stages = [("stage1", exclusion_rules(p)), ("stage2", commit_structure_rules(p))]
+    return decide(described, stages).drop("full_message")
 
 
 def score_commits(screened: DataFrame, files: DataFrame, p: FilterParams) -> DataFrame:

@@ -20,6 +20,7 @@ DATASET_WITH_META = "dataset_with_meta.jsonl"
 EXCLUDED_LOG = "excluded_log.jsonl"
 EXCLUDED_FILES = "excluded_files.jsonl"
 REPORT = "run_report.json"
+REPOS = "repos_processed.jsonl"
 
 
 def only_repos(exports: Exports, repos: DataFrame) -> Exports:
@@ -86,6 +87,8 @@ def run(exports: Exports, params: RunParams, output: str, dry_run: bool = False)
     )
     if not dry_run:
         row.write.mode("overwrite").json(f"{output}/{REPORT}")
+        repos = report.repos_processed(outcome.all_collected())
+        repos.write.mode("overwrite").json(f"{output}/{REPOS}")
     return row
 
 

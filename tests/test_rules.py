@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 from histloom.operators import quality
 from histloom.operators.exclusions import exclusion_rules
 from histloom.operators.rules import first_failing
-from histloom.operators.structure import commit_structure_rules, pull_structure_rules
+from histloom.operators.structure import (
+    commit_structure_rules,
+    pull_structure_rules,
+    with_full_message,
+)
 from histloom.params import FilterParams
 from histloom.sources.files import assemble_files
 
@@ -70,6 +74,7 @@ def test_exclusion_toggles(make_commit):
 )
 def test_commit_structure(make_commit, fields, reason):
     frame, _ = make_commit(**fields)
+    frame = with_full_message(frame)
     got = frame.select(first_failing(commit_structure_rules(P))).first()[0]
     assert got == (reason and f"structural:{reason}")
 
