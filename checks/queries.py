@@ -41,12 +41,14 @@ def query(fn: Query) -> Query:
 # ---- shared frames ------------------------------------------------------------------------
 
 
+def _raw_commits(spark, sf) -> DataFrame:
+    one, two = F.array(F.lit("p")), F.array(F.lit("p"), F.lit("q"))
+    parents = F.when(F.col("doc_id") % 37 == 0, two).otherwise(one)
+    return view(spark, sf, "fx_commits").withColumn("parent_shas", parents)
+
+
 def _commits(spark, sf) -> DataFrame:
-    raw = view(spark, sf, "fx_commits").withColumn(
-        "parent_shas",
-        F.when(F.col("doc_id") % 37 == 0, F.array(F.lit("p"), F.lit("q"))).otherwise(F.array(F.lit("p"))),
-    )
-    return commits.normalise_commits(raw)
+    return commits.normalise_commits(_raw_commits(spark, sf))
 
 
 def _files(spark, sf) -> DataFrame:
@@ -68,12 +70,8 @@ def _pulls(spark, sf) -> DataFrame:
 
 
 def _exports(spark, sf) -> Exports:
-    raw = view(spark, sf, "fx_commits").withColumn(
-        "parent_shas",
-        F.when(F.col("doc_id") % 37 == 0, F.array(F.lit("p"), F.lit("q"))).otherwise(F.array(F.lit("p"))),
-    )
     return Exports(
-        commits=raw,
+        commits=_raw_commits(spark, sf),
         file_changes=view(spark, sf, "fx_files"),
         pull_requests=view(spark, sf, "fx_pulls").withColumn(
             "labels", F.array().cast("array<string>")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histloom.operators import health as health_ops
 from histloom.operators import report, split
+from histloom.operators.dedup import number_in_order
 from histloom.operators.staging import stage
 from histloom.params import RunParams
 from histloom.plans.dataset import plan_run
@@ -92,16 +93,42 @@ def run(exports: Exports, params: RunParams, output: str, dry_run: bool = False)
     return row
 
 
+def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines (``value``) with their position ``ord`` by file name and place in the file.
+
+    A reader's numbers only grow within one block of a file, so blocks are ordered by their offset.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("within"),
+    )
+    numbered = number_in_order(lines, [F.col("file"), F.col("block"), F.col("within")])
+    return numbered.select("ord", "value")
+
+
 def split_dataset(
     lines: DataFrame,
     output: str,
     eval_ratio: float = 0.1,
     seed: int = 42,
+    order: str | None = None,
     train_name: str = "train.jsonl",
     eval_name: str = "eval.jsonl",
 ) -> tuple[int, int]:
-    """Write train and eval sets of the text lines in seeded random order; returns their sizes."""
-    train, held_out = split.split_lines(lines, eval_ratio, seed)
-    for part, name in ((train, train_name), (held_out, eval_name)):
-        part.orderBy("key").select("value").write.mode("overwrite").text(f"{output}/{name}")
-    return split.split_sizes(split.non_blank(lines).count(), eval_ratio)
+    """Write train and eval sets of the non-blank text lines (``value``); returns their sizes.
+
+    In seeded random order, or, with an ``order`` column (see lines_in_order), in that order with
+    its tail as eval.
+    """
+    lines = split.non_blank(lines)
+    if order is None:
+        key = "key"
+        sides = split.split_lines(lines, eval_ratio, seed)
+    else:
+        key = order
+        sides = split.split_in_order(lines, order, eval_ratio)
+    for part, name in zip(sides, (train_name, eval_name)):
+        part.orderBy(key).select("value").write.mode("overwrite").text(f"{output}/{name}")
+    return split.split_sizes(lines.count(), eval_ratio)

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from histloom.operators import split
-from histloom.plans.jobs import split_dataset
+from histloom.plans.jobs import lines_in_order, split_dataset
 
 
 @pytest.mark.parametrize("total, ratio, sizes", [
@@ -64,3 +64,18 @@ def test_split_files(spark, tmp_path):
     assert split_dataset(df, str(tmp_path), 0.2) == (80, 20)
     assert spark.read.text(str(tmp_path / "train.jsonl")).count() == 80
     assert spark.read.text(str(tmp_path / "eval.jsonl")).count() == 20
+
+
+def test_unshuffled_files_keep_their_order(spark, tmp_path):
+    lines = [f'{{"line": {i}}}' for i in range(3000)]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines) + "\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)  # several blocks per file
+    try:
+        numbered = lines_in_order(spark, str(tmp_path / "in.jsonl"))
+        got = [r["value"] for r in numbered.orderBy("ord").collect() if r["value"]]
+        assert got == lines
+        assert split_dataset(numbered, str(tmp_path), 0.2, order="ord") == (2400, 600)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    tail = {r["value"] for r in spark.read.text(str(tmp_path / "eval.jsonl")).collect()}
+    assert tail == set(lines[2400:])
