@@ -127,12 +127,11 @@ def format_reviews(pulls: DataFrame, output_format: str) -> DataFrame:
 def issue_context() -> Column:
     """Issue blocks and description without HTML comments; the title only if nothing is left."""
     issues = F.transform("linked_issue_bodies", tx.strip_html_comments)
-    description = tx.strip_html_comments(F.col("body"))
-    labelled = F.when(description == "", F.lit("")).otherwise(
-        F.concat(F.lit("PR Description:\n"), description)
-    )
+    # Null for an empty description, so that neither text is computed twice.
+    description = F.nullif(tx.strip_html_comments(F.col("body")), F.lit(""))
+    labelled = F.coalesce(F.concat(F.lit("PR Description:\n"), description), F.lit(""))
     parts = F.filter(F.concat(issues, F.array(labelled)), lambda part: part != "")
-    return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(F.col("title"))
+    return F.coalesce(F.nullif(F.array_join(parts, "\n\n"), F.lit("")), F.col("title"))
 
 
 def format_patches(pulls: DataFrame, output_format: str) -> DataFrame:

@@ -106,3 +106,27 @@ def test_health(spark):
     assert (got["empty"]["total_sampled"], got["empty"]["merge_rate"]) == (0, 0.0)
     left = [r[0] for r in health.drop_flagged(names, result).collect()]
     assert left == ["native"]
+
+
+def test_issue_joins_do_not_depend_on_salting(spark):
+    pulls_df = spark.createDataFrame(
+        [("r", n, ["1", "2", str(n)]) for n in range(3, 60)] + [("q", 1, ["1", "6000"])],
+        "repo string, number bigint, linked_issue_numbers array<string>",
+    )
+    repos = spark.createDataFrame([("r", 10)], "full_name string, open_issues bigint")
+    issues = spark.createDataFrame(
+        [("r", 1, "one"), ("r", 2, ""), ("r", 7, "seven"), ("q", 1, "q one"), ("q", 6000, "far")],
+        "repo string, number bigint, body string",
+    )
+
+    def blocks(**skew):
+        links = pulls.links_with_ceiling(pulls.issue_links(pulls_df), repos, **skew)
+        resolved = pulls.resolve_issues(links, issues, **skew)
+        rows = pulls.attach_issue_blocks(pulls_df, resolved).collect()
+        return {(r["repo"], r["number"]): r["linked_issue_bodies"] for r in rows}
+
+    plain, salted = blocks(), blocks(min_rows=2)
+    assert plain == salted and len(plain) == 58
+    assert plain["r", 7] == ["Issue #1:\none", "Issue #7:\nseven"]
+    assert plain["r", 8] == ["Issue #1:\none"]
+    assert plain["q", 1] == ["Issue #1:\nq one", "Issue #6000:\nfar"]
