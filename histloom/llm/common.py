@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from histloom.operators.staging import stage
-
-__all__ = ["by_value", "fresh", "numbered", "row_hash", "stage", "table"]
+from histloom.operators.staging import staging_root
 
 BUCKETS = 4096
 
@@ -20,6 +19,18 @@ def by_value(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path nobody else uses in the folder that the session shares."""
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: short lineage, safe to lose tasks."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,33 +47,36 @@ def row_hash(df: DataFrame, *more: Column) -> Column:
     """64-bit hash of the row's hashable columns; equal rows have equal hashes."""
     usable = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()
               and f.dataType.simpleString() != "variant"]
-    return F.xxhash64(*usable, *more)
+    return F.xxhash64(*more, *usable)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], share: Column, name: str,
-             buckets: int = BUCKETS) -> DataFrame:
+def numbered(
+    df: DataFrame, group: list[str], order: list[str], share: Column, name: str,
+    size: str | None = None, buckets: int = BUCKETS,
+) -> DataFrame:
     """Position from 0 of each row within its group, without a task that holds a whole group.
 
     ``share`` is in [0, 1) and grows with ``order``; it deals the rows of a group to ``buckets``
     consecutive slices. Slices are counted, offsets are running sums over counts, and only the
-    rows of one slice are sorted together. ``df`` is evaluated twice: pass a staged frame.
+    rows of one slice are sorted together. Group columns must not be null. ``df`` is evaluated
+    twice: pass a staged frame. ``size`` also adds the number of rows in the group.
     """
+    columns = df.columns
     slice_ = F.least(F.floor(share * buckets).cast("int"), F.lit(buckets - 1))
     df = df.withColumn("_slice", slice_)
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*group, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    within = Window.partitionBy(*group, "_slice").orderBy(*order)
+    keys = [*group, "_slice"]
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("_size"),
+    )
+    within = Window.partitionBy(*keys).orderBy(*order)
     placed = df.withColumn("_place", F.row_number().over(within) - 1)
-    condition = F.lit(True)
-    for c in [*group, "_slice"]:
-        condition = condition & placed[c].eqNullSafe(offsets[c])
-    joined = placed.join(offsets, condition, "left")
-    return joined.select(
-        *[placed[c] for c in df.columns if c != "_slice"],
-        (offsets["_before"] + placed["_place"]).cast("long").alias(name),
+    more = [F.col("_size").alias(size)] if size else []
+    return placed.join(offsets, keys).select(
+        *[F.col(f"`{c}`") for c in columns],
+        (F.col("_before") + F.col("_place")).cast("long").alias(name),
+        *more,
     )

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.session import with_folder
-from histloom.llm import decontaminate
-from histloom.llm.common import table
+from histloom.llm import (
+    decontaminate,
+    materialise,
+    packing,
+    privacy,
+    quality,
+    sharding,
+    simhash,
+)
+from histloom.llm.common import fresh_folder, table
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +34,46 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_decontaminate": op9_decontaminate}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_folder(spark)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_folder(spark)
+    return sharding.shard_rows(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_folder(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op5_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of every sequence with the checksum of its record as read from the shards."""
+    with_folder(spark)
+    path = fresh_folder(spark, "shards")
+    index = materialise.materialise(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    records = materialise.read_shards(spark, path).select("slot", "ids_crc32")
+    return index.join(records, "slot")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_folder(spark)
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_folder(spark)
+    return privacy.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_quality": op6_quality, "op8_privacy": op8_privacy, "op4_packing": op4_packing, "op5_materialise": op5_materialise, "op10_sharding": op10_sharding, "op3_simhash": op3_simhash, "op9_decontaminate": op9_decontaminate}
