@@ -109,9 +109,12 @@ def statistics(text: str | None) -> list[float]:
     return [values[k] for k in STATISTICS]
 
 
-@F.pandas_udf("array<double>")
-def _statistics_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([statistics(t) for t in texts])
+def _measured(text: Column) -> Column:
+    @F.pandas_udf("array<double>")
+    def udf(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t) for t in texts])
+
+    return udf(text)
 
 
 @dataclass(frozen=True)
@@ -209,7 +212,7 @@ def _scored(model: Model | None, column: Column, from_text: bool) -> Column:
 
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, x), written once: the statistics are small beside the texts."""
-    x = _statistics_udf(F.col(f"`{text}`"))
+    x = _measured(F.col(f"`{text}`"))
     return stage(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), x.alias("x")), "statistics")
 
 

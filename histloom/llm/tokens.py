@@ -11,7 +11,7 @@ by_value(__name__)
 
 END_ID = 1
 # Words whose ids a task remembers. Only speed depends on it.
-_REMEMBERED = 400_000
+_REMEMBERED = 600_000
 # Words of a text that are looked up at a time; fewer than are remembered.
 _PART = 100_000
 
