@@ -1,7 +1,7 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
 Each class has a mean and a covariance of transformed statistics, shrunk towards the pooled
-diagonal. A score is the logistic of the difference of Gaussian log densities (Mahalanobis
+diagonal; statistics of very short texts are drawn towards the training mean first. A score is the logistic of the difference of Gaussian log densities (Mahalanobis
 distances through cached Cholesky factors) plus the log odds of the classes. The model is fitted
 on every labelled training document: only sums and products of statistics leave the tasks.
 
@@ -33,6 +33,8 @@ RIDGE = 1e-3
 # Log odds are divided by this before the logistic, so that scores keep their order in doubles.
 SOFTNESS = 4.0
 THRESHOLD = 0.3
+# Statistics of a document with this many words count half, the training mean the other half.
+STEADY_WORDS = 5.0
 FOLDS = 5
 _SLICE = 1_000_000
 _SPACE = re.compile(r"\s")
@@ -117,17 +119,24 @@ def _measured(text: Column) -> Column:
     return udf(text)
 
 
+def steadied(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Statistics of few words drawn towards the training mean; the word count itself goes."""
+    words = np.expm1(x[:, :1])
+    return (centre + (x - centre) * (words / (words + STEADY_WORDS)))[:, 1:]
+
+
 @dataclass(frozen=True)
 class Model:
-    """Per class (0, 1): mean, inverse Cholesky factor, half log determinant; log prior odds."""
+    """Training mean; per class (0, 1) mean, inverse Cholesky factor, half log determinant."""
 
+    centre: np.ndarray
     means: np.ndarray
     whiten: np.ndarray
     half_logdet: np.ndarray
     log_odds: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        density = []
+        x, density = steadied(x, self.centre), []
         for k in (0, 1):
             z = (x - self.means[k]) @ self.whiten[k].T
             density.append(-0.5 * (z * z).sum(axis=1) - self.half_logdet[k])
@@ -135,11 +144,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
 
 
-def model_from(moments: dict[int, np.ndarray]) -> Model | None:
-    """Class models from [n, sums, products] per class; None if a class is missing."""
-    d = len(STATISTICS)
-    if any(k not in moments or moments[k][0] < 2 for k in (0, 1)):
-        return None
+def model_from(centre: np.ndarray, moments: dict[int, np.ndarray]) -> Model:
+    """Class models from [n, sums, products] of steadied statistics per class."""
+    d = len(STATISTICS) - 1
     counts = np.array([moments[k][0] for k in (0, 1)])
     means = np.array([moments[k][1 : d + 1] / moments[k][0] for k in (0, 1)])
     covs = [moments[k][d + 1 :].reshape(d, d) / counts[k] - np.outer(means[k], means[k])
@@ -152,7 +159,7 @@ def model_from(moments: dict[int, np.ndarray]) -> Model | None:
         whiten.append(np.linalg.inv(factor))
         half.append(np.log(np.diag(factor)).sum())
     odds = float(np.log(counts[1] / counts[0]))
-    return Model(means, np.array(whiten), np.array(half), odds)
+    return Model(centre, means, np.array(whiten), np.array(half), odds)
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -160,11 +167,15 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == 0
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _moments(
+    batches: Iterator[pa.RecordBatch], centre: np.ndarray | None
+) -> Iterator[pa.RecordBatch]:
+    """Per class of this task: count, sums, products, as (label, place, value) rows."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         label = batch.column(0).to_numpy(zero_copy_only=False)
-        x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+        x = batch.column(1).flatten().to_numpy().reshape(-1, len(STATISTICS))
+        x = x if centre is None else steadied(x, centre)
         for k in (0, 1):
             mine = x[label == k]
             if len(mine):
@@ -188,15 +199,23 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality") -> Model
         .select("doc_id", "label")
     )
     train = measured.filter(~held_out(F.col("doc_id"))).join(votes, "doc_id")
-    parts = train.select(F.col("label").cast("int"), "x").mapInArrow(
-        _moments, "label int, place int, value double"
-    )
-    rows = parts.groupBy("label", "place").agg(F.sum("value").alias("value")).collect()
-    size = 1 + len(STATISTICS) + len(STATISTICS) ** 2
-    moments: dict[int, np.ndarray] = {}
-    for r in rows:  # two classes of fixed size
-        moments.setdefault(r.label, np.zeros(size))[r.place] = r.value
-    return model_from(moments)
+    train = train.select(F.col("label").cast("int"), "x")
+
+    def total(centre: np.ndarray | None) -> dict[int, np.ndarray]:
+        parts = train.mapInArrow(lambda b: _moments(b, centre), "label int, place int, value double")
+        moments: dict[int, np.ndarray] = {}
+        d = len(STATISTICS) - (centre is not None)
+        # Two classes of fixed size.
+        for r in parts.groupBy("label", "place").agg(F.sum("value").alias("value")).collect():
+            moments.setdefault(r.label, np.zeros(1 + d + d * d))[r.place] = r.value
+        return moments
+
+    raw = total(None)
+    if any(k not in raw or raw[k][0] < 2 for k in (0, 1)):
+        return None
+    sums = raw[0] + raw[1]
+    centre = sums[1 : len(STATISTICS) + 1] / sums[0]
+    return model_from(centre, total(centre))
 
 
 def _scored(model: Model | None, column: Column, from_text: bool) -> Column:
