@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks.session import with_folder
 from histloom.llm import (
     decontaminate,
+    html_text,
     materialise,
     packing,
     privacy,
@@ -34,6 +35,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_folder(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -76,4 +82,13 @@ def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_quality": op6_quality, "op8_privacy": op8_privacy, "op4_packing": op4_packing, "op5_materialise": op5_materialise, "op10_sharding": op10_sharding, "op3_simhash": op3_simhash, "op9_decontaminate": op9_decontaminate}
+QUERIES = {
+    "op1_html": op1_html,
+    "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op5_materialise": op5_materialise,
+    "op6_quality": op6_quality,
+    "op8_privacy": op8_privacy,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_sharding": op10_sharding,
+}
