@@ -16,6 +16,7 @@ from histloom.llm import (
     quality,
     sharding,
     simhash,
+    topk,
 )
 from histloom.llm.common import fresh_folder, table
 
@@ -40,6 +41,16 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all rows for every row whose id divides by 50."""
+    with_folder(spark)
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v")
+    )
+    vectors = vectors.filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    return topk.top_k(vectors.filter("id % 50 = 0"), vectors)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_folder(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -84,6 +95,7 @@ def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html": op1_html,
+    "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_materialise": op5_materialise,
