@@ -130,15 +130,24 @@ def _joined_hits(docs: DataFrame, words: str, hits: str, windows: DataFrame) ->
     )
 
 
+def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row, whatever filters and uses come after.
+
+    Filters on a plain column would be pushed below it and repeat its expression inside lambdas.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def with_hits(
     docs: DataFrame, text: str, windows: DataFrame, words: str, hits: str,
     set_limit: int = SET_LIMIT,
 ) -> DataFrame:
     """Add ``words`` (normalised) and ``hits``, the sorted (pos, length) of every occurrence."""
-    docs = docs.withColumn(words, normalised_words(F.col(f"`{text}`")))
+    docs = _computed(docs, {words: normalised_words(F.col(f"`{text}`"))})
     found = windows.select("length", "hash", "ends", "words").limit(set_limit + 1).collect()
     if len(found) <= set_limit:
-        return docs.withColumn(hits, _literal_hits(words, found))
+        return _computed(docs, {hits: _literal_hits(words, found)})
     return _joined_hits(docs, words, hits, windows)
 
 
@@ -189,26 +198,49 @@ def contamination(
     )
 
 
+def _kept_runs(hits: str, n_words: Column) -> Column:
+    """Runs (first, last + 1) of words outside of the sorted hits."""
+    run = "array<struct<first:int,stop:int>>"
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(run).alias("runs"))
+
+    def add(seen: Column, hit: Column) -> Column:
+        one = F.array(F.struct(seen["end"].alias("first"), hit["pos"].alias("stop")))
+        runs = F.when(hit["pos"] > seen["end"], F.concat(seen["runs"], one)).otherwise(seen["runs"])
+        end = F.greatest(seen["end"], hit["pos"] + hit["length"])
+        return F.struct(end.alias("end"), runs.alias("runs"))
+
+    def close(seen: Column) -> Column:
+        last = F.array(F.struct(seen["end"].alias("first"), n_words.alias("stop")))
+        return F.concat(seen["runs"], last)
+
+    return F.aggregate(hits, start, add, close)
+
+
 def without_hits(text: Column, hits: str) -> Column:
-    """``text`` without its hit words; what stood between two kept words stays."""
+    """``text`` without its hit words; each kept word keeps what stands before it."""
     cased = F.filter(F.split(text, CASED_SEPARATORS), lambda w: w != "")
-    # What stands before each word, and after the last one.
     gaps = F.regexp_extract_all(
         F.concat(F.lit(" "), text, F.lit(" ")), F.lit(CASED_SEPARATORS), F.lit(0)
     )
-    hit = F.flatten(
-        F.transform(hits, lambda h: F.sequence(h["pos"], h["pos"] + h["length"] - 1))
-    )
-    gone = F.map_from_entries(
-        F.transform(F.array_distinct(hit), lambda p: F.struct(p, F.lit(True)))
-    )
+    # One more gap than words: the last piece is what follows the last word.
     pieces = F.transform(
         F.arrays_zip(gaps.alias("gap"), cased.alias("word")),
-        lambda z, i: F.when(
-            F.coalesce(gone[i], F.lit(False)), F.lit("")
-        ).otherwise(F.concat(z["gap"], F.coalesce(z["word"], F.lit("")))),
-    )
-    return F.trim(F.array_join(pieces, ""))
+        lambda z: F.concat(z["gap"], F.coalesce(z["word"], F.lit(""))),
+    )
+    # Bound as a lambda's argument, the pieces are made once and not once per run.
+    joined = F.transform(
+        F.array(pieces),
+        lambda p: F.array_join(
+            F.flatten(
+                F.transform(
+                    _kept_runs(hits, F.size(p)),
+                    lambda r: F.slice(p, r["first"] + 1, r["stop"] - r["first"]),
+                )
+            ),
+            "",
+        ),
+    )
+    return F.trim(F.get(joined, F.lit(0)))
 
 
 def decontaminate(
@@ -222,8 +254,9 @@ def decontaminate(
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     words, hits, n_hit = fresh(docs, "_words"), fresh(docs, "_hits"), fresh(docs, "_n_hit")
-    scanned = with_hits(docs, text, windows_of(benchmark, item, item_text, window), words, hits,
-                        set_limit).withColumn(n_hit, words_hit(hits))
+    windows = windows_of(benchmark, item, item_text, window)
+    scanned = with_hits(docs, text, windows, words, hits, set_limit)
+    scanned = _computed(scanned, {n_hit: words_hit(hits)})
     kept = scanned.filter(F.col(n_hit) <= F.size(words) * F.lit(max_hit_share))
     cleaned = F.when(F.col(n_hit) == 0, F.col(f"`{text}`")).otherwise(
         without_hits(F.col(f"`{text}`"), hits)
