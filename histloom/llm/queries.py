@@ -14,6 +14,7 @@ from histloom.llm import (
     packing,
     privacy,
     quality,
+    repeats,
     sharding,
     simhash,
     topk,
@@ -88,6 +89,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_folder(spark)
+    return repeats.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_folder(spark)
     return privacy.personal_data(table(spark, sf_dir, "documents"))
@@ -100,6 +106,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_materialise": op5_materialise,
     "op6_quality": op6_quality,
+    "op7_repeats": op7_repeats,
     "op8_privacy": op8_privacy,
     "op9_decontaminate": op9_decontaminate,
     "op10_sharding": op10_sharding,
