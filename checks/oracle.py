@@ -687,7 +687,7 @@ def _selects() -> dict[str, str]:
         "repo_health": f"SELECT * FROM {HEALTH}",
         "healthy_repos": f"SELECT repo AS full_name FROM {HEALTH} WHERE is_native",
         "train_eval_split": f"""SELECT value, side, count(*) AS n_lines
-            FROM ({_split("md5(concat('42|', value))", "value")}) GROUP BY value, side""",
+            FROM ({_split("md5(concat('42|', line_no))", "value")}) GROUP BY value, side""",
         "train_eval_split_ordered": _split("line_no", "line_no, value"),
     }
     for name in EXCLUSIONS:
@@ -707,8 +707,10 @@ def all_sql() -> dict[str, str]:
                 if n not in needed:
                     needed.add(n)
                     todo.append(ctes[n])
-        # The walk visits its rows once per record: compute them once.
-        kind = {n: "AS MATERIALIZED" if n.endswith("_rows") else "AS" for n in names}
+        # The walk visits its rows once per record, and these are read by several others: compute
+        # them once.
+        once = {"facts", "described", "scored"}
+        kind = {n: "AS MATERIALIZED" if n.endswith("_rows") or n in once else "AS" for n in names}
         parts = ",\n".join(f"{n} {kind[n]} ({ctes[n]})" for n in names if n in needed)
         result[query] = f"WITH RECURSIVE {parts}\n{select}" if parts else select
     return result

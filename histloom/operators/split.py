@@ -2,8 +2,8 @@
 
 The cut position is known from the row count, so only the row *at* the cut has to be found. That
 is done by counting: rows per slice of the order, then per slice of the slice that holds the cut,
-until the cut lies between two slices or inside one order value. Rows are never sorted, moved or
-numbered; each is told apart by comparing its own order value with the cut.
+until the cut lies between two slices. Every row has an order value of its own, also among copies of
+one line, and is told apart by comparing that value with the cut.
 """
 
 from __future__ import annotations
@@ -22,29 +22,28 @@ _STEP = 4  # hex digits per pass, 16 ** 4 == SLICES
 
 def split_sizes(total: int, eval_ratio: float) -> tuple[int, int]:
     """(train, eval): half-even rounding, at least one each where the ratio leaves room for it."""
-    n_eval = round(total * eval_ratio)
-    if eval_ratio > 0 and n_eval == 0 and total > 1:
-        n_eval = 1
-    if eval_ratio < 1.0 and n_eval == total and total > 1:
-        n_eval = total - 1
+    several = total > 1
+    least, most = int(several and eval_ratio > 0), total - int(several and eval_ratio < 1)
+    n_eval = min(max(round(total * eval_ratio), least), most)
     return total - n_eval, n_eval
 
 
 @dataclass(frozen=True)
 class Cut:
-    """Values below ``value`` are train, above are eval; of the rows equal to it, ``take`` train."""
+    """Values below ``value`` are train, the others eval; None: all train. Sizes of both sides."""
 
     value: str | int | None
-    take: int = 0
+    n_train: int
+    n_eval: int
 
 
 def non_blank(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.filter(tx.strip(F.col(column)) != "")
 
 
-def shuffle_key(line: Column, seed: int) -> Column:
-    """Position in the seeded order. Equal lines share one key: they are interchangeable."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), line))
+def shuffle_key(position: Column, seed: int) -> Column:
+    """Place of a row in the seeded order. Positions are unique, so copies of a line part ways."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), position.cast("string")))
 
 
 def _counts(df: DataFrame, slice_of: Column) -> list:
@@ -62,85 +61,73 @@ def _locate(counts: list, rank: int) -> tuple:
     raise ValueError("rank beyond the last row")
 
 
-def find_digest_cut(df: DataFrame, key: str, n_train: int) -> Cut:
-    """Cut of an order by 32-digit hexadecimal text."""
-    prefix, rank = "", n_train
-    inside = df.select(key)
-    while len(prefix) < 32:
-        width = len(prefix) + _STEP
-        counts = _counts(inside, F.substring(key, 1, width))
-        if not counts or rank >= sum(n for _, n in counts):
-            return Cut(None)
+def find_digest_cut(df: DataFrame, key: str, eval_ratio: float) -> Cut:
+    """Cut of an order by unique 32-digit hexadecimal text; sizes come from the first counts."""
+    prefix, sizes, inside = "", None, df.select(key)
+    while True:
+        counts = _counts(inside, F.substring(key, 1, len(prefix) + _STEP))
+        if sizes is None:
+            sizes = split_sizes(sum(n for _, n in counts), eval_ratio)
+            rank = sizes[0]
+            if sizes[1] == 0:
+                return Cut(None, *sizes)
         prefix, rank = _locate(counts, rank)
-        inside = inside.filter(F.startswith(F.col(key), F.lit(prefix)))
         if rank == 0:
             # Everything from the first row of this slice on is eval.
-            return Cut(prefix)
-    return Cut(prefix, rank)
+            return Cut(prefix, *sizes)
+        if len(prefix) >= 32:
+            raise ValueError(f"order column {key} is not unique")
+        inside = inside.filter(F.startswith(F.col(key), F.lit(prefix)))
 
 
-def find_integer_cut(df: DataFrame, key: str, n_train: int) -> Cut:
+def find_integer_cut(df: DataFrame, key: str, eval_ratio: float) -> Cut:
     """Cut of an order by a unique integer column."""
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return Cut(None)
-    rank, inside = n_train, df.select(key)
+        return Cut(None, 0, 0)
+    sizes, inside = None, df.select(key)
     while True:
         width = max(1, -(-(high - low + 1) // SLICES))
         # Decimals, as the range of a bigint column may not fit a bigint.
         offset = F.expr(f"(cast(`{key}` as decimal(38,0)) - {low}BD) div {width}BD")
         counts = _counts(inside, offset)
-        if rank >= sum(n for _, n in counts):
-            return Cut(None)
+        if sizes is None:
+            sizes = split_sizes(sum(n for _, n in counts), eval_ratio)
+            rank = sizes[0]
+            if sizes[1] == 0:
+                return Cut(None, *sizes)
         s, rank = _locate(counts, rank)
         low, high = low + s * width, min(high, low + (s + 1) * width - 1)
         if rank == 0:
-            return Cut(low)
+            return Cut(low, *sizes)
         if low == high:
             raise ValueError(f"order column {key} is not unique")
         inside = inside.filter(F.col(key).between(low, high))
 
 
-def _sides(rows: DataFrame, key: str, cut: Cut) -> tuple[DataFrame, DataFrame]:
+def sides(rows: DataFrame, key: str, cut: Cut) -> tuple[DataFrame, DataFrame]:
+    if cut.n_train + cut.n_eval == 0:
+        raise ValueError("no rows to split")
     if cut.value is None:
         return rows, rows.filter(F.lit(False))
     return rows.filter(F.col(key) < F.lit(cut.value)), rows.filter(F.col(key) >= F.lit(cut.value))
 
 
+def seeded(lines: DataFrame, position: str, seed: int = 42) -> DataFrame:
+    """Non-blank lines with ``key``, their place in the seeded order; ``position`` is unique."""
+    return non_blank(lines).withColumn("key", shuffle_key(F.col(position), seed))
+
+
 def split_lines(
-    lines: DataFrame, eval_ratio: float = 0.1, seed: int = 42, column: str = "value"
+    lines: DataFrame, position: str, eval_ratio: float = 0.1, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, eval) of non-blank lines in a seeded order; both keep the order key as ``key``.
-
-    Where the cut falls among copies of one line, that line's copies are handed out by number:
-    they are equal, so they are written from a range instead of being picked.
-    """
-    rows = non_blank(lines, column).select(column, shuffle_key(F.col(column), seed).alias("key"))
-    total = rows.count()
-    if total == 0:
-        raise ValueError("no lines to split")
-    n_train, _ = split_sizes(total, eval_ratio)
-    cut = find_digest_cut(rows, "key", n_train)
-    train, held_out = _sides(rows, "key", cut)
-    if cut.take == 0:
-        return train, held_out
-    at_cut = rows.filter(F.col("key") == cut.value)
-    line, copies = at_cut.groupBy(column).count().first()
-
-    def repeated(n: int) -> DataFrame:
-        made = lines.sparkSession.range(n)
-        return made.select(F.lit(line).alias(column), F.lit(cut.value).alias("key"))
-
-    above = held_out.filter(F.col("key") != cut.value)
-    return train.union(repeated(cut.take)), above.union(repeated(copies - cut.take))
+    """(train, eval) of non-blank lines in a seeded order of their positions."""
+    rows = seeded(lines, position, seed)
+    return sides(rows, "key", find_digest_cut(rows, "key", eval_ratio))
 
 
 def split_in_order(
     rows: DataFrame, order: str, eval_ratio: float = 0.1
 ) -> tuple[DataFrame, DataFrame]:
     """(train, eval) with the tail of ``order`` (a unique integer column) as eval."""
-    total = rows.count()
-    if total == 0:
-        raise ValueError("no rows to split")
-    n_train, _ = split_sizes(total, eval_ratio)
-    return _sides(rows, order, find_integer_cut(rows, order, n_train))
+    return sides(rows, order, find_integer_cut(rows, order, eval_ratio))

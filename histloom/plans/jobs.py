@@ -5,12 +5,12 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histloom.operators import health as health_ops
 from histloom.operators import report, split
-from histloom.operators.dedup import number_in_order
 from histloom.operators.staging import stage
 from histloom.params import RunParams
 from histloom.plans.dataset import plan_run
@@ -19,7 +19,6 @@ from histloom.sources.exports import Exports
 DATASET = "dataset.jsonl"
 DATASET_WITH_META = "dataset_with_meta.jsonl"
 EXCLUDED_LOG = "excluded_log.jsonl"
-EXCLUDED_FILES = "excluded_files.jsonl"
 REPORT = "run_report.json"
 REPOS = "repos_processed.jsonl"
 
@@ -54,9 +53,13 @@ def clean(records: DataFrame) -> DataFrame:
     return records.drop("_meta", "task")
 
 
-def run(exports: Exports, params: RunParams, output: str, dry_run: bool = False) -> DataFrame:
+def run(
+    exports: Exports, params: RunParams, output: str, dry_run: bool = False,
+    selected: DataFrame | None = None,
+) -> DataFrame:
     """Build the data set below ``output`` (previous outputs are replaced); returns the report row.
 
+    ``selected`` (full_name) are the repos of the run: processed even if nothing came of them.
     A dry run writes nothing but counts everything.
     """
     run_id, began = str(uuid.uuid4()), time.time()
@@ -69,14 +72,14 @@ def run(exports: Exports, params: RunParams, output: str, dry_run: bool = False)
         clean(records).write.mode("overwrite").json(f"{output}/{DATASET}")
         log = outcome.excluded_lines(logged_at)
         log.write.mode("overwrite").text(f"{output}/{EXCLUDED_LOG}")
-        if outcome.oversized_files is not None:
-            outcome.oversized_files.write.mode("overwrite").json(f"{output}/{EXCLUDED_FILES}")
+    repos = report.repos_processed(outcome.all_collected(), selected)
     ended = time.time()
     finished_at = F.lit(time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime(ended)))
     row = stage(
         report.run_report(
             decisions,
             outcome.all_collected(),
+            repos,
             run_id,
             params.output_format,
             params.task,
@@ -88,7 +91,6 @@ def run(exports: Exports, params: RunParams, output: str, dry_run: bool = False)
     )
     if not dry_run:
         row.write.mode("overwrite").json(f"{output}/{REPORT}")
-        repos = report.repos_processed(outcome.all_collected())
         repos.write.mode("overwrite").json(f"{output}/{REPOS}")
     return row
 
@@ -96,7 +98,8 @@ def run(exports: Exports, params: RunParams, output: str, dry_run: bool = False)
 def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
     """Text lines (``value``) with their position ``ord`` by file name and place in the file.
 
-    A reader's numbers only grow within one block of a file, so blocks are ordered by their offset.
+    A reader's numbers grow by one within a block of a file, so a line's position is its block's
+    offset, a running sum over the blocks' sizes, plus its place there. Texts are not sorted.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -104,8 +107,16 @@ def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("within"),
     )
-    numbered = number_in_order(lines, [F.col("file"), F.col("block"), F.col("within")])
-    return numbered.select("ord", "value")
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per block of the input files.
+    blocks = (
+        lines.groupBy("file", "block")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("within").alias("first"))
+        .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"))
+        .select("file", "block", "offset")
+    )
+    placed = lines.join(blocks, ["file", "block"])
+    return placed.select((F.col("offset") + F.col("within")).alias("ord"), "value")
 
 
 def split_dataset(
@@ -116,19 +127,28 @@ def split_dataset(
     order: str | None = None,
     train_name: str = "train.jsonl",
     eval_name: str = "eval.jsonl",
+    position: str = "ord",
 ) -> tuple[int, int]:
     """Write train and eval sets of the non-blank text lines (``value``); returns their sizes.
 
-    In seeded random order, or, with an ``order`` column (see lines_in_order), in that order with
-    its tail as eval.
+    ``lines`` has a unique column ``position`` (see lines_in_order). The split is in seeded random
+    order, or, with ``order``, in that column's order with its tail as eval.
     """
-    lines = split.non_blank(lines)
     if order is None:
-        key = "key"
-        sides = split.split_lines(lines, eval_ratio, seed)
+        key, rows = "key", split.seeded(lines, position, seed)
+        cut = split.find_digest_cut(rows, key, eval_ratio)
     else:
-        key = order
-        sides = split.split_in_order(lines, order, eval_ratio)
-    for part, name in zip(sides, (train_name, eval_name)):
+        key, rows = order, split.non_blank(lines)
+        cut = split.find_integer_cut(rows, key, eval_ratio)
+    for part, name in zip(split.sides(rows, key, cut), (train_name, eval_name), strict=True):
         part.orderBy(key).select("value").write.mode("overwrite").text(f"{output}/{name}")
-    return split.split_sizes(lines.count(), eval_ratio)
+    return cut.n_train, cut.n_eval
+
+
+def split_file(spark: SparkSession, path: str, output: str, **options) -> tuple[int, int]:  # noqa: ANN003
+    """Split a text file or folder by path; a missing one raises FileNotFoundError."""
+    try:
+        lines = lines_in_order(spark, path)
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no such data set: {path}") from error
+    return split_dataset(lines, output, **options)

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from histloom.operators import split
-from histloom.plans.jobs import lines_in_order, split_dataset
+from histloom.plans.jobs import lines_in_order, split_dataset, split_file
 
 
 @pytest.mark.parametrize("total, ratio, sizes", [
@@ -18,21 +18,24 @@ def test_sizes(total, ratio, sizes):
 def test_split_lines(spark, n, ratio):
     rng = random.Random(n)
     lines = [f'{{"l":{rng.randint(0, n // 4)}}}' for _ in range(n)]
-    df = spark.createDataFrame([(x,) for x in [*lines, "  ", "", "\t"]], "value string")
-    train, held_out = split.split_lines(df, ratio)
+    numbered = list(enumerate([*lines, "  ", "", "\t"]))
+    df = spark.createDataFrame(numbered, "ord bigint, value string")
+    train, held_out = split.split_lines(df, "ord", ratio)
     a = sorted(r["value"] for r in train.collect())
     b = sorted(r["value"] for r in held_out.collect())
     assert sorted(a + b) == sorted(lines)
     assert (len(a), len(b)) == split.split_sizes(n, ratio)
-    again = split.split_lines(df.repartition(7), ratio)
+    again = split.split_lines(df.repartition(7), "ord", ratio)
     assert sorted(r["value"] for r in again[1].collect()) == b
 
 
-def test_hot_line(spark):
-    df = spark.createDataFrame([("same",)] * 900 + [(str(i),) for i in range(100)], "value string")
-    train, held_out = split.split_lines(df, 0.3)
-    assert (train.count(), held_out.count()) == (700, 300)
-    assert train.union(held_out).filter("value = 'same'").count() == 900
+def test_hot_line_is_in_both_sides_in_proportion(spark):
+    df = spark.range(20_000).selectExpr(
+        "id AS ord", "CASE WHEN id % 5 < 3 THEN 'same' ELSE concat('l', id) END AS value"
+    )
+    train, held_out = split.split_lines(df, "ord", 0.1)
+    assert (train.count(), held_out.count()) == (18_000, 2_000)
+    assert abs(held_out.filter("value = 'same'").count() - 1200) < 100
 
 
 @pytest.mark.parametrize("n", [1, 2, 40, 500])
@@ -54,13 +57,13 @@ def test_order_must_be_unique(spark):
 
 
 def test_empty_input(spark):
-    empty = spark.createDataFrame([("  ",)], "value string")
+    empty = spark.createDataFrame([(0, "  ")], "ord bigint, value string")
     with pytest.raises(ValueError):
-        split.split_lines(empty)
+        split.split_lines(empty, "ord")
 
 
 def test_split_files(spark, tmp_path):
-    df = spark.createDataFrame([(f'{{"line": {i}}}',) for i in range(100)], "value string")
+    df = spark.createDataFrame([(i, f'{{"line": {i}}}') for i in range(100)], "ord bigint, value string")
     assert split_dataset(df, str(tmp_path), 0.2) == (80, 20)
     assert spark.read.text(str(tmp_path / "train.jsonl")).count() == 80
     assert spark.read.text(str(tmp_path / "eval.jsonl")).count() == 20
@@ -79,3 +82,10 @@ def test_unshuffled_files_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     tail = {r["value"] for r in spark.read.text(str(tmp_path / "eval.jsonl")).collect()}
     assert tail == set(lines[2400:])
+
+
+def test_split_by_path(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("".join(f"line {i % 3}\n" for i in range(50)))
+    assert split_file(spark, str(tmp_path / "in.jsonl"), str(tmp_path), eval_ratio=0.2) == (40, 10)
+    with pytest.raises(FileNotFoundError):
+        split_file(spark, str(tmp_path / "none.jsonl"), str(tmp_path))
