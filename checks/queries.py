@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.session import with_folder
 from checks.tables import documents, view
 from histloom import params as pm
 from histloom.functions import minhash
@@ -33,8 +35,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return fn(with_folder(spark), sf)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 # ---- shared frames ------------------------------------------------------------------------
@@ -59,8 +65,8 @@ def _with_facts(spark, sf) -> DataFrame:
 
 
 def _assembled(spark, sf) -> DataFrame:
-    """All commits with their files; the views give a commit at most three."""
-    return files.assemble_files(_files(spark, sf), _with_facts(spark, sf), max_files=20)
+    """All commits with all of their files."""
+    return files.assemble_files(_files(spark, sf), _with_facts(spark, sf))
 
 
 def _pulls(spark, sf) -> DataFrame:
@@ -82,6 +88,7 @@ def _exports(spark, sf) -> Exports:
 
 
 def _run(spark, sf, task: str, output_format: str = "alpaca") -> dataset.Outcome:
+    with_folder(spark)
     p = pm.RunParams(PROFILE.filter, PROFILE.collect, output_format, task)
     return dataset.plan_run(_exports(spark, sf), p)
 
@@ -112,7 +119,7 @@ def language_detect(spark, sf):
 def commit_assembly(spark, sf):
     rows = files.normalise_files(view(spark, sf, "fx_order_files"))
     facts = files.with_file_facts(view(spark, sf, "fx_orders"), rows)
-    return files.assemble_files(rows, facts, max_files=1000).select(
+    return files.assemble_files(rows, facts).select(
         "repo",
         "sha",
         "n_files",
@@ -418,7 +425,7 @@ def dedup_cross_source(spark, sf):
     none = {"reason": F.lit(None).cast("string")}
     rows = dataset.collected_commits(exports, PROFILE)
     facts = files.with_file_facts(rows, _files(spark, sf))
-    assembled = files.assemble_files(_files(spark, sf), facts, max_files=20).withColumns(none)
+    assembled = files.assemble_files(_files(spark, sf), facts).withColumns(none)
     requests = dataset.collected_pulls(exports, PROFILE).withColumns(none)
     return dataset.cross_source_duplicates(
         dataset.dedup_input(assembled, requests), PROFILE.filter
@@ -642,7 +649,7 @@ def _sides(train: DataFrame, held_out: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def train_eval_split(spark, sf):
-    sides = _sides(*split.split_lines(view(spark, sf, "fx_lines")), "value")
+    sides = _sides(*split.split_lines(view(spark, sf, "fx_lines"), "line_no"), "value")
     return sides.groupBy("value", "side").agg(F.count(F.lit(1)).alias("n_lines"))
 
 

@@ -40,6 +40,13 @@ class Dialect:
             return f"make_timestamp(({expr}) * 1000000)"
         return f"timestamp_seconds({expr})"
 
+    def joined(self, value: str, order: str) -> str:
+        """Values of a group in order, one per line."""
+        if self.folder is None:
+            return f"string_agg({value}, chr(10) ORDER BY {order})"
+        pairs = f"array_sort(collect_list(struct({order} AS o, {value} AS v)))"
+        return f"array_join(transform({pairs}, p -> p.v), chr(10))"
+
     def numbers(self, n: str) -> str:
         """Lateral relation p(pos) of 0 .. n-1."""
         if self.folder is None:
@@ -64,6 +71,8 @@ def _views(d: Dialect) -> dict[str, str]:
              'Reviewed-by: R', chr(10), ' ', chr(10), 'tail line', chr(10))
         WHEN doc_id % 6 = 3 THEN concat(chr(10), chr(10), 'Fixes: 12', chr(10), '(cherry picked from 1)')
         ELSE '' END"""
+    talks = f"""(SELECT doc_id, text,
+        doc_id % (SELECT max(conv_id) + 1 FROM {t("conversations")}) AS talk FROM {t("documents")})"""
     path = _pick(PATHS, "(doc_id + pos) % 13")
     change = _pick(CHANGE_TYPES, "(doc_id + pos) % 6")
     return {
@@ -108,31 +117,34 @@ def _views(d: Dialect) -> dict[str, str]:
             UNION ALL
             SELECT concat('r', o_custkey % 25), 'release', false, cast(o_orderkey AS string), o_orderdate
             FROM {t("orders")} WHERE o_orderstatus = 'P'""",
+        # One pull request per document; its talk is one of the conversations, all turns of it.
         "fx_pulls": f"""
-            SELECT concat('r', conv_id % 5) AS repo, conv_id AS number,
-                split_part(c.text, chr(10), 1) AS title,
-                concat(c.text,
-                    CASE WHEN conv_id % 4 = 0 THEN '' ELSE concat(chr(10), 'Fixes #', conv_id % 40,
-                        ', issues/', conv_id * 7 % 40, ' and pull/3, #007') END,
-                    CASE WHEN conv_id % 7 = 0 THEN concat(' pulls/', 6000 + conv_id % 4 * 10) ELSE '' END,
-                    CASE WHEN conv_id % 31 = 0 THEN ' #1234567890123456789012345' ELSE '' END,
-                    CASE WHEN conv_id % 6 = 0 THEN concat(' <!-- t', chr(10), ' --> <!-- open') ELSE '' END
+            SELECT concat('r', doc_id % 5) AS repo, doc_id AS number,
+                split_part(coalesce(c.body, ''), chr(10), 1) AS title,
+                concat(coalesce(c.body, ''),
+                    CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat(chr(10), 'Fixes #', doc_id % 40,
+                        ', issues/', doc_id * 7 % 40, ' and pull/3, #007') END,
+                    CASE WHEN doc_id % 7 = 0 THEN concat(' pulls/', 6000 + doc_id % 4 * 10) ELSE '' END,
+                    CASE WHEN doc_id % 31 = 0 THEN ' #1234567890123456789012345' ELSE '' END,
+                    CASE WHEN doc_id % 6 = 0 THEN concat(' <!-- t', chr(10), ' --> <!-- open') ELSE '' END
                 ) AS body,
                 d.text AS diff,
-                {d.seconds("1640995200 + conv_id * 7200")} AS updated_at,
-                CASE WHEN conv_id % 9 = 8 THEN NULL
-                    ELSE {d.seconds("1640991600 + conv_id * 7200")} END AS merged_at
-            FROM {t("conversations")} c LEFT JOIN {t("documents")} d ON doc_id = conv_id
-            WHERE turn = 0""",
+                {d.seconds("1640995200 + doc_id * 7200")} AS updated_at,
+                CASE WHEN doc_id % 9 = 8 THEN NULL
+                    ELSE {d.seconds("1640991600 + doc_id * 7200")} END AS merged_at
+            FROM {talks} d LEFT JOIN (SELECT conv_id, {d.joined("text", "turn")} AS body
+                FROM {t("conversations")} GROUP BY conv_id) c ON c.conv_id = d.talk""",
         "fx_comments": f"""
-            SELECT concat('r', conv_id % 5) AS repo, conv_id AS number, cast(turn AS int) AS pos,
+            SELECT concat('r', doc_id % 5) AS repo, doc_id AS number, cast(turn AS int) AS pos,
                 concat('src/', turn, '.py') AS path, concat('@@ -', turn, ' +1 @@') AS diff_hunk,
-                text AS body, CASE WHEN turn % 4 = 3 THEN NULL ELSE concat('u', turn) END AS author
-            FROM {t("conversations")} WHERE role = 'assistant'""",
+                c.text AS body, CASE WHEN turn % 4 = 3 THEN NULL ELSE concat('u', turn) END AS author
+            FROM {talks} d JOIN {t("conversations")} c ON c.conv_id = d.talk
+            WHERE role = 'assistant'""",
         "fx_labels": f"""
-            SELECT concat('r', conv_id % 5) AS repo, conv_id AS number, cast(turn AS int) AS pos,
+            SELECT concat('r', doc_id % 5) AS repo, doc_id AS number, cast(turn AS int) AS pos,
                 concat(role, '-', turn) AS name
-            FROM {t("conversations")} WHERE role <> 'assistant'""",
+            FROM {talks} d JOIN {t("conversations")} c ON c.conv_id = d.talk
+            WHERE role <> 'assistant'""",
         "fx_issues": f"""
             SELECT concat('r', pos) AS repo,
                 cast(CASE WHEN item_id % 10 = 9 THEN item_id + 5991 ELSE item_id END AS decimal(38, 0)) AS number,
@@ -145,11 +157,11 @@ def _views(d: Dialect) -> dict[str, str]:
             FROM {t("region")}""",
         "fx_closed": f"""
             SELECT concat('r', user_id % 20) AS repo, event_id AS number, event_type AS title,
-                CASE WHEN user_id % 20 = 3 AND event_type = 'error' THEN
+                CASE WHEN user_id % 4 = 3 AND event_type = 'error' THEN
                     CASE event_id % 4 WHEN 0 THEN 'Reviewed-on: https://x' WHEN 1 THEN 'add2'
                         WHEN 2 THEN 'see gitlab.com/a/b/-/merge_requests/1' ELSE 'Internally Reviewed' END
                     ELSE props END AS body,
-                CASE WHEN user_id % 20 = 4 AND event_type = 'error' THEN 'GopherBot'
+                CASE WHEN user_id % 20 IN (4, 8, 12) AND event_type = 'error' THEN 'GopherBot'
                     ELSE concat('u', user_id) END AS author_login,
                 ts AS updated_at,
                 CASE WHEN event_type IN ('purchase', 'signup') AND user_id % 20 > 2
@@ -191,23 +203,13 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """Use all cores when the scanned file has fewer splits than cores; no shuffle otherwise."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scan = given(spark, sf_dir, "documents")
-    return spread(scan, scan)
+    return given(spark, sf_dir, "documents")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view as a DataFrame over the parquet tables."""
-    df = spark.sql(_views(Dialect(sf_dir.rstrip("/")))[name])
-    if name in ("fx_commits", "fx_files"):
-        return spread(df, given(spark, sf_dir, "documents"))
-    return df
+    return spark.sql(_views(Dialect(sf_dir.rstrip("/")))[name])
 
 
 def referenced(sql: str, names: list[str]) -> list[str]:

@@ -65,16 +65,17 @@ def _as_map(counts: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def run_report(
-    decisions: DataFrame, collected: DataFrame, run_id: str, output_format: str, task: str,
+    decisions: DataFrame, collected: DataFrame, repos: DataFrame, run_id: str, output_format: str, task: str,
     started_at: Column, finished_at: Column, duration_seconds: float,
 ) -> DataFrame:
     """The report row: stats struct plus reason and task maps (both have few, fixed keys)."""
     stats = run_stats(decisions, collected)
     names = [c for c in stats.columns if c != "n_repos"]
-    stats = stats.select(F.struct(*names).alias("stats"), "n_repos", F.lit(1).alias("_one"))
+    stats = stats.select(F.struct(*names).alias("stats"), F.lit(1).alias("_one"))
+    n_repos = repos.agg(F.count(F.lit(1)).alias("n_repos")).withColumn("_one", F.lit(1))
     reasons = _as_map(reason_counts(decisions), "reason", "n_dropped", "top_exclusion_reasons")
     tasks = _as_map(task_distribution(decisions), "task", "n_records", "task_distribution")
-    joined = stats.join(reasons, "_one").join(tasks, "_one")
+    joined = stats.join(n_repos, "_one").join(reasons, "_one").join(tasks, "_one")
     return joined.select(
         F.lit(run_id).alias("run_id"),
         started_at.alias("started_at"),
@@ -89,6 +90,9 @@ def run_report(
     )
 
 
-def repos_processed(selected: DataFrame) -> DataFrame:
-    """Distinct repos of a run, failed or empty ones included."""
-    return selected.select("repo").distinct()
+def repos_processed(collected: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """Distinct repos of a run; those ``selected`` (full_name) count even without any record."""
+    repos = collected.select("repo")
+    if selected is not None:
+        repos = repos.union(selected.select("full_name"))
+    return repos.distinct()

@@ -55,7 +55,7 @@ def screen_commits(commits: DataFrame, files: DataFrame, p: FilterParams) -> Dat
 def score_commits(screened: DataFrame, files: DataFrame, p: FilterParams) -> DataFrame:
     """Stage 3 for the commits that passed the screen, with their ``files``."""
     passed = screened.filter(F.col("reason").isNull()).drop("stage_failed", "reason")
-    assembled = file_source.assemble_files(files, passed, p.max_files_changed)
+    assembled = file_source.assemble_files(file_source.files_of(files, passed), passed)
     return decide(with_scores(assembled), [("stage3", quality_rules(p))])
 
 
@@ -65,14 +65,14 @@ def screen_pulls(pulls: DataFrame, p: FilterParams) -> DataFrame:
 
 def collected_commits(exports: Exports, params: RunParams) -> DataFrame:
     keys = commit_source.select_commits(exports.listing(), params.collect)
-    rows = commit_source.normalise_commits(exports.commits)
+    rows = commit_source.normalise_commits(exports.commits).dropDuplicates(file_source.KEY)
     return rows.join(keys.select("repo", "sha", "arrival"), file_source.KEY)
 
 
 def collected_pulls(exports: Exports, params: RunParams) -> DataFrame:
     collect = params.collect
     keys = pull_source.scan_pulls(exports.pull_requests, collect.max_prs_per_repo, collect.since)
-    rows = pull_source.normalise_pulls(exports.pull_requests)
+    rows = pull_source.normalise_pulls(exports.pull_requests).dropDuplicates(pull_source.KEY)
     return rows.join(keys.select(*pull_source.KEY, "arrival"), pull_source.KEY)
 
 
@@ -132,7 +132,9 @@ def apply_verdicts(df: DataFrame, verdicts: DataFrame, key: str, source: str, re
 
 def patch_candidates(accepted: DataFrame, exports: Exports, p: FilterParams, **skew) -> DataFrame:
     """Accepted pull requests with ``context`` and the two gates of the patch task."""
-    links = pull_source.links_with_ceiling(pull_source.issue_links(accepted), exports.repos, **skew)
+    # Narrow rows that the salted joins read several times.
+    links = stage(pull_source.issue_links(accepted), "issue-links")
+    links = stage(pull_source.links_with_ceiling(links, exports.repos, **skew), "issue-ceilings")
     resolved = pull_source.resolve_issues(links, exports.issues, **skew)
     with_issues = pull_source.attach_issue_blocks(accepted, resolved)
     contextual = with_issues.withColumn("context", formats.issue_context())
@@ -171,7 +173,6 @@ class Outcome:
     collected: list[DataFrame] = field(default_factory=list)
     records: dict[str, DataFrame] = field(default_factory=dict)
     excluded: list[tuple[str, DataFrame, list[str]]] = field(default_factory=list)
-    oversized_files: DataFrame | None = None
 
     def all_decisions(self) -> DataFrame:
         """One row per excluded record, and per (record, task) that came further."""
@@ -218,9 +219,25 @@ _COMMIT_RECORD = [
 ]
 _PULL_RECORD = [
     "number", "repo", "title", "body", "diff", "linked_issue_numbers", "labels", "merged_at",
+    "review_comments", "linked_issue_bodies",
 ]
 
 
+def _whole_pulls(pulls: DataFrame, exports: Exports) -> DataFrame:
+    """Pull requests as they are logged: with their comments and what was resolved of their issues."""
+    comments = exports.review_comments
+    if comments is None:
+        kind = "array<struct<path:string,diff_hunk:string,body:string,author:string>>"
+        pulls = pulls.withColumn("review_comments", F.array().cast(kind))
+    else:
+        author = pull_source.comment_author(F.col("author")).alias("author")
+        entry = F.struct("path", "diff_hunk", "body", author)
+        pulls = pull_source.attach_ordered(pulls, comments, entry, "review_comments")
+    if "linked_issue_bodies" in pulls.columns:
+        return pulls
+    return pulls.withColumn("linked_issue_bodies", F.array().cast("array<string>"))
+
+
 def _plan_commits(out: Outcome, screened: DataFrame, judged: DataFrame, files: DataFrame,
                   params: RunParams) -> None:
     early = screened.filter(F.col("reason").isNotNull())
@@ -232,16 +249,11 @@ def _plan_commits(out: Outcome, screened: DataFrame, judged: DataFrame, files: D
     ]
     out.collected.append(screened.select("repo", F.lit("commit").alias("source")))
     out.records["commit_message"] = formats.format_commits(passed, out.output_format)
-    # Files are nested into the log up to the run's own size bound; above it they are written as
-    # rows of their own, so no record grows without limit.
-    bound = params.filter.max_files_changed
-    nested = file_source.assemble_files(files, early, bound)
-    large = early.filter(F.col("n_files") > bound)
-    unnested = large.withColumn("files", F.lit(None).cast(nested.schema["files"].dataType))
-    for df in (nested, unnested, judged):
-        shaped = df.withColumnRenamed("files", "files_changed")
-        out.exclude("commit", shaped, _COMMIT_RECORD)
-    out.oversized_files = files.join(large.select(*file_source.KEY), file_source.KEY, "left_semi")
+    # One shape for every commit: the record as collected, with all of its files.
+    nested = file_source.assemble_files(file_source.files_of(files, early), early)
+    for df in (nested, judged):
+        record = F.transform("files", lambda f: f.dropFields("pos"))
+        out.exclude("commit", df.withColumn("files_changed", record), _COMMIT_RECORD)
 
 
 def _plan_pulls(out: Outcome, gated: DataFrame, exports: Exports, params: RunParams, **skew) -> None:
@@ -249,7 +261,7 @@ def _plan_pulls(out: Outcome, gated: DataFrame, exports: Exports, params: RunPar
     dropped = gated.filter(F.col("reason").isNotNull())
     out.decisions.append(_decision(dropped, "pr", "number", None, F.lit(None)))
     out.collected.append(gated.select("repo", F.lit("pr").alias("source")))
-    out.exclude("pr", dropped, _PULL_RECORD)
+    out.exclude("pr", _whole_pulls(dropped, exports), _PULL_RECORD)
     if params.wants_reviews:
         out.decisions.append(_decision(accepted, "pr", "number", "pr_review", F.lit(1.0)))
         reviewed = review_candidates(accepted, exports, out.output_format)
@@ -259,7 +271,8 @@ def _plan_pulls(out: Outcome, gated: DataFrame, exports: Exports, params: RunPar
         passed = patches.filter(F.col("reason").isNull())
         out.decisions.append(_decision(patches, "pr", "number", "issue_to_patch", F.lit(1.0)))
         out.records["issue_to_patch"] = formats.format_patches(passed, out.output_format)
-        out.exclude("pr", patches, _PULL_RECORD)
+        failed = patches.filter(F.col("reason").isNotNull())
+        out.exclude("pr", _whole_pulls(failed, exports), _PULL_RECORD)
 
 
 def plan_run(exports: Exports, params: RunParams, **skew) -> Outcome:
@@ -275,11 +288,19 @@ def plan_run(exports: Exports, params: RunParams, **skew) -> Outcome:
         scored = stage(score_commits(screened, files, params.filter), "scored")
     if wants_pulls:
         pulls = stage(screen_pulls(collected_pulls(exports, params), params.filter), "pulls")
-    verdicts = cross_source_duplicates(dedup_input(scored, pulls), params.filter, **skew)
+    # Read by commits and pull requests, and by each of their outputs: decided once.
+    verdicts = stage(
+        cross_source_duplicates(dedup_input(scored, pulls), params.filter, **skew).filter(
+            "is_duplicate"
+        ),
+        "duplicates",
+    )
     if params.wants_commits:
         judged = apply_verdicts(scored, verdicts, "sha", "commit", "dedup:near_duplicate")
         _plan_commits(out, screened, judged, files, params)
     if wants_pulls:
-        gated = apply_verdicts(pulls, verdicts, "number", "pr", "dedup:near_duplicate_pr")
+        gated = stage(
+            apply_verdicts(pulls, verdicts, "number", "pr", "dedup:near_duplicate_pr"), "gated"
+        )
         _plan_pulls(out, gated, exports, params, **skew)
     return out

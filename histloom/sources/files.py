@@ -1,4 +1,4 @@
-"""File changes: normalisation, per-commit facts, bounded assembly."""
+"""File changes: normalisation, per-commit facts, assembly."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from histloom.functions import fixed_values as fv
 from histloom.functions import text as tx
-from histloom.operators.skew import HOT_KEYS
 
 KEY = ["repo", "sha"]
 FACTS = (
@@ -68,28 +67,20 @@ def with_file_facts(commits: DataFrame, files: DataFrame) -> DataFrame:
     return commits.join(file_facts(files), KEY, "left").withColumns(zeros)
 
 
-def assemble_files(files: DataFrame, commits: DataFrame, max_files: int) -> DataFrame:
-    """``commits`` with at most ``max_files`` files, plus their ordered array ``files``.
+def assemble_files(files: DataFrame, commits: DataFrame) -> DataFrame:
+    """``commits`` plus their ordered array ``files``, empty for a commit without files.
 
-    ``commits`` carries ``n_files``. Larger commits are not collected into one row anywhere: the
-    most numerous ones are cut out of ``files`` by a broadcast of at most HOT_KEYS keys before the
-    shuffle, the others fall out in the join.
+    Every file of every given commit is kept, whatever their number. Pass the files of the given
+    commits only (``files_of``) where ``files`` holds many others.
     """
-    huge = (
-        commits.filter(F.col("n_files") > max_files)
-        .orderBy(F.col("n_files").desc())
-        .limit(HOT_KEYS)
-        .select(*KEY)
-    )
-    wanted = commits.filter(F.col("n_files") <= max_files)
     entry = F.struct(
         "pos", "filename", "change_type", "diff", "additions", "deletions", "language"
     )
-    arrays = (
-        files.join(F.broadcast(huge), KEY, "left_anti")
-        .join(wanted.filter(F.col("n_files") > 0).select(*KEY), KEY, "left_semi")
-        .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(entry)).alias("files"))
-    )
+    arrays = files.groupBy(*KEY).agg(F.array_sort(F.collect_list(entry)).alias("files"))
     empty = F.array().cast(arrays.schema["files"].dataType)
-    return wanted.join(arrays, KEY, "left").withColumn("files", F.coalesce("files", empty))
+    return commits.join(arrays, KEY, "left").withColumn("files", F.coalesce("files", empty))
+
+
+def files_of(files: DataFrame, commits: DataFrame) -> DataFrame:
+    """The file rows of the given commits."""
+    return files.join(commits.select(*KEY), KEY, "left_semi")

@@ -10,19 +10,19 @@ from histloom.plans import jobs
 from histloom.sources.exports import SCHEMAS, Exports, read_exports
 
 WHEN = datetime(2024, 1, 1, 12, 0, 0, 250000)
-DIFF = "@@ -1,3 +1,3 @@\n-return jwt.decode(token)\n+return jwt.decode(token, verify)\n+# handler"
+DIFF = "@@ -8,2 +8,3 @@\n-items.pop()\n+items.popleft()\n+# queue parser"
 
 
 def tables():
     body = "<!-- template -->This change checks the expiry date of every token before it is decoded, " * 2
     commits = [
-        ("o/r", "c1", "Fix decode bug in jwt handler\nbody text", "Ann", "a@x", WHEN, False, ["p"]),
-        ("o/r", "c2", "Fix decode bug in jwt handler\nother", "Ann", "a@x", datetime(2023, 1, 1), False, ["p"]),
+        ("o/r", "c1", "Fix order bug in queue parser\nbody text", "Ann", "a@x", WHEN, False, ["p"]),
+        ("o/r", "c2", "Fix order bug in queue parser\nother", "Ann", "a@x", datetime(2023, 1, 1), False, ["p"]),
         ("o/r", "c3", "WIP decode", "Ann", None, WHEN, False, ["p"]),
-        ("o/r", "c4", "The handler of jwt decode changes", "Ann", None, WHEN, False, ["p"]),
+        ("o/r", "c4", "The parser of queue order changes", "Ann", None, WHEN, False, ["p"]),
         ("o/r", "c5", "Merge x", "Ann", None, WHEN, True, ["p", "q"]),
     ]
-    files = [("o/r", c, 0, None, "src/auth.py", "MODIFY", DIFF, 2, 1) for c in ("c1", "c2", "c4")]
+    files = [("o/r", c, 0, None, "lib/queue.py", "MODIFY", DIFF, 2, 1) for c in ("c1", "c2", "c4")]
     files += [("o/r", "c5", i, None, f"f{i}.py", "ADD", "x", 1, 0) for i in range(25)]
     pulls = [
         ("o/r", 1, "Check expiry", body + "Fixes #5, #6 and #99999999", DIFF + "\n+more", "u", ["bug"], WHEN, WHEN),
@@ -65,8 +65,8 @@ def test_alpaca_run(exports, tmp_path):
     assert set(records) == {("commit_message", "c1"), ("pr_review", 1), ("issue_to_patch", 1)}
     commit = records["commit_message", "c1"]
     assert commit["instruction"] == fv.COMMIT_INSTRUCTION
-    assert commit["input"] == f"diff --git a/src/auth.py b/src/auth.py\n{DIFF}"
-    assert commit["output"] == "Fix decode bug in jwt handler"
+    assert commit["input"] == f"diff --git a/lib/queue.py b/lib/queue.py\n{DIFF}"
+    assert commit["output"] == "Fix order bug in queue parser"
     assert commit["_meta"] == {
         "repo": "o/r", "sha": "c1", "task": "commit_message", "score": commit["_meta"]["score"],
         "timestamp": "2024-01-01T12:00:00.250000+00:00",
@@ -90,10 +90,12 @@ def test_alpaca_run(exports, tmp_path):
         (("structural:pr_body_too_short", 2), "stage2"),
         (("dedup:near_duplicate_pr", 4), "stage4"),
     }
-    assert log["dedup:near_duplicate", "c2"]["record"]["files_changed"][0]["filename"] == "src/auth.py"
-    # The commit above the size bound has its files next to the log instead of inside it.
-    assert "files_changed" not in log["hard_exclusion:is_merge", "c5"]["record"]
-    assert len(read(f"{out}/{jobs.EXCLUDED_FILES}")) == 25
+    assert log["dedup:near_duplicate", "c2"]["record"]["files_changed"][0]["filename"] == "lib/queue.py"
+    # Records are whole, whatever their size.
+    whole = log["hard_exclusion:is_merge", "c5"]["record"]["files_changed"]
+    assert len(whole) == 25 and set(whole[0]) >= {"filename", "change_type", "additions"}
+    assert "pos" not in whole[0]
+    assert log["dedup:near_duplicate_pr", 4]["record"]["linked_issue_bodies"] == []
     (report,) = read(f"{out}/{jobs.REPORT}")
     assert report["stats"] == {
         "raw_commits_collected": 5, "raw_prs_collected": 3, "stage1_hard_exclusion_dropped": 2,

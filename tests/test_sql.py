@@ -7,15 +7,11 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from checks import oracle
+from checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = contract.oracle_sql()
-# Each of these plans a whole run; decisions_all and dataset_all stand for them here.
-SLOW = {
-    "clean_dataset", "excluded_log", "stage_funnel", "reason_counts", "task_distribution",
-    "repos_processed", "dataset_commit_message", "dataset_pr_review", "dataset_issue_to_patch",
-}
+SQL = oracle.all_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are absent")
 
@@ -37,14 +33,14 @@ def plain(rows):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) - set(SQL) == {"run_report"}
+    assert set(QUERIES) - set(SQL) == {"run_report"}
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     relation = duck.sql(SQL[name])
     columns = sorted(relation.columns)
-    df = contract.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     assert sorted(df.columns) == columns
     want = relation.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall()
     assert plain(df.select(*columns).collect()) == plain(want)

@@ -8,18 +8,6 @@ from histloom.functions import fixed_values as fv
 from histloom.functions import text as tx
 
 
-def strip_trailers(body):
-    kept, after_trailer = [], False
-    for line in body.splitlines():
-        s = line.strip()
-        if s.startswith(fv.TRAILER_PREFIXES):
-            after_trailer = True
-        elif s or not after_trailer:
-            after_trailer = after_trailer and not s
-            kept.append(line)
-    return "\n".join(kept).strip()
-
-
 def test_character_classes_cover_unicode():
     points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
     assert {c for c in points if c.isspace()} == set(fv.WHITESPACE_CHARS)
@@ -36,14 +24,41 @@ def test_text_expressions_equal_python(spark):
     rows += ["Fixes: a\n" + "\n" * 200000 + "x", "<!--" + "x\n" * 200000 + "-->y"]
     t = F.col("t")
     got = spark.createDataFrame([(r,) for r in rows], "t string").select(
-        "t", tx.count_words(t), F.size(tx.words(t)), tx.line_count(t), tx.strip_trailers(t),
+        "t", tx.count_words(t), F.size(tx.words(t)), tx.line_count(t),
         tx.strip_html_comments(t), tx.strip(t),
     )
     for r in got.collect():
         s = r[0]
         n = len(s.split())
         uncommented = re.sub(r"<!--.*?-->", "", s, flags=re.S).strip()
-        assert r[1:] == (n, n, len(s.splitlines()), strip_trailers(s), uncommented, s.strip())
+        assert r[1:] == (n, n, len(s.splitlines()), uncommented, s.strip())
+
+
+def test_trailers_are_removed(spark):
+    cases = [
+        ("text\n\nSigned-off-by: x", "text"),
+        ("text\nFixes: #1\n\n\nmore", "text\nmore"),
+        ("Signed-off-by: x", ""),
+        ("a\n\nb", "a\n\nb"),
+        ("a\n(cherry picked from y)\nb", "a\nb"),
+        ("a\n  Signed-off-by: x\n \nb\n", "a\nb"),
+        ("  a  ", "a"),
+        ("", ""),
+    ]
+    rng = random.Random(8)
+    pieces = ["a", "", " ", "Signed-off-by: x", "Fixes: 2", "  Fixes: 3", "b c"]
+    drawn = ["\n".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(300)]
+    texts = [text for text, _ in cases] + drawn
+    once = tx.strip_trailers(F.col("t"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", once.alias("s"))
+    rows = df.select("t", "s", tx.strip_trailers(F.col("s")).alias("again")).collect()
+    assert [r.s for r in rows[: len(cases)]] == [want for _, want in cases]
+    for r in rows:
+        lines = [line.strip() for line in r.s.splitlines()]
+        assert not any(line.startswith(fv.TRAILER_PREFIXES) for line in lines)
+        assert r.again == r.s
+        kept = [x.strip() for x in r.t.splitlines() if not x.strip().startswith(fv.TRAILER_PREFIXES)]
+        assert [x for x in lines if x] == [x for x in kept if x]
 
 
 def test_null_texts(spark):
