@@ -166,7 +166,7 @@ def _dealt(batch: Batch, key: np.ndarray, check: np.ndarray | None, bits: int) -
     part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
     rows = []
-    for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=True):
+    for a, b in zip(cuts, np.r_[cuts[1:], len(part)][: len(cuts)], strict=True):
         extra = b"" if check is None else check[first[a:b]].tobytes()
         rows.append((int(part[a]), batch.number, key[a:b].tobytes(), extra,
                      np.packbits(again[a:b]).tobytes()))
