@@ -99,19 +99,19 @@ def _joined_hits(docs: DataFrame, words: str, hits: str, windows: DataFrame) ->
     row = fresh(docs, "_row")
     docs = stage(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
     lengths = [r.length for r in windows.select("length").distinct().collect()]  # <= window rows
-    parts = [
-        F.when(
-            F.size(words) >= length,
-            F.transform(
-                F.sequence(F.lit(0), F.size(words) - length),
-                lambda i, n=length: F.struct(
-                    i.alias("pos"), F.lit(n).alias("length"),
-                    F.xxhash64(F.slice(words, i + 1, n)).alias("hash"),
-                ),
+
+    def spots(length: int) -> Column:
+        every = F.transform(
+            F.sequence(F.lit(0), F.size(words) - length),
+            lambda i: F.struct(
+                i.alias("pos"), F.lit(length).alias("length"),
+                F.xxhash64(F.slice(words, i + 1, length)).alias("hash"),
             ),
-        ).otherwise(F.array().cast("array<struct<pos:int,length:int,hash:bigint>>"))
-        for length in lengths
-    ]
+        )
+        none = F.array().cast("array<struct<pos:int,length:int,hash:bigint>>")
+        return F.when(F.size(words) >= length, every).otherwise(none)
+
+    parts = [spots(length) for length in lengths]
     cut = docs.select(row, F.explode(F.concat(*parts)).alias("c")).select(row, "c.*")
     found = (
         cut.join(windows.select("length", "hash", "words"), ["length", "hash"])
