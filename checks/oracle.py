@@ -565,8 +565,6 @@ def _split(key: str, extra: str) -> str:
 
 def _selects() -> dict[str, str]:
     gate_strict = patch_gates(pm.profile("strict").filter)
-    counts = f"""SELECT repo, branch, count(*) AS n_commits FROM fx_branches
-        WHERE author_ts >= {SINCE_SQL} AND branch IN {among(BRANCHES)} GROUP BY"""
     catalog = """SELECT full_name, CASE WHEN private THEN 'private' ELSE 'public' END AS visibility,
         CASE WHEN coalesce(language, '') = '' THEN 'Unknown' ELSE language END AS language,
         coalesce(stars, 0) AS stars, coalesce(strftime(updated_at, '%Y-%m-%d'), 'Unknown') AS updated_at
@@ -611,7 +609,11 @@ def _selects() -> dict[str, str]:
         "repo_catalog": catalog,
         "repo_prefilter": f"SELECT * FROM ({catalog}) WHERE visibility = 'public' AND stars >= 3000",
         "branch_catalog": "SELECT DISTINCT branch FROM fx_branches ORDER BY branch",
-        "branch_commit_counts": f"{counts} GROUPING SETS ((repo, branch), (repo))",
+        "branch_commit_counts": f"""SELECT r.repo, b.branch, count(f.sha) AS n_commits
+            FROM (SELECT DISTINCT repo FROM fx_branches) r
+            CROSS JOIN (SELECT unnest([{", ".join(q(b) for b in BRANCHES)}]) AS branch) b
+            LEFT JOIN fx_branches f ON f.repo = r.repo AND f.branch = b.branch AND author_ts >= {SINCE_SQL}
+            GROUP BY GROUPING SETS ((r.repo, b.branch), (r.repo))""",
         "nonblank_lines": f"SELECT line_no, value FROM fx_lines WHERE {strip('value')} <> ''",
         "word_count": f"SELECT doc_id, {n_words('text')} AS n_words FROM documents",
         "diff_line_count": f"SELECT doc_id, {n_lines('text')} AS n_lines FROM documents",
@@ -690,6 +692,11 @@ def _selects() -> dict[str, str]:
             FROM ({_split("md5(concat('42|', line_no))", "value")}) GROUP BY value, side""",
         "train_eval_split_ordered": _split("line_no", "line_no, value"),
     }
+    listed = "SELECT string_agg(concat({0}, '=', {1}), ',' ORDER BY {0}) FROM ({2})"
+    reasons = listed.format("reason", "n_dropped", selects["reason_counts"])
+    tasks = listed.format("task", "n_records", selects["task_distribution"])
+    selects["run_report"] = f"""SELECT rs.*, 'alpaca' AS format, 'all' AS task,
+        ({reasons}) AS reasons, ({tasks}) AS tasks FROM ({selects["run_stats"]}) rs"""
     for name in EXCLUSIONS:
         selects[f"excl_{name}"] = f"SELECT repo, sha, coalesce({EXCL[name]}, false) AS excluded FROM described"
     return selects

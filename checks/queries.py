@@ -578,7 +578,19 @@ def repos_processed(spark, sf):
 
 @query
 def run_report(spark, sf):
-    return jobs.run(_exports(spark, sf), PROFILE, output="", dry_run=True)
+    """The report row without its id and times; maps as sorted text."""
+    row = jobs.run(_exports(spark, sf), PROFILE, output="", dry_run=True)
+
+    def listed(name: str) -> F.Column:
+        entries = F.array_sort(F.map_entries(name))
+        texts = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+        return _joined(texts)
+
+    return row.select(
+        "stats.*", "n_repos", "format", "task",
+        listed("top_exclusion_reasons").alias("reasons"),
+        listed("task_distribution").alias("tasks"),
+    )
 
 
 @query

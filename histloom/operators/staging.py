@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_RUN: ContextVar[str] = ContextVar("run", default="")
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -14,7 +18,7 @@ def staging_root(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
         raise ValueError(f"set {SETTING} to a folder that all executors share")
-    return folder.rstrip("/")
+    return folder.rstrip("/") + _RUN.get()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -23,3 +27,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged_run(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes into a folder of its own, which is removed at the end."""
+    token = _RUN.set(f"/run-{uuid.uuid4().hex}")
+    folder = staging_root(spark)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

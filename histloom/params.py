@@ -13,6 +13,7 @@ FORMATS = ("alpaca", "sharegpt")
 
 @dataclass(frozen=True)
 class FilterParams:
+    # Names and defaults of parameter files.
     exclude_merge_commits: bool = True
     exclude_bot_authors: bool = True
     exclude_binary_only: bool = True
@@ -36,8 +37,9 @@ class FilterParams:
 
 @dataclass(frozen=True)
 class CollectParams:
-    max_commits_per_repo: int = 5000
-    max_prs_per_repo: int = 1000
+    # Fixed values, as above.
+    max_commits_per_repo: int | None = 5000  # None: all
+    max_prs_per_repo: int | None = 1000
     since: date | None = None
     branches: tuple[str, ...] = ()
 

@@ -76,6 +76,12 @@ def collected_pulls(exports: Exports, params: RunParams) -> DataFrame:
     return rows.join(keys.select(*pull_source.KEY, "arrival"), pull_source.KEY)
 
 
+def _sortable(arrival: Column) -> Column:
+    """Ranks as texts of one width; positions of unlimited runs are such texts already."""
+    text = arrival.cast("string")
+    return F.when(F.length(text) < 10, F.lpad(text, 10, "0")).otherwise(text).alias("arrival")
+
+
 def dedup_input(scored: DataFrame | None, pulls: DataFrame | None) -> DataFrame:
     """Records that reached stage 4 with their order and content: commits before pull requests."""
     parts = []
@@ -87,7 +93,7 @@ def dedup_input(scored: DataFrame | None, pulls: DataFrame | None) -> DataFrame:
                 F.lit("commit").alias("source"),
                 F.lit(0).alias("source_rank"),
                 F.col("sha").alias("record_id"),
-                "arrival",
+                _sortable(F.col("arrival")),
                 dedup.content(F.col("message_subject"), diff).alias("content"),
             )
         )
@@ -98,7 +104,7 @@ def dedup_input(scored: DataFrame | None, pulls: DataFrame | None) -> DataFrame:
                 F.lit("pr").alias("source"),
                 F.lit(1).alias("source_rank"),
                 F.col("number").cast("string").alias("record_id"),
-                "arrival",
+                _sortable(F.col("arrival")),
                 dedup.content(F.col("title"), F.col("diff")).alias("content"),
             )
         )

@@ -6,12 +6,13 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from histloom.operators import health as health_ops
 from histloom.operators import report, split
-from histloom.operators.staging import stage
+from histloom.operators.staging import stage, staged_run
 from histloom.params import RunParams
 from histloom.plans.dataset import plan_run
 from histloom.sources.exports import Exports
@@ -62,6 +63,15 @@ def run(
     ``selected`` (full_name) are the repos of the run: processed even if nothing came of them.
     A dry run writes nothing but counts everything.
     """
+    spark = next(t for t in (exports.commits, exports.pull_requests) if t is not None).sparkSession
+    with staged_run(spark):
+        row, schema = _run(exports, params, output, dry_run, selected)
+    return spark.createDataFrame([row], schema)
+
+
+def _run(
+    exports: Exports, params: RunParams, output: str, dry_run: bool, selected: DataFrame | None
+) -> tuple[Row, StructType]:
     run_id, began = str(uuid.uuid4()), time.time()
     outcome = plan_run(exports, params)
     decisions = stage(outcome.all_decisions(), "decisions")
@@ -92,7 +102,7 @@ def run(
     if not dry_run:
         row.write.mode("overwrite").json(f"{output}/{REPORT}")
         repos.write.mode("overwrite").json(f"{output}/{REPOS}")
-    return row
+    return row.first(), row.schema
 
 
 def lines_in_order(spark: SparkSession, path: str) -> DataFrame:

@@ -44,8 +44,16 @@ def first_branch(listing: DataFrame) -> DataFrame:
     )
 
 
-def newest_commits(listing: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` commits of each repo in branch order, newest first within a branch."""
+def newest_commits(listing: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` commits of each repo in branch order, newest first within a branch.
+
+    ``arrival`` is their rank. Without a limit nothing is ranked, and ``arrival`` is a text that
+    sorts in the same order.
+    """
+    if n is None:
+        late = F.lpad((F.lit(2**62) - F.unix_micros(F.col("author_ts").cast("timestamp"))).cast("string"), 20, "0")
+        place = F.lpad(F.col("branch_pos").cast("string"), 10, "0")
+        return listing.withColumn("arrival", F.concat_ws("-", place, late, "sha"))
     order = [F.col("branch_pos").asc(), F.col("author_ts").desc(), F.col("sha").asc()]
     return first_n_per_group(listing, ["repo"], order, n, spread_by=["sha"], rank="arrival")
 
@@ -74,16 +82,24 @@ def normalise_commits(raw: DataFrame) -> DataFrame:
 
 
 def branch_commit_counts(listing: DataFrame, params: CollectParams) -> DataFrame:
-    """Commits per repo and branch; with several branches also their sum (branch is null)."""
+    """Commits per repo and chosen branch, also where there are none since the day asked for.
+
+    With several branches also their sum (branch is null).
+    """
+    if params.branches:
+        names = F.explode(F.array(*[F.lit(b) for b in params.branches]))
+        wanted = listing.select("repo").distinct().select("repo", names.alias("branch"))
+    else:
+        wanted = listing.filter("is_default").select("repo", "branch").distinct()
     chosen = on_branches(since(listing, "author_ts", params.since), params.branches)
-    counts = chosen.groupBy("repo", "branch").agg(F.count(F.lit(1)).alias("n_commits"))
+    counts = chosen.groupBy("repo", "branch").agg(F.count(F.lit(1)).alias("n"))
+    counts = wanted.join(counts, ["repo", "branch"], "left")
     return (
         counts.groupingSets([["repo", "branch"], ["repo"]], "repo", "branch")
         .agg(
-            F.sum("n_commits").alias("n_commits"),
-            F.count(F.lit(1)).alias("_branches"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_commits"),
             F.grouping("branch").alias("_is_total"),
         )
         .filter((F.col("_is_total") == 0) | (F.lit(len(params.branches)) > 1))
-        .drop("_branches", "_is_total")
+        .drop("_is_total")
     )

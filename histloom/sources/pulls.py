@@ -16,24 +16,28 @@ KEY = ["repo", "number"]
 SCAN_FACTOR = 5
 
 
-def scan_pulls(closed: DataFrame, max_prs: int, day: date | None = None) -> DataFrame:
+def scan_pulls(closed: DataFrame, max_prs: int | None, day: date | None = None) -> DataFrame:
     """Keys of the merged pull requests a run takes, with their ``arrival`` position.
 
     Per repo the first SCAN_FACTOR x max_prs closed ones by update time are looked at, unmerged
     and too old ones are passed over, and the first max_prs of the rest are taken. Works on the
-    key columns alone; texts are joined afterwards.
+    key columns alone; texts are joined afterwards. Without a limit every merged one is taken and
+    none ranked: ``arrival`` is then a text that sorts in the same order.
     """
     order = [F.col("updated_at").desc(), F.col("number").desc()]
-    scanned = first_n_per_group(
-        closed.select(*KEY, "updated_at", "merged_at"),
-        ["repo"],
-        order,
-        SCAN_FACTOR * max_prs,
-        spread_by=["number"],
-    )
+    scanned = closed.select(*KEY, "updated_at", "merged_at")
+    if max_prs is not None:
+        scanned = first_n_per_group(
+            scanned, ["repo"], order, SCAN_FACTOR * max_prs, spread_by=["number"]
+        )
     merged = scanned.filter(F.col("merged_at").isNotNull())
     if day is not None:
         merged = merged.filter(F.col("merged_at") >= start_of(day, closed, "merged_at"))
+    if max_prs is None:
+        late = F.lit(2**62) - F.unix_micros(F.col("updated_at").cast("timestamp"))
+        falling = [late, F.lit(2**62) - F.col("number")]
+        texts = [F.lpad(x.cast("string"), 20, "0") for x in falling]
+        return merged.withColumn("arrival", F.concat_ws("-", *texts))
     return first_n_per_group(
         merged.drop("rank"), ["repo"], order, max_prs, spread_by=["number"], rank="arrival"
     )

@@ -7,6 +7,7 @@ import pytest
 from histloom import params as pm
 from histloom.functions import fixed_values as fv
 from histloom.plans import jobs
+from histloom.plans.dataset import plan_run
 from histloom.sources.exports import SCHEMAS, Exports, read_exports
 
 WHEN = datetime(2024, 1, 1, 12, 0, 0, 250000)
@@ -122,8 +123,6 @@ def test_sharegpt_review(exports, tmp_path):
 
 
 def test_strict_needs_linked_issue(exports, spark):
-    from histloom.plans.dataset import plan_run
-
     p = pm.RunParams(pm.FilterParams(require_linked_issue=True), task="issue_to_patch")
     others = exports.pull_requests.filter("number = 4")
     only = Exports(pull_requests=others, issues=exports.issues, repos=exports.repos)
@@ -136,6 +135,30 @@ def test_dry_run_writes_nothing(exports, tmp_path):
     assert row["stats"]["final_records"] == 3 and os.listdir(tmp_path) == []
 
 
+def test_selected_repos_count_without_records(exports, spark, tmp_path):
+    selected = spark.createDataFrame([("o/r",), ("o/empty",)], "full_name string")
+    row = jobs.run(exports, pm.profile("default"), str(tmp_path), selected=selected).first()
+    assert row["n_repos"] == 2
+    assert {r["repo"] for r in read(f"{tmp_path}/{jobs.REPOS}")} == {"o/r", "o/empty"}
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert not [f for f in os.listdir(folder) if f.startswith("run-")]
+
+
+def test_repeated_source_rows_and_no_limits(exports, spark):
+    twice = Exports(commits=exports.commits.union(exports.commits), file_changes=exports.file_changes)
+    p = pm.RunParams(collect=pm.CollectParams(None, None), task="commit_message")
+    once = plan_run(Exports(commits=exports.commits, file_changes=exports.file_changes), p)
+    assert sorted(map(str, plan_run(twice, p).all_decisions().collect())) == sorted(
+        map(str, once.all_decisions().collect())
+    )
+    limited = pm.RunParams(task="commit_message")
+    assert plan_run(twice, limited).all_decisions().count() == 5
+    free = pm.RunParams(collect=pm.CollectParams(None, None), task="pr_review")
+    pulls = plan_run(exports, free).all_decisions()
+    bounded = plan_run(exports, pm.RunParams(task="pr_review")).all_decisions()
+    assert sorted(map(str, pulls.collect())) == sorted(map(str, bounded.collect()))
+
+
 def test_healthy_repos_only(exports, spark):
     kept = jobs.only_healthy(exports, exports.repos.select("full_name"))
     assert kept.commits.count() == 5 and kept.pull_requests.count() == 4
