@@ -71,7 +71,7 @@ def collected_commits(exports: Exports, params: RunParams) -> DataFrame:
 
 def collected_pulls(exports: Exports, params: RunParams) -> DataFrame:
     collect = params.collect
-    keys = pull_source.scan_pulls(exports.pull_requests, collect.max_prs_per_repo, collect.since)
+    keys = pull_source.scan_pulls(exports.closed_pulls(), collect.max_prs_per_repo, collect.since)
     rows = pull_source.normalise_pulls(exports.pull_requests).dropDuplicates(pull_source.KEY)
     return rows.join(keys.select(*pull_source.KEY, "arrival"), pull_source.KEY)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -25,22 +26,8 @@ REPOS = "repos_processed.jsonl"
 
 
 def only_repos(exports: Exports, repos: DataFrame) -> Exports:
-    """Exports reduced to the given repos (full_name)."""
-    names = repos.select(F.col("full_name").alias("repo"))
-
-    def reduced(df: DataFrame | None) -> DataFrame | None:
-        return df if df is None else df.join(names, "repo", "left_semi")
-
-    return Exports(
-        commits=reduced(exports.commits),
-        file_changes=exports.file_changes,
-        pull_requests=reduced(exports.pull_requests),
-        review_comments=exports.review_comments,
-        issues=exports.issues,
-        repos=exports.repos,
-        branches=reduced(exports.branches),
-        releases=exports.releases,
-    )
+    """Exports whose runs take the given repos (full_name) only."""
+    return replace(exports, selected=repos.select("full_name"))
 
 
 def only_healthy(exports: Exports, selected: DataFrame) -> Exports:
@@ -64,6 +51,7 @@ def run(
     A dry run writes nothing but counts everything.
     """
     spark = next(t for t in (exports.commits, exports.pull_requests) if t is not None).sparkSession
+    selected = exports.selected if selected is None else selected
     with staged_run(spark):
         row, schema = _run(exports, params, output, dry_run, selected)
     return spark.createDataFrame([row], schema)

@@ -41,7 +41,8 @@ SCHEMAS = {
 @dataclass(frozen=True)
 class Exports:
     """Tables as in SCHEMAS. ``branches`` is one row per (branch, commit on it); without it every
-    commit counts as being on its repo's default branch."""
+    commit counts as being on its repo's default branch. ``selected`` (full_name) limits a run to
+    some repos: the choice is made on the narrow keys, before texts are joined to them."""
 
     commits: DataFrame | None = None
     file_changes: DataFrame | None = None
@@ -51,13 +52,26 @@ class Exports:
     repos: DataFrame | None = None
     branches: DataFrame | None = None
     releases: DataFrame | None = None
+    selected: DataFrame | None = None
+
+    def chosen(self, keys: DataFrame) -> DataFrame:
+        """The rows of the selected repos."""
+        if self.selected is None:
+            return keys
+        return keys.join(self.selected.select(F.col("full_name").alias("repo")), "repo", "left_semi")
 
     def listing(self) -> DataFrame:
         if self.branches is not None:
-            return self.branches
-        return self.commits.select(
+            return self.chosen(self.branches)
+        keys = self.commits.select(
             "repo", F.lit("HEAD").alias("branch"), F.lit(True).alias("is_default"), "sha", "author_ts"
         )
+        return self.chosen(keys)
+
+    def closed_pulls(self) -> DataFrame:
+        return self.chosen(
+            self.pull_requests.select("repo", "number", "updated_at", "merged_at")
+        )
 
 
 def read_exports(

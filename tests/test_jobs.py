@@ -161,7 +161,11 @@ def test_repeated_source_rows_and_no_limits(exports, spark):
 
 def test_healthy_repos_only(exports, spark):
     kept = jobs.only_healthy(exports, exports.repos.select("full_name"))
-    assert kept.commits.count() == 5 and kept.pull_requests.count() == 4
+    assert kept.selected.count() == 1
+    other = spark.createDataFrame([("o/other",)], "full_name string")
+    for repos, n in ((kept.selected, 8), (other, 0)):
+        plan = plan_run(jobs.only_repos(exports, repos), pm.profile("default"))
+        assert plan.all_collected().count() == n
 
 
 def test_read_exports(exports, spark, tmp_path):
