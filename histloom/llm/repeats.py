@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histloom.llm.common import by_value, stage
+from histloom.llm.common import arrow_rows, by_value, stage
 
 by_value(__name__)
 
@@ -42,6 +42,8 @@ LENGTH = 400
 # Order of the difference set: period ORDER^2 + ORDER + 1, of which ORDER + 1 offsets are sampled.
 ORDER = 13
 BATCH_BYTES = 4_000_000
+# Batches that Python is handed at a time.
+BATCH_ROWS = 8
 # Names sorted together by one task.
 SORTED_NAMES = 1_000_000
 _CHUNK = 1_000_000
@@ -332,15 +334,16 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     hits = starts[_flags(row["strings"])[rank]]
                 yield _removals(batch, row, hits)
 
-        samples = _shared(batches.select("batch", "data", "ends").mapInArrow(first, _DEALT), "samples")
-        sampled = batches.join(samples, "batch", "left")
-        strings = _shared(
-            sampled.select("batch", "data", "ends", "samples").mapInArrow(second, _DEALT), "strings"
-        )
-        done = sampled.join(strings, "batch", "left").mapInArrow(
-            third, "one bigint, two bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-        )
-        removals = stage(done, "removals")
+        with arrow_rows(spark, BATCH_ROWS):
+            samples = _shared(batches.select("batch", "data", "ends").mapInArrow(first, _DEALT), "samples")
+            sampled = batches.join(samples, "batch", "left")
+            strings = _shared(
+                sampled.select("batch", "data", "ends", "samples").mapInArrow(second, _DEALT), "strings"
+            )
+            done = sampled.join(strings, "batch", "left").mapInArrow(
+                third, "one bigint, two bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+            )
+            removals = stage(done, "removals")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     whole = F.when(F.col("n_bytes") < length, F.sha2("text", 256))

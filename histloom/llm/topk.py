@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histloom.llm.common import by_value, stage
+from histloom.llm.common import arrow_rows, by_value, stage
 from histloom.operators.skew import first_n_per_group
 
 by_value(__name__)
@@ -35,6 +35,8 @@ K = 5
 # Rows of a block; a pair of blocks needs a few arrays of their product.
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 8192
+# Pairs of blocks that Python is handed at a time.
+PAIR_ROWS = 4
 # Share of each sorted list that has been read after each round.
 READ = (1 / 16, 1 / 4, 1 / 2)
 # Products up to here are exact in 32-bit floats.
@@ -164,6 +166,8 @@ def top_k(
     found = met.select("width", "q_ids", "q_data", "ids", "data").mapInArrow(
         _search(k), "query_id bigint, vec_id bigint, score bigint"
     )
+    with arrow_rows(queries.sparkSession, PAIR_ROWS):
+        found = stage(found, "block-hits")
     # Only k rows per query and candidate block are left; they are ranked in two levels.
     order = [F.col("score").desc(), F.col("vec_id")]
     best = first_n_per_group(found, ["query_id"], order, k, ["vec_id"])
