@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histloom.llm.common import by_value, stage
-from histloom.llm.tokens import Encoder
+from histloom.llm.tokens import encoder
 
 by_value(__name__)
 
@@ -40,11 +40,11 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode_text = encoder(tokenizer).ids
         for batch in batches:
             keys, rows, bodies = batch.column(0).to_pylist(), [], []
             for key, body in zip(keys, batch.column(1), strict=True):
-                ids = encoder.ids(body.as_py())
+                ids = encode_text(body.as_py())
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity].tobytes()
                     rows.append((key, start, len(part) // 4, zlib.crc32(part), len(ids)))
