@@ -659,8 +659,16 @@ def _selects() -> dict[str, str]:
         ),
         "dataset_all": ALL_RECORDS,
         "clean_dataset": f"SELECT instruction, input, output FROM ({ALL_RECORDS})",
-        "excluded_log": f"""SELECT source, repo, record_id, headline, stage_failed, reason FROM {DECISIONS}
-            WHERE reason IS NOT NULL""",
+        "excluded_log": f"""SELECT e.source, e.repo, e.record_id, e.headline, e.stage_failed, e.reason,
+            md5(CASE WHEN e.source = 'commit' THEN coalesce(f.content, '')
+                ELSE concat(p.diff, chr(10), coalesce(c.comment_rows, '')) END) AS content
+            FROM (SELECT * FROM {DECISIONS} WHERE reason IS NOT NULL) e
+            LEFT JOIN (SELECT repo, sha, string_agg(concat_ws('|', filename, change_type, additions,
+                deletions, diff), chr(10) ORDER BY pos) AS content FROM files GROUP BY repo, sha) f
+                ON e.source = 'commit' AND f.repo = e.repo AND f.sha = e.record_id
+            LEFT JOIN pulls p
+                ON e.source = 'pr' AND p.repo = e.repo AND cast(p.number AS varchar) = e.record_id
+            LEFT JOIN comments c ON c.repo = p.repo AND c.number = p.number""",
         "decisions_all": f"SELECT repo, source, record_id, task, stage_failed, reason, score FROM {DECISIONS}",
         "stage_funnel": f"""SELECT stage_failed, count(*) AS n_dropped FROM {DECISIONS}
             WHERE reason IS NOT NULL GROUP BY stage_failed""",

@@ -533,15 +533,31 @@ def clean_dataset(spark, sf):
 
 @query
 def excluded_log(spark, sf):
+    """The log's scalars and a digest of what its records hold: files, or diff and comments."""
     log = _run(spark, sf, "all").excluded_log()
     record = lambda path: F.get_json_object("record", f"$.{path}")
-    return log.select(
+    content = F.from_json(
+        "record",
+        "diff string, files_changed array<struct<filename:string,change_type:string,"
+        "additions:bigint,deletions:bigint,diff:string>>, "
+        "review_comments array<struct<path:string,diff_hunk:string,body:string,author:string>>",
+    )
+
+    def rows(column: str, *fields: str) -> F.Column:
+        lines = F.transform(column, lambda r: F.concat_ws("|", *[r[f] for f in fields]))
+        return F.array_join(lines, "\n")
+
+    files_text = rows("c.files_changed", "filename", "change_type", "additions", "deletions", "diff")
+    comments_text = rows("c.review_comments", "path", "diff_hunk", "body", "author")
+    pull_text = F.concat("c.diff", F.lit("\n"), comments_text)
+    return log.withColumn("c", content).select(
         "source",
         "repo",
         F.coalesce(record("sha"), record("number")).alias("record_id"),
         F.coalesce(record("message_subject"), record("title")).alias("headline"),
         "stage_failed",
         "reason",
+        F.md5(F.when(F.col("source") == "commit", files_text).otherwise(pull_text)).alias("content"),
     )
 
 
