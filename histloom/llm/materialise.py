@@ -4,7 +4,8 @@ Documents become sequences of ``STRIDE_IDS`` ids. Every sequence has a dense ind
 Feistel permutation, cycle-walked into the range, gives it a global slot. Slots are dealt to shards
 by range, and each shard is one file of records of equal size in slot order, so a reader seeks to
 ``record * stride`` and may stop and resume anywhere. Files go through Spark's own committed text
-writer: a record is the ids' bytes and one line feed.
+writer: a record is its slot (8 bytes, big-endian), the ids (16 bits each, little-endian) and one
+line feed.
 
 Defined results: a null or empty text is one sequence holding its closing id; equal rows are
 sequences of their own; ids must fit into 16 bits.
@@ -12,7 +13,6 @@ sequences of their own; ids must fit into 16 bits.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histloom.llm.common import by_value, stage
-from histloom.llm.tokens import Encoder
+from histloom.llm.tokens import encoder
 
 by_value(__name__)
 
@@ -36,8 +36,12 @@ SHARD_RECORDS = 32_768
 PADDING = 0
 
 
+# Bytes before a record's ids: its slot.
+HEADER = 8
+
+
 def record_bytes(stride: int = STRIDE_IDS) -> int:
-    return 2 * stride + 1
+    return HEADER + 2 * stride + 1
 
 
 def _mix(half: np.ndarray, key: int, turn: int) -> np.ndarray:
@@ -77,50 +81,52 @@ def slot_of(index: Column, total: int, key: int = KEY) -> Column:
 
 
 def _sequences(docs: DataFrame, tokenizer: str, stride: int) -> DataFrame:
-    """(part, first, doc_id, doc_tokens, ids): documents numbered within their task.
+    """(part, place, doc_id, start, length, ids): sequences numbered within their task.
 
-    ``first`` counts the sequences of the task before this document. Written once, the numbers
-    are those of the attempt that was committed.
+    Written once, the numbers are those of the attempt that was committed.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, first = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        names = ["part", "first", "doc_id", "doc_tokens", "ids"]
+        encode_text, part, place = encoder(tokenizer).ids, TaskContext.get().partitionId(), 0
         for batch in batches:
-            bodies, lengths, firsts = [], [], []
-            for body in batch.column(1):
-                ids = encoder.ids(body.as_py())
+            rows, bodies = [], []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode_text(body.as_py())
                 if ids.max() > 0xFFFF:
                     raise ValueError("ids over 65535 need a wider record")
-                bodies.append(ids.astype("<u2").tobytes())
-                lengths.append(len(ids))
-                firsts.append(first)
-                first += -(-len(ids) // stride)
-            n = batch.num_rows
+                for start in range(0, len(ids), stride):
+                    one = ids[start : start + stride]
+                    rows.append((part, place, key, start, len(one)))
+                    bodies.append(one.astype("<u2").tobytes())
+                    place += 1
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int64()), pa.array(firsts, pa.int64()), batch.column(0),
-                 pa.array(lengths, pa.int64()), pa.array(bodies, pa.binary())], names=names,
-            )
+                [*columns, pa.array(bodies, pa.binary())],
+                names=["part", "place", "doc_id", "start", "length", "ids"],
+            )
 
     return docs.mapInArrow(
-        encode, "part bigint, first bigint, doc_id bigint, doc_tokens bigint, ids binary"
+        encode,
+        "part bigint, place bigint, doc_id bigint, start bigint, length bigint, ids binary",
     )
 
 
-def _with_index(numbered: DataFrame, stride: int) -> tuple[DataFrame, int]:
-    """Dense ``index`` of every document's first sequence, and the number of sequences."""
-    count = F.expr(f"(doc_tokens + {stride - 1}) div {stride}")
+def _with_slots(sequences: DataFrame, key: int, shard_records: int) -> tuple[DataFrame, int]:
+    """Add slot, shard and record; also the number of sequences."""
     # One row per task that wrote, so as small as the list of files.
-    sizes = numbered.groupBy("part").agg(F.max(F.col("first") + count).alias("n"))
-    rows = sorted(sizes.collect(), key=lambda r: r.part)
+    sizes = sequences.groupBy("part").agg((F.max("place") + 1).alias("n"))
     before, total = [], 0
-    for r in rows:
+    for r in sorted(sizes.collect(), key=lambda r: r.part):
         before.append((r.part, total))
         total += r.n
-    spark = numbered.sparkSession
-    offsets = spark.createDataFrame(before, "part bigint, before bigint")
-    placed = numbered.join(F.broadcast(offsets), "part")
-    return placed.withColumn("index", F.col("before") + F.col("first")), total
+    offsets = sequences.sparkSession.createDataFrame(before, "part bigint, before bigint")
+    placed = sequences.join(F.broadcast(offsets), "part")
+    placed = placed.withColumn("slot", slot_of(F.col("before") + F.col("place"), total, key))
+    placed = placed.withColumns(
+        {"shard": F.expr(f"int(slot div {shard_records})"),
+         "record": F.expr(f"slot % {shard_records}")}
+    )
+    return placed.drop("part", "place", "before"), total
 
 
 def materialise(
@@ -135,24 +141,13 @@ def materialise(
     narrow = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")
     )
-    numbered = stage(_sequences(narrow, tokenizer, stride), "token-ids", compression="zstd")
-    placed, total = _with_index(numbered, stride)
-    piece = F.explode(F.expr(f"sequence(0L, (doc_tokens - 1) div {stride})"))
-    keyed = placed.select("doc_id", "doc_tokens", "index", "ids", piece.alias("k"))
-    keyed = keyed.select(
-        "doc_id",
-        (F.col("k") * stride).alias("start"),
-        F.least(F.lit(stride), F.col("doc_tokens") - F.col("k") * stride).alias("length"),
-        slot_of(F.col("index") + F.col("k"), total, key).alias("slot"),
-        F.expr(f"substring(ids, int(k * {2 * stride} + 1), {2 * stride})").alias("ids"),
-    )
-    shard = F.expr(f"slot div {shard_records}")
-    shards = max(1, -(-total // shard_records))
-    padding = F.expr(f"repeat('{PADDING:04X}', int({stride} - length))")
-    record = F.concat(F.col("ids"), F.unhex(padding)).cast("string")
+    sequences = stage(_sequences(narrow, tokenizer, stride), "token-ids", compression="zstd")
+    placed, total = _with_slots(sequences, key, shard_records)
+    padding = F.unhex(F.expr(f"repeat('{PADDING:04X}', int({stride} - length))"))
+    header = F.unhex(F.lpad(F.hex("slot"), 2 * HEADER, "0"))
     (
-        keyed.select(shard.cast("int").alias("shard"), "slot", record.alias("record"))
-        .repartitionById(shards, F.col("shard"))
+        placed.select("shard", "slot", F.concat(header, "ids", padding).cast("string").alias("record"))
+        .repartitionById(max(1, -(-total // shard_records)), F.col("shard"))
         .sortWithinPartitions("shard", "slot")
         .select("record", "shard")
         .write.partitionBy("shard")
@@ -160,36 +155,15 @@ def materialise(
         .option("compression", "none")
         .text(path)
     )
-    narrow_index = placed.select("doc_id", "doc_tokens", "index", piece.alias("k")).select(
-        "doc_id",
-        (F.col("k") * stride).alias("start"),
-        F.least(F.lit(stride), F.col("doc_tokens") - F.col("k") * stride).alias("length"),
-        slot_of(F.col("index") + F.col("k"), total, key).alias("slot"),
-    )
-    return narrow_index.withColumn("shard", shard.cast("int")).withColumn(
-        "record", F.expr(f"slot % {shard_records}")
-    )
-
-
-def read_shards(spark: SparkSession, path: str, stride: int = STRIDE_IDS,
-                shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """(slot, ids_crc32, ids) of every record, read from the files in file order."""
-    size = record_bytes(stride)
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = memoryview(content.as_buffer())
-                for at in range(0, len(data), 4096 * size):
-                    part = data[at : at + 4096 * size]
-                    ids = [bytes(part[i : i + size - 1]) for i in range(0, len(part), size)]
-                    first = shard * shard_records + at // size
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(first, first + len(ids))),
-                         pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                         pa.array(ids, pa.binary())],
-                        names=["slot", "ids_crc32", "ids"],
-                    )
-
-    files = spark.read.format("binaryFile").load(path).select(F.col("shard").cast("long"), "content")
-    return files.mapInArrow(split, "slot bigint, ids_crc32 bigint, ids binary")
+    return _with_slots(sequences.drop("ids"), key, shard_records)[0]
+
+
+def read_shards(spark: SparkSession, path: str, stride: int = STRIDE_IDS) -> DataFrame:
+    """(slot, ids) of every record; files are read record by record, never whole."""
+    if spark.read.format("binaryFile").load(path).select("path").isEmpty():
+        return spark.createDataFrame([], "slot bigint, ids binary")
+    records = spark.sparkContext.binaryRecords(f"{path}/shard=*", record_bytes(stride))
+    rows = spark.createDataFrame(records.map(lambda r: (bytearray(r),)), "record binary")
+    slot = F.conv(F.hex(F.expr(f"substring(record, 1, {HEADER})")), 16, 10).cast("bigint")
+    ids = F.expr(f"substring(record, {HEADER + 1}, {2 * stride})")
+    return rows.select(slot.alias("slot"), ids.alias("ids"))

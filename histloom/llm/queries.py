@@ -80,7 +80,7 @@ def op5_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_folder(spark)
     path = fresh_folder(spark, "shards")
     index = materialise.materialise(table(spark, sf_dir, "documents"), path, TOKENIZER)
-    records = materialise.read_shards(spark, path).select("slot", "ids_crc32")
+    records = materialise.read_shards(spark, path).select("slot", F.crc32("ids").alias("ids_crc32"))
     return index.join(records, "slot")
 
 

@@ -89,7 +89,7 @@ def test_shards_read_back_exactly(spark, plain, tmp_path):
     index = materialise.materialise(docs, path, PATH, stride=16, shard_records=40).collect()
     records = {
         r.slot: np.frombuffer(r.ids, "<u2").tolist()
-        for r in materialise.read_shards(spark, path, 16, 40).collect()
+        for r in materialise.read_shards(spark, path, 16).collect()
     }
     assert sorted(records) == list(range(len(index))) == sorted(r.slot for r in index)
     texts = defaultdict(list)
@@ -109,7 +109,8 @@ def test_shards_read_back_exactly(spark, plain, tmp_path):
         data = f.read_bytes()
         assert len(data) % stride == 0
         at = len(data) // stride - 1
-        one = np.frombuffer(data[at * stride : at * stride + 32], "<u2").tolist()
+        one = np.frombuffer(data[at * stride + 8 : at * stride + 40], "<u2").tolist()
         assert one == records[shard * 40 + at]
     empty = materialise.materialise(docs.filter("false"), str(tmp_path / "none"), PATH)
     assert empty.count() == 0
+    assert materialise.read_shards(spark, str(tmp_path / "none")).count() == 0
