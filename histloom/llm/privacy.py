@@ -4,12 +4,13 @@ Every e-mail address, IP address, card and phone number found by pattern is a pr
 The words near its occurrences are counted over the whole corpus. A term discloses an entity when
 knowing the term makes the entity likely and is far more informative than chance:
 
-    p(entity | term) = contexts with both / documents with the term   >= ``GENERALISE``
-    information      = log2(p(entity | term) / p(entity))             >= ``MIN_BITS``
-    contexts with both                                                >= ``SUPPORT``
+    p(entity | term) = texts with the term near the entity / texts with the term   >= ``GENERALISE``
+    information      = log2(p(entity | term) / p(entity))                          >= ``MIN_BITS``
+    texts with the term near the entity                                            >= ``SUPPORT``
 
-Equal contexts count once, so copies of a text prove nothing. Such terms are generalised wherever
-they stand, and removed from ``REMOVE`` on. Spans are code points, end exclusive.
+All counts, p(entity) too, are of different texts: copies of a text count once, so they neither prove
+nor hide anything. Such terms are generalised wherever they stand, and removed from ``REMOVE`` on.
+Spans are code points, end exclusive.
 
 Defined results: a null text is empty and has no spans; equal rows have equal results.
 """
@@ -20,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -113,15 +115,17 @@ def term_spans(text: str, terms: dict[str, str], taken: list[Span]) -> list[Span
     return [(a, len(KINDS), b) for a, b in found if all(b <= s or a >= e for s, _, e in taken)]
 
 
-def _contexts(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list[str]]]:
-    """(entity, context, terms) of each span: the nearest words on either side."""
+def _near(text: str, spans: list[Span]) -> set[tuple[int, str | None]]:
+    """(entity, term) of the nearest words on either side of each span; term null for the entity."""
+    found: set[tuple[int, str | None]] = set()
     for start, kind, end in spans:
         # Long enough for the words wanted, whatever the text's length.
         before = TERM.findall(text[max(0, start - 40 * CONTEXT_WORDS) : start])[-CONTEXT_WORDS:]
         after = TERM.findall(text[end : end + 40 * CONTEXT_WORDS])[:CONTEXT_WORDS]
-        terms = [w.casefold() for w in before + after]
-        entity = f"{KINDS[kind]}:{text[start:end].casefold()}"
-        yield _hash64(entity), _hash64(" ".join(terms)), sorted(set(terms))
+        entity = _hash64(f"{KINDS[kind]}:{text[start:end].casefold()}")
+        found.add((entity, None))
+        found.update((entity, w.casefold()) for w in before + after)
+    return found
 
 
 def _hash64(value: str) -> int:
@@ -129,21 +133,23 @@ def _hash64(value: str) -> int:
 
 
 def contexts(docs: DataFrame, text: str) -> DataFrame:
-    """(entity, context, term) for every word near every pattern match."""
+    """(body, entity, term), body being the text's hash: a row for every text, for every entity of
+    a text (term null), and for every word near one."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for body in batch.column(0):
                 body = body.as_py() or ""
-                for entity, context, terms in _contexts(body, base_spans(body)):
-                    rows += [(entity, context, t) for t in terms]
+                digest = _hash64(body)
+                rows.append((digest, None, None))
+                rows += [(digest, *found) for found in _near(body, base_spans(body))]
             kinds = (pa.int64(), pa.int64(), pa.string())
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["entity", "context", "term"])
+            yield pa.RecordBatch.from_arrays(columns, names=["body", "entity", "term"])
 
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(
-        near, "entity bigint, context bigint, term string"
+        near, "body bigint, entity bigint, term string"
     )
 
 
@@ -166,54 +172,88 @@ def _words(docs: DataFrame, row: str, text: str) -> DataFrame:
     return narrow.mapInArrow(cut, "row bigint, term string, start int, end int")
 
 
-def _documents_with(docs: DataFrame, text: str, terms: DataFrame, limit: int) -> DataFrame:
-    """(term, documents): in how many documents of the corpus each term stands."""
+def _texts_with(docs: DataFrame, text: str, terms: DataFrame, limit: int) -> DataFrame:
+    """(term, texts): in how many different texts of the corpus each term stands."""
     listed = [r.term for r in terms.limit(limit + 1).collect()]
+    narrow = docs.select(F.col(f"`{text}`").alias("text"))
     if len(listed) > limit:
-        row = fresh(docs, "_row")
-        kept = stage(docs.select(F.monotonically_increasing_id().alias(row),
-                                 F.col(f"`{text}`").alias(text)), "texts")
-        words = _words(kept, row, text).select("row", "term").distinct().join(terms, "term")
-        return words.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(listed))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for body in batch.column(0):
+                    body = body.as_py() or ""
+                    here = sorted({w.casefold() for w in set(TERM.findall(body))})
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([_hash64(body)] * len(here), pa.int64()), pa.array(here, pa.string())],
+                        names=["body", "term"],
+                    )
+
+        pairs = narrow.mapInArrow(cut, "body bigint, term string").join(terms, "term").distinct()
+        return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    wanted = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(listed)})
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The texts that this task has seen; copies in other tasks meet by their hash.
+        seen: set[int] = set()
         for batch in batches:
+            bodies, found = [], []
             for body in batch.column(0):
-                words = {w.casefold() for w in set(TERM.findall(body.as_py() or ""))}
-                for w in words & wanted.value:
-                    seen[w] = seen.get(w, 0) + 1
+                body = body.as_py() or ""
+                digest = _hash64(body)
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                here = {w.casefold() for w in set(TERM.findall(body))} & wanted.value.keys()
+                if here:
+                    bodies.append(digest)
+                    found.append([wanted.value[w] for w in here])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bodies, pa.int64()), pa.array(found, pa.list_(pa.int32()))],
+                names=["body", "places"],
+            )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(wanted.value)
+        sums = np.zeros(len(names), np.int64)
+        for batch in batches:
+            places = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            sums += np.bincount(places, minlength=len(names))
+        some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
+            [pa.array([names[i] for i in some], pa.string()), pa.array(sums[some])],
             names=["term", "n"],
         )
 
-    partial = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "term string, n bigint")
-    return partial.groupBy("term").agg(F.sum("n").alias("documents"))
+    once = narrow.mapInArrow(find, "body bigint, places array<int>").groupBy("body")
+    partial = once.agg(F.first("places").alias("places")).select("places")
+    partial = partial.mapInArrow(count, "term string, n bigint")
+    return partial.groupBy("term").agg(F.sum("n").alias("texts"))
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT,
                      limit: int = TERM_LIMIT) -> DataFrame:
     """(term, action): every term over the thresholds, with ``remove`` or ``generalise``."""
-    near = stage(contexts(docs, text), "contexts")
-    # An entity may hold a third of all contexts: both counts combine before they move.
-    once = near.distinct()
+    # An entity may hold a third of all texts: all counts combine before they move.
+    once = stage(contexts(docs, text).distinct(), "contexts")
+    total = once.filter("entity IS NULL").count()
+    # Even a sure term of an entity in more texts than that has too few bits.
+    most = total / 2**MIN_BITS
     frequent = (
-        once.select("entity", "context").distinct().groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("of_entity")).filter(F.col("of_entity") >= support)
+        once.filter("entity IS NOT NULL AND term IS NULL").groupBy("entity")
+        .agg(F.count(F.lit(1)).alias("of_entity"))
+        .filter((F.col("of_entity") >= support) & (F.col("of_entity") <= most))
     )
     pairs = (
-        once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+        once.filter("term IS NOT NULL").groupBy("entity", "term")
+        .agg(F.count(F.lit(1)).alias("both"))
         .filter(F.col("both") >= support).join(frequent, "entity")
     )
     pairs = stage(pairs, "term-pairs")
     terms = stage(pairs.select("term").distinct(), "terms")
     if terms.isEmpty():
         return docs.sparkSession.createDataFrame([], "term string, action string")
-    spread = _documents_with(docs, text, terms, limit)
-    total = docs.count()
-    likely = F.col("both") / F.greatest("documents", "both")
+    spread = _texts_with(docs, text, terms, limit)
+    likely = F.col("both") / F.greatest("texts", "both")
     bits = F.log2(likely * F.lit(float(total)) / F.col("of_entity"))
     return stage(
         pairs.join(spread, "term")

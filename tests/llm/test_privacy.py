@@ -77,6 +77,25 @@ def test_copies_prove_nothing_and_empty_tables(spark):
     assert privacy.sanitise(docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_copies_hide_nothing(spark, limit):
+    kind = "doc_id bigint, text string, n string"
+    once = privacy.disclosing_terms(spark.createDataFrame(corpus(), kind), limit=limit).collect()
+    docs = spark.createDataFrame(corpus() * 5, kind).repartition(3)
+    assert len(once) == 4 and set(privacy.disclosing_terms(docs, limit=limit).collect()) == set(once)
+    # One text copied often, the others not.
+    docs = spark.createDataFrame(corpus() + corpus()[:1] * 300, kind)
+    assert set(privacy.disclosing_terms(docs, limit=limit).collect()) == set(once)
+
+
+def test_one_text_alone_proves_nothing(spark):
+    rows = [(0, " ".join(f"veltranic {chr(97 + i) * 4} kim@corp.example {chr(97 + i) * 5} " + "pad " * 20
+                         for i in range(5)), "x")]
+    rows += [(1 + i, f"common words, draft {i}", "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n string")
+    assert privacy.disclosing_terms(docs).count() == 0
+
+
 def test_overlapping_spans_are_masked_once():
     text = "call +1 408 555 0123 4567 now"
     spans = [(5, 3, 20), (6, 2, 25)]
