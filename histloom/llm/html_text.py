@@ -1,9 +1,10 @@
 """Main text of HTML pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Pass one decides blocks: boilerplate containers and
-link-heavy blocks are bad; blocks of an article, or long ones rich in stop words, are good; what is
-short or poor in stop words stays open. Pass two lets open blocks inherit the label of their nearest
-decided neighbours. Good blocks are joined in page order.
+link-heavy blocks are bad, long ones rich in stop words are good; what is short or poor in stop words
+stays open. An article is a bias: inside, half the length or any share of stop words will do. Pass two
+lets open blocks inherit: those of an article with good blocks are good, all others take the label of
+their nearest decided neighbours. Good blocks are joined in page order.
 
 Defined results: null and empty pages, and pages without good blocks, give the empty text; unclosed
 tags end with their parent; white space inside a block is one space. Nothing is cut by length.
@@ -88,7 +89,7 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Block:
     text: str
     bad: bool
-    article: bool
+    article: int  # number of the outermost article around, 0 for none
     heading: bool
     link_share: float
 
@@ -122,7 +123,8 @@ class _Page:
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
-        self._stack: list[tuple[str, bool, bool, bool, bool]] = []
+        self._stack: list[tuple[str, bool, bool, int, bool]] = []
+        self._articles = 0
         self._pieces: list[str] = []
         self._linked = 0
         self._in_link = False
@@ -149,8 +151,8 @@ class _Page:
         self._pieces.clear()
         self._linked = self._breaks = 0
 
-    def _state(self) -> tuple[str, bool, bool, bool, bool]:
-        return self._stack[-1] if self._stack else ("", False, False, False, False)
+    def _state(self) -> tuple[str, bool, bool, int, bool]:
+        return self._stack[-1] if self._stack else ("", False, False, 0, False)
 
     def open(self, name: str, attributes: str) -> None:
         if name == "a":
@@ -174,9 +176,10 @@ class _Page:
         _, was_bad, was_header, was_article, _ = self._state()
         if not block:
             self.end_block()
-        self._stack.append(
-            (name, was_bad or bad, was_header or header, was_article or name in ARTICLE, block)
-        )
+        if name in ARTICLE and not was_article:
+            self._articles += 1
+            was_article = self._articles
+        self._stack.append((name, was_bad or bad, was_header or header, was_article, block))
 
     def close(self, name: str) -> None:
         if name == "a":
@@ -224,14 +227,13 @@ def stop_share(text: str) -> float:
 
 def labels(blocks: list[Block]) -> list[bool]:
     """True for main text."""
-    articles = any(b.article and not b.bad for b in blocks)
     first: list[bool | None] = []
     for b in blocks:
-        if b.bad or b.link_share > LINK_SHARE or (articles and not b.article):
+        if b.bad or b.link_share > LINK_SHARE:
             first.append(False)
-        elif b.article:
+        elif len(b.text) >= LONG and (b.article or stop_share(b.text) >= STOP_SHARE):
             first.append(True)
-        elif len(b.text) >= LONG and stop_share(b.text) >= STOP_SHARE:
+        elif b.article and len(b.text) >= LONG / 2 and stop_share(b.text) >= STOP_SHARE:
             first.append(True)
         else:
             first.append(None)
@@ -243,6 +245,10 @@ def labels(blocks: list[Block]) -> list[bool]:
         ]
     if True not in first:
         first = [x is None for x in first]
+    good = {b.article for x, b in zip(first, blocks, strict=True) if x and b.article}
+    first = [
+        True if x is None and b.article in good else x for x, b in zip(first, blocks, strict=True)
+    ]
     return _inherited(first, [b.heading for b in blocks])
 
 

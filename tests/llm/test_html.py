@@ -31,6 +31,19 @@ def test_pages_by_hand(page, text):
     assert h.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<div id=content><p>{PARA}</p><p>Tiny.</p><p>{PARA}</p></div><footer>f</footer>"
+     "<article><p>Read this next</p></article>", f"{PARA}\nTiny.\n{PARA}"),
+    (f"<article><p>One says so.</p></article><nav>n</nav><div><p>{PARA}</p></div>", PARA),
+    (f"<nav>n</nav><h1>T</h1><article><p>{PARA}</p><nav>n</nav><p>zz</p></article><p>yy</p><nav>n</nav>",
+     f"T\n{PARA}\nzz"),
+    (f"<div><p>{PARA}</p></div><nav>n</nav><article><p>{'zz ' * 30}</p><p>zz</p></article>",
+     f"{PARA}\n{('zz ' * 30).strip()}\nzz"),
+])
+def test_text_outside_of_articles_is_judged_too(page, text):
+    assert h.main_text(page) == text
+
+
 def test_open_blocks_inherit():
     assert h._inherited([True, None, None, False], [False] * 4) == [True, True, False, False]
     assert h._inherited([False, None, True], [False, True, False]) == [False, True, True]
