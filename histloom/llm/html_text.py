@@ -52,6 +52,12 @@ BAD_HINTS = frozenset(
     "recommended related replies respond share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription tags teaser toolbar topbar widget".split()
 )
+# Of an article or main element; its other classes tell topics and states, not what it is.
+ARTICLE_HINTS = frozenset(
+    "ad advert advertisement comment comments promo promoted recommended related replies respond sponsor "
+    "sponsored teaser".split()
+)
+STATE_HINTS = frozenset("category has no tag with".split())
 HEADER_HINTS = frozenset(("header",))
 GOOD_HINTS = frozenset("article body content entry main post story text".split())
 STOP_WORDS = frozenset(
@@ -97,7 +103,7 @@ class Block:
 def _hinted(name: str, attributes: str) -> tuple[bool, bool]:
     """(boilerplate, header) by element, role, class and id."""
     bad, header = name in BOILERPLATE, name == "header"
-    if not attributes or name in ("html", "body", *ARTICLE):
+    if not attributes or name in ("html", "body"):
         return bad, header
     for found in _ATTRIBUTE.finditer(attributes):
         key = found[1].lower()
@@ -112,6 +118,9 @@ def _hinted(name: str, attributes: str) -> tuple[bool, bool]:
         elif key in ("class", "id"):
             for one in value.split():
                 parts = {p.lower() for p in _PARTS.findall(one)}
+                if name in ARTICLE:
+                    bad |= bool(parts & ARTICLE_HINTS) and not parts & (GOOD_HINTS | STATE_HINTS)
+                    continue
                 if not parts & GOOD_HINTS:
                     bad |= bool(parts & BAD_HINTS)
                 header |= bool(parts & HEADER_HINTS)

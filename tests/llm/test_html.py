@@ -44,6 +44,23 @@ def test_text_outside_of_articles_is_judged_too(page, text):
     assert h.main_text(page) == text
 
 
+@pytest.mark.parametrize("tag", [
+    "article class=comment", "article class='teaser related'", "article hidden", "main aria-hidden=true",
+    "article role=complementary", "article id='promo-2'", "main style='display: none'",
+])
+def test_attributes_of_articles_count(tag):
+    name = tag.split()[0]
+    assert h.main_text(f"<div><p>{PARA} Text.</p></div><{tag}><p>{PARA}</p></{name}>") == f"{PARA} Text."
+
+
+@pytest.mark.parametrize("tag", [
+    "article class='post tag-promo category-related'", "main role=main class='has-comments'", "article id=header",
+    "article class='sidebar-left'",
+])
+def test_topics_of_articles_do_not_count(tag):
+    assert h.main_text(f"<{tag}><p>{PARA}</p></{tag.split()[0]}>") == PARA
+
+
 def test_open_blocks_inherit():
     assert h._inherited([True, None, None, False], [False] * 4) == [True, True, False, False]
     assert h._inherited([False, None, True], [False, True, False]) == [False, True, True]
