@@ -86,6 +86,8 @@ _ATTRIBUTE = re.compile(
     r"\b(class|id|role|hidden|style|aria-hidden)\b\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+",
     re.I,
 )
+_NAME = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"']++)?+)?+")
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -137,6 +139,8 @@ class _Page:
         self._pieces: list[str] = []
         self._linked = 0
         self._in_link = False
+        self._link_depth = 0
+        self._link_closed = True
         self._breaks = 0
 
     def text(self, raw: str) -> None:
@@ -159,13 +163,21 @@ class _Page:
             self.blocks.append(Block(text, bad, article, heading, self._linked / len(text)))
         self._pieces.clear()
         self._linked = self._breaks = 0
+        # A link without an end tag ends with its block; one with it may hold blocks.
+        self._in_link &= self._link_closed
+
+    def _cut(self, depth: int) -> None:
+        del self._stack[depth:]
+        self._in_link &= depth >= self._link_depth
 
     def _state(self) -> tuple[str, bool, bool, int, bool]:
         return self._stack[-1] if self._stack else ("", False, False, 0, False)
 
-    def open(self, name: str, attributes: str) -> None:
+    def open(self, name: str, attributes: str, closed: bool = True) -> None:
+        """``closed`` tells of an anchor whether its end tag comes before the next anchor."""
         if name == "a":
-            self._in_link = True
+            self._in_link = any(n[1].lower() == "href" for n in _NAME.finditer(attributes))
+            self._link_depth, self._link_closed = len(self._stack), closed
         if name == "br":
             self._breaks += 1
             self._pieces.append(" ")
@@ -177,9 +189,9 @@ class _Page:
         if block:
             self.end_block()
             while self._stack and self._stack[-1][0] in ENDED_BY_BLOCK:
-                self._stack.pop()
+                self._cut(len(self._stack) - 1)
             if name in ENDED_BY_SAME and self._stack and self._stack[-1][0] == name:
-                self._stack.pop()
+                self._cut(len(self._stack) - 1)
         if name in EMPTY or not (block or bad or header):
             return
         _, was_bad, was_header, was_article, _ = self._state()
@@ -199,7 +211,7 @@ class _Page:
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] == name:
                 self.end_block()
-                del self._stack[i:]
+                self._cut(i)
                 return
             # An inline tag does not close the block around it.
             if not block and self._stack[i][4]:
@@ -223,7 +235,8 @@ def blocks_of(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
         else:
-            found.open(name, token["attributes"])
+            anchor = _ANCHOR.search(page, at) if name == "a" else None
+            found.open(name, token["attributes"], anchor is not None and anchor[1] == "/")
     found.text(page[at:])
     found.end_block()
     return found.blocks

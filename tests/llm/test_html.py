@@ -61,6 +61,19 @@ def test_topics_of_articles_do_not_count(tag):
     assert h.main_text(f"<{tag}><p>{PARA}</p></{tag.split()[0]}>") == PARA
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<a name=top><h1>T</h1><p>{PARA}</p><p>{PARA}</p>", f"T\n{PARA}\n{PARA}"),
+    (f"<article><a name='top' title='href=x'>{PARA}</a></article>", PARA),
+    (f"<p><a href=x>Back<p>{PARA}</p><p>{PARA}</p>", f"{PARA}\n{PARA}"),
+    (f"<a href=x>Back<div><p>{PARA}</p></div><a href=y>Next</a>", PARA),
+    (f"<ul><li><a HREF = 'x'>a</ul><p>{PARA}</p><p><a>b</a></p>", f"{PARA}\nb"),
+    # A closed link may hold blocks.
+    (f"<a href=x><div><p>{PARA}</p></div><div>{PARA}</div></a><p>{PARA} Text.</p>", f"{PARA} Text."),
+])
+def test_links_end(page, text):
+    assert h.main_text(page) == text
+
+
 def test_open_blocks_inherit():
     assert h._inherited([True, None, None, False], [False] * 4) == [True, True, False, False]
     assert h._inherited([False, None, True], [False, True, False]) == [False, True, True]
