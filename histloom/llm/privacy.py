@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -118,13 +119,15 @@ def term_spans(text: str, terms: dict[str, str], taken: list[Span]) -> list[Span
 def _near(text: str, spans: list[Span]) -> set[tuple[int, str | None]]:
     """(entity, term) of the nearest words on either side of each span; term null for the entity."""
     found: set[tuple[int, str | None]] = set()
+    # Whole words of the whole text, whatever stands between them and the span.
+    words = [m.span() for m in TERM.finditer(text)] if spans else []
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     for start, kind, end in spans:
-        # Long enough for the words wanted, whatever the text's length.
-        before = TERM.findall(text[max(0, start - 40 * CONTEXT_WORDS) : start])[-CONTEXT_WORDS:]
-        after = TERM.findall(text[end : end + 40 * CONTEXT_WORDS])[:CONTEXT_WORDS]
+        first, last = bisect_right(ends, start), bisect_left(starts, end)
+        near = words[max(0, first - CONTEXT_WORDS) : first] + words[last : last + CONTEXT_WORDS]
         entity = _hash64(f"{KINDS[kind]}:{text[start:end].casefold()}")
         found.add((entity, None))
-        found.update((entity, w.casefold()) for w in before + after)
+        found.update((entity, text[a:b].casefold()) for a, b in near)
     return found
 
 
@@ -253,7 +256,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT
     if terms.isEmpty():
         return docs.sparkSession.createDataFrame([], "term string, action string")
     spread = _texts_with(docs, text, terms, limit)
-    likely = F.col("both") / F.greatest("texts", "both")
+    likely = F.col("both") / F.col("texts")
     bits = F.log2(likely * F.lit(float(total)) / F.col("of_entity"))
     return stage(
         pairs.join(spread, "term")

@@ -96,6 +96,17 @@ def test_one_text_alone_proves_nothing(spark):
     assert privacy.disclosing_terms(docs).count() == 0
 
 
+@pytest.mark.parametrize("text, words", [
+    ("Veltranic " + "0 | " * 400 + "kim@corp.example" + " " * 5000 + "Zorblat", {"veltranic", "zorblat"}),
+    ("q" * 400 + " kim@corp.example " + "z" * 400, {"q" * 400, "z" * 400}),
+    ("far one two three four five six seven eight, kim@corp.example",
+     {"one", "two", "three", "four", "five", "six", "seven", "eight"}),
+])
+def test_nearest_words_are_whole_at_any_distance(text, words):
+    found = privacy._near(text, privacy.base_spans(text))
+    assert {t for _, t in found} == words | {None}
+
+
 def test_overlapping_spans_are_masked_once():
     text = "call +1 408 555 0123 4567 now"
     spans = [(5, 3, 20), (6, 2, 25)]
