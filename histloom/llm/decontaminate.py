@@ -5,7 +5,7 @@ hash set that every task holds; a document's word windows are hashed in place, t
 set, and hits are verified on their words. Documents are neither exploded nor shuffled.
 
 Defined results: a null text has no words; an item without words has no window; an item of fewer
-than ``window`` words is one window; null item ids are items of their own like any other id.
+than ``window`` words is one window; null item ids are one item, counted but without a name.
 Documents may repeat, be null in any column, and carry further columns of any name.
 """
 
@@ -59,7 +59,7 @@ def windows_of(benchmark: DataFrame, item: str, text: str, window: int = WINDOW)
         F.xxhash64("w").alias("hash"),
         ends.alias("ends"),
         F.array_join("w", " ").alias("words"),
-    ).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    ).agg(F.sort_array(F.flatten(F.collect_set(F.array("item")))).alias("items"))  # nulls too
 
 
 def _longs(values: list[int]) -> list[str]:
@@ -167,7 +167,8 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
     item: str = "item_id", window: int = WINDOW, set_limit: int = SET_LIMIT,
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit and the sorted ``items`` that occur in it."""
+    """One row per document: doc_id, n_words, n_hit, the sorted ``items`` that occur in it, and
+    n_items, their number with the item of null id."""
     windows = windows_of(benchmark, item, text, window)
     scanned = with_hits(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
@@ -193,9 +194,11 @@ def contamination(
         .select("_row", F.sort_array(F.array_distinct(F.flatten("sets"))).alias("items"))
     )
     none = F.array().cast("array<string>")
+    every = F.coalesce("items", none)
     return scanned.join(items, "_row", "left").select(
-        "doc_id", "n_words", "n_hit", F.coalesce("items", none).alias("items")
-    )
+        "doc_id", "n_words", "n_hit",
+        F.array_compact(every).alias("items"), F.size(every).cast("long").alias("n_items"),
+    )
 
 
 def _kept_runs(hits: str, n_words: Column) -> Column:

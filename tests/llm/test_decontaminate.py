@@ -1,9 +1,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from histloom.llm import decontaminate as d
+from histloom.llm import oracle, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -60,6 +62,24 @@ def test_equals_brute_force(cases, limit):
     assert shown == sorted(want)
 
 
+def test_items_without_id_count_as_sql_says(spark, tmp_path):
+    docs = [(1, "a b c d"), (2, "x y"), (3, "a b c and x y"), (None, "none")]
+    items = [(None, "a b c"), (None, "b c d"), (7, "x y"), (8, "a b c")]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id bigint, text string"),
+        "benchmark": spark.createDataFrame(items, "item_id bigint, text string"),
+    }
+    duck = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.QUERIES["op9_decontaminate"](spark, str(tmp_path))
+    relation = duck.sql(oracle.ORACLE["op9_decontaminate"])
+    want = relation.select(*[duckdb.ColumnExpression(c) for c in got.columns]).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert {r.doc_id: r.n_items for r in got.collect()} == {1: 2, 2: 1, 3: 3, None: 0}
+
+
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_passages_are_cut_out(spark, limit):
     item = "One two three four five six seven eight nine ten eleven"
