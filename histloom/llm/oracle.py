@@ -43,4 +43,69 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
-ORACLE = {"op2_topk": OP2, "op9_decontaminate": OP9}
+_FIELDS12 = "doc_id", "source", "lang", "n_chars", "text"
+
+
+def _leaf12(**replaced: str) -> str:
+    values = [f"CAST({replaced.get(f, f)} AS VARCHAR)" for f in _FIELDS12]
+    sized = [f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values]
+    return f"sha256({' || '.join(sized)})"
+
+
+# Fixed value: the reversed polynomial of CRC-32. Bits of the text, lowest of each byte first.
+_CRC12 = """xor(list_reduce(
+    flatten([[CAST((ascii(c) >> k) & 1 AS BIGINT) for k in range(8)]
+             for c in string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda a, b: xor(a >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END),
+    CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+def _steps12(name: str, levels: str, key: str) -> str:
+    """Siblings of every leaf of ``levels``, from its level up; 'L' or 'R' and the digest."""
+    return f"""
+{name} AS (
+    SELECT f.t, f.id, list(CASE WHEN o.idx % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.h, '')
+                           ORDER BY o.level) FILTER (o.idx IS NOT NULL) AS steps
+    FROM {key} f
+    LEFT JOIN {levels} o ON o.t = f.t AND o.n > 1 AND o.idx = f.idx >> o.level
+    LEFT JOIN {levels} s ON s.t = o.t AND s.level = o.level AND s.idx = xor(o.idx, 1)
+    GROUP BY f.t, f.id)"""
+
+
+def _up12(name: str, leaves: str) -> str:
+    return f"""
+{name} AS (
+    SELECT 0 AS level, t, idx, n, h FROM {leaves}
+    UNION ALL
+    SELECT level + 1, t, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx))
+    FROM {name} WHERE n > 1 GROUP BY level, t, idx // 2, n)"""
+
+
+OP12 = f"""
+WITH RECURSIVE rows12 AS (
+    SELECT row_number() OVER () AS id, doc_id, coalesce('v' || lang, 'n') AS t, {_leaf12()} AS h,
+           CASE WHEN {_CRC12} % 7 = 0 THEN {_leaf12(n_chars="n_chars + 1")} ELSE {_leaf12()} END AS shown
+    FROM documents),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h, id) - 1 AS idx,
+           count(*) OVER (PARTITION BY t) AS n FROM rows12),
+{_up12("lower_", "leaves")},
+tops AS (SELECT t AS id, '' AS t, h, row_number() OVER (ORDER BY t) - 1 AS idx,
+                count(*) OVER () AS n FROM lower_ WHERE n = 1),
+{_up12("upper_", "tops")},
+{_steps12("below", "lower_", "leaves")},
+{_steps12("above", "upper_", "tops")},
+proofs AS (
+    SELECT l.doc_id, l.h AS leaf, l.shown, p.h AS subroot,
+           (SELECT h FROM upper_ WHERE n = 1) AS root,
+           list_concat(coalesce(b.steps, []), coalesce(a.steps, [])) AS steps
+    FROM leaves l JOIN below b ON b.id = l.id JOIN tops p ON p.id = l.t JOIN above a ON a.id = l.t),
+folded AS (
+    SELECT *, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) AS proof_sha256,
+           list_reduce(steps, lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END),
+                       shown) AS folded_root
+    FROM proofs)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+ORACLE = {"op2_topk": OP2, "op9_decontaminate": OP9, "op12_merkle": OP12}

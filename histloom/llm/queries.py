@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from checks.session import with_folder
 from histloom.llm import (
+    align,
     decontaminate,
     html_text,
     materialise,
+    merkle,
     packing,
+    pieces,
     privacy,
     quality,
     repeats,
@@ -19,7 +22,7 @@ from histloom.llm import (
     simhash,
     topk,
 )
-from histloom.llm.common import fresh_folder, table
+from histloom.llm.common import fresh_folder, stage, table
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +102,51 @@ def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.personal_data(table(spark, sf_dir, "documents"))
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    both = pieces.decode(encoded, PIECES)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's proof, recomputed from the leaf that a tampered or an original row has."""
+    with_folder(spark)
+    docs = table(spark, sf_dir, "documents")
+    values = {f: F.col(f) for f in merkle.FIELDS}
+    changed = values | {"n_chars": F.try_add(F.col("n_chars"), F.lit(1))}
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    shown = F.when(tampered, merkle.leaf_digest(*changed.values())).otherwise(
+        merkle.leaf_digest(*values.values())
+    )
+    found = merkle.manifest(docs, carried={"shown": shown})
+    found = found.withColumn("folded_root", merkle.fold(F.col("shown"), F.col("path")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle.proof_text(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_folder(spark)
+    found = align.aligned(table(spark, sf_dir, "documents"), BYTES, PIECES)
+    digest = F.sha2(F.col("groups").cast("binary"), 256)
+    found = found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, digest).otherwise(F.lit("")))
+    found = align.with_link_sums(stage(found.drop("groups"), "aligned"))
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_topk": op2_topk,
@@ -110,4 +158,7 @@ QUERIES = {
     "op8_privacy": op8_privacy,
     "op9_decontaminate": op9_decontaminate,
     "op10_sharding": op10_sharding,
+    "op11_pieces": op11_pieces,
+    "op12_merkle": op12_merkle,
+    "op13_align": op13_align,
 }
