@@ -44,13 +44,19 @@ _NO_RANK = np.int64(1 << 40)
 
 # Words a worker remembers, the longest of them, symbols merged together and characters cut into
 # words at a time. They bound memory and change no result.
-_REMEMBERED = 400_000
+_REMEMBERED = 300_000
 _LONGEST = 64
 _SYMBOLS = 1 << 19
-_PART = 1 << 21
+_PART = 1 << 20
+# Rows of a batch in hand at once.
+_ROWS = 256
 # Rounds after which what is left of a word is merged one pair at a time.
 _ROUNDS = 256
 
+# Letters of words that are cut off from the signs after them, and those signs.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 # White space that ends a word for every tokenizer used here.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CUT = re.compile(f"[^{WHITE}{SPACE}](?= )")
@@ -168,10 +174,15 @@ class Pieces:
         self._pairs, self._beside = _Lookup(pairs, 2), _Lookup(beside, 1)
 
     def _word_pattern(self, normal: dict[str, int]) -> re.Pattern:
-        """Cuts at spaces and at plain characters that no piece of several characters holds."""
+        """Cuts at spaces, at plain characters that no piece of several characters holds, and
+        between a letter and a sign where no piece holds the two."""
         held = {c for name in normal if len(name) > 1 for c in name}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in held)
-        return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]")
+        letter = re.compile(f"[{LETTERS}]")
+        joined = {b for name in normal for a, b in zip(name, name[1:], strict=False) if letter.match(a)}
+        signs = "".join(re.escape(c) for c in SIGNS if c not in joined)
+        word = f"{SPACE}*[{LETTERS}]++(?=[{SPACE}{alone}{signs}]|$)"
+        return re.compile(f"{word}|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]")
 
     # ---- merging ------------------------------------------------------------------------
 
@@ -395,6 +406,28 @@ def pieces(path: str) -> Pieces:
     return per_worker(("pieces", path), lambda: Pieces(path))
 
 
+def round_trip(
+    docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", kind: str = "bigint"
+) -> DataFrame:
+    """(key, ids, decoded) of every row in one pass, a bounded share of a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces(model)
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, _ROWS)
+                ids = table.encode(part.column(1).to_pylist())
+                texts = pa.array([table.decode(x.tolist()) for x in ids], pa.string())
+                columns = [part.column(0), _lists(ids), texts]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "decoded"])
+                at += _ROWS
+
+    narrow = docs.select(F.col(f"`{key}`").cast(kind).alias("key"), F.col(f"`{text}`"))
+    found = narrow.mapInArrow(run, f"key {kind}, ids array<int>, decoded string")
+    return found.withColumnRenamed("key", key)
+
+
 def _lists(flat: list[np.ndarray]) -> pa.Array:
     offsets = np.append(0, np.cumsum([len(x) for x in flat])).astype(np.int64)
     values = np.concatenate(flat) if flat else np.empty(0, dtype="<i4")

@@ -107,8 +107,7 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
-    both = pieces.decode(encoded, PIECES)
+    both = pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
