@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from histloom.llm.common import by_value, stage
-from histloom.llm.pieces import WHITE, Pieces, parts, per_worker, pieces
+from histloom.llm.pieces import LETTERS, SIGNS, SPACE, WHITE, Pieces, parts, per_worker, pieces
 
 by_value(__name__)
 
@@ -43,7 +43,8 @@ HOT_SHARE = 4096
 _FRAME = 1 << 19
 _REMEMBERED = 400_000
 _LONGEST = 64
-_CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_WORD = f"[{WHITE}]*[{LETTERS}]++(?=[{WHITE}0-9{re.escape(SIGNS)}]|$)"
+_CHUNKS = re.compile(f"{_WORD}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -56,8 +57,9 @@ def _byte_letters() -> dict[str, int]:
 class ByteTokens:
     """Ids of a byte-level tokenizer file; special tokens' strings are ordinary text.
 
-    Words of a text are cut at white space after a word, where the tokenizer always cuts; their ids
-    are looked up, and the tokenizer encodes those not seen before.
+    Words of a text are cut at white space after a word and between a letter and a sign or digit,
+    where the tokenizer always cuts; their ids are looked up, and the tokenizer encodes those not
+    seen before.
     """
 
     def __init__(self, path: str):
@@ -89,6 +91,8 @@ class ByteTokens:
                     listed = list(new)
                     encoded = self._tokenizer.encode_batch_fast(listed, add_special_tokens=False)
                     for chunk, e in zip(listed, encoded, strict=True):
+                        if b"".join(map(self._bytes.__getitem__, e.ids)) != chunk.encode():
+                            raise ValueError(f"not a lossless byte-level tokenizer: {chunk!r}")
                         kept = self._seen if len(chunk) <= _LONGEST else long_
                         kept[chunk] = np.array(e.ids, dtype="<i4").tobytes()
                 seen = self._seen
@@ -101,33 +105,24 @@ class ByteTokens:
 class _Side:
     """One tokenizer with its tokens' bytes, their lengths and their ids in decimal."""
 
-    def __init__(self, tokens: ByteTokens | Pieces):
+    def __init__(self, tokens: ByteTokens | Pieces, end: str):
         self.tokens, self.bytes = tokens, tokens.token_bytes()
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
-        ids = [str(i) for i in range(len(self.bytes))]
-        self.inner = np.array([f"{i}," for i in ids], dtype=object)
-        self.ends = ids
+        self.size = len(self.bytes)
+        # Within a group, then at its end.
+        ids = range(self.size)
+        self.words = np.array([f"{i}," for i in ids] + [f"{i}{end}" for i in ids], dtype=object)
 
-    def spells(self, ids: np.ndarray, raw: bytes) -> bool:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())) == raw
+    def spans(self, ids: np.ndarray) -> int:
+        return int(self.lengths[ids].sum())
 
 
 def _byte_side(path: str) -> _Side:
-    def build() -> _Side:
-        side = _Side(ByteTokens(path))
-        side.last = np.array([f"{i}|" for i in side.ends], dtype=object)
-        return side
-
-    return per_worker(("align-a", path), build)
+    return per_worker(("align-a", path), lambda: _Side(ByteTokens(path), "|"))
 
 
 def _piece_side(path: str) -> _Side:
-    def build() -> _Side:
-        side = _Side(pieces(path))
-        side.last = np.array([f"{i};" for i in side.ends], dtype=object)
-        return side
-
-    return per_worker(("align-b", path), build)
+    return per_worker(("align-b", path), lambda: _Side(pieces(path), ";"))
 
 
 def _frame(ids: list[np.ndarray], lengths: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
@@ -183,12 +178,8 @@ def _aligned(a: _Side, b: _Side, ids_a: list[np.ndarray], ids_b: list[np.ndarray
     per_b = np.bincount(group_b, minlength=1)
     words = np.empty(len(left) + len(right), dtype=object)
     before_b, after_a = np.cumsum(per_b) - per_b, np.cumsum(per_a)
-    words[np.arange(len(left)) + before_b[group_a]] = np.where(
-        last_a, a.last[left["id"]], a.inner[left["id"]]
-    )
-    words[np.arange(len(right)) + after_a[group_b]] = np.where(
-        last_b, b.last[right["id"]], b.inner[right["id"]]
-    )
+    words[np.arange(len(left)) + before_b[group_a]] = a.words[id_a + a.size * last_a]
+    words[np.arange(len(right)) + after_a[group_b]] = b.words[id_b + b.size * last_b]
     n_a, n_b = np.bincount(doc_a, minlength=n), np.bincount(doc_b, minlength=n)
     bounds = np.append(0, np.cumsum(n_a + n_b)).tolist()
     return {
@@ -203,12 +194,16 @@ def _aligned(a: _Side, b: _Side, ids_a: list[np.ndarray], ids_b: list[np.ndarray
 
 
 def _results(rows: list[tuple[int, int | None, str | None]], a: _Side, b: _Side) -> pa.RecordBatch:
-    raw = [(" " + text).encode() if text else b"" for _, _, text in rows]
     texts = [text or "" for _, _, text in rows]
     spelled = [n for n, text in enumerate(texts) if text]
     ids_a = dict(zip(spelled, a.tokens.encode([" " + texts[n] for n in spelled]), strict=True))
     ids_b = dict(zip(spelled, b.tokens.encode([texts[n] for n in spelled]), strict=True))
-    held = [n for n in spelled if a.spells(ids_a[n], raw[n]) and b.spells(ids_b[n], raw[n])]
+    # Side A checked every word it learnt byte by byte; side B writes a space for its own sign.
+    held = [
+        n for n in spelled
+        if SPACE not in texts[n]
+        and a.spans(ids_a[n]) == b.spans(ids_b[n]) == 1 + len(texts[n].encode())
+    ]
     found = _aligned(a, b, [ids_a[n] for n in held], [ids_b[n] for n in held])
     place = {n: i for i, n in enumerate(held)}
 
