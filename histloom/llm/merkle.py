@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from histloom.llm.common import stage
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+# Levels of paths in one plan. The written ones are small beside the leaves'.
+CUT = 3
 # monotonically_increasing_id: the partition's number stands above these bits.
 _WITHIN = 33
 
@@ -154,6 +156,8 @@ def _paths(levels: list[DataFrame], above: DataFrame, fanout: int) -> DataFrame:
         own = F.when(F.col("size") > 1, F.array("step")).otherwise(F.array().cast("array<binary>"))
         joined = nodes.join(parents, ["tree", "_parent"])
         known = joined.withColumn("path", F.concat(own, F.col("_path"))).drop("_path", "_parent")
+        if height and height % CUT == 0:
+            known = stage(known.select("tree", "idx", "path", *kept), "merkle-paths")
     return known
 
 
