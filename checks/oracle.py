@@ -367,6 +367,28 @@ def _ctes() -> list[tuple[str, str]]:
         ("doc_records", "SELECT doc_id + 1 AS pos, sha256(text) AS digest FROM documents"),
         ("doc_keys", "SELECT doc_id + 1 AS pos, concat(band, '-', band_key) AS band_key FROM doc_bands"),
         *keep_first_sql("doc_records", "doc_keys", "doc"),
+        ("doc_tokens", f"SELECT DISTINCT doc_id, unnest({tokens('text')}) AS t FROM documents"),
+        ("doc_sizes", "SELECT doc_id, count(*) AS n FROM doc_tokens GROUP BY doc_id"),
+        (
+            "doc_kept",
+            """SELECT t.* FROM doc_tokens t JOIN doc_walk ON pos = doc_id + 1 WHERE NOT is_duplicate""",
+        ),
+        (
+            "doc_similar",
+            f"""SELECT doc_id, min(other) AS witness_id, arg_min(jaccard, other) AS jaccard FROM (
+                SELECT a.doc_id, b.doc_id AS other,
+                    count(*)::double / (any_value(x.n) + any_value(y.n) - count(*))::double AS jaccard
+                FROM doc_tokens a JOIN doc_kept b ON a.t = b.t AND b.doc_id < a.doc_id
+                JOIN doc_sizes x ON x.doc_id = a.doc_id JOIN doc_sizes y ON y.doc_id = b.doc_id
+                WHERE least(x.n, y.n) >= {P.dedup_threshold - 0.001} * greatest(x.n, y.n)
+                GROUP BY a.doc_id, b.doc_id)
+            WHERE jaccard >= {P.dedup_threshold}::double GROUP BY doc_id""",
+        ),
+        (
+            "doc_evidence",
+            """SELECT pos - 1 AS doc_id, is_duplicate, witness_id, jaccard
+            FROM doc_walk LEFT JOIN doc_similar ON doc_id = pos - 1 WHERE pos > 0""",
+        ),
         # Every commit and merged pull request under one index, without other rules.
         (
             "any_records",
@@ -638,6 +660,12 @@ def _selects() -> dict[str, str]:
             FROM documents LEFT JOIN doc_signatures USING (doc_id)""",
         "lsh_bands": "SELECT doc_id, cast(band AS int) AS band, band_key FROM doc_bands",
         "dedup_minhash": "SELECT pos - 1 AS doc_id, is_duplicate FROM doc_walk WHERE pos > 0",
+        "near_dup_witness": "SELECT doc_id, is_duplicate, witness_id, jaccard FROM doc_evidence",
+        "dedup_recall": """SELECT *, n_similar_dropped::double / n_similar::double AS recall FROM (SELECT
+            count(witness_id) AS n_similar,
+            count(*) FILTER (witness_id IS NOT NULL AND is_duplicate) AS n_similar_dropped,
+            count(*) FILTER (is_duplicate) AS n_dropped,
+            count(*) FILTER (is_duplicate AND witness_id IS NULL) AS n_dropped_below FROM doc_evidence)""",
         "dedup_cross_source": """SELECT repo, source, record_id, is_duplicate
             FROM any_records JOIN any_walk USING (pos)""",
         "fmt_commit_alpaca": commit_alpaca("scored"),

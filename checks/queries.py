@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 from functools import wraps
 
@@ -14,7 +15,7 @@ from checks.tables import documents, view
 from histloom import params as pm
 from histloom.functions import minhash
 from histloom.functions import text as tx
-from histloom.operators import dedup, formats, health, quality, report, split
+from histloom.operators import dedup, formats, health, quality, report, similarity, split
 from histloom.operators.exclusions import exclusion_rules
 from histloom.operators.rules import first_failing
 from histloom.operators.structure import (
@@ -29,6 +30,10 @@ from histloom.sources.exports import Exports
 Query = Callable[[SparkSession, str], DataFrame]
 
 PROFILE = pm.profile("default")
+# Whole runs take everything; what limits do is the subject of queries of their own.
+WHOLE = replace(
+    PROFILE, collect=replace(PROFILE.collect, max_commits_per_repo=None, max_prs_per_repo=None)
+)
 BRANCHES = ("release", "2-HIGH", "5-LOW")
 SINCE = date(1995, 6, 17)
 QUERIES: dict[str, Query] = {}
@@ -89,7 +94,7 @@ def _exports(spark, sf) -> Exports:
 
 def _run(spark, sf, task: str, output_format: str = "alpaca") -> dataset.Outcome:
     with_folder(spark)
-    p = pm.RunParams(PROFILE.filter, PROFILE.collect, output_format, task)
+    p = replace(WHOLE, output_format=output_format, task=task)
     return dataset.plan_run(_exports(spark, sf), p)
 
 
@@ -418,15 +423,36 @@ def dedup_minhash(spark, sf):
     return judged.select(F.col("ord").alias("doc_id"), "is_duplicate")
 
 
+def _evidence(spark, sf) -> DataFrame:
+    rows = documents(spark, sf).select(F.col("doc_id").alias("ord"), "text")
+    judged = dedup.keep_first(rows, "text", PROFILE.filter).withColumn("is_kept", ~F.col("is_duplicate"))
+    records = rows.join(judged.select("ord", "is_kept"), "ord")
+    return similarity.witnesses(records, F.col("text"), PROFILE.filter.dedup_threshold)
+
+
+@query
+def near_dup_witness(spark, sf):
+    """Every document with the earliest kept one that is similar to it."""
+    return _evidence(spark, sf).select(
+        F.col("ord").alias("doc_id"), (~F.col("is_kept")).alias("is_duplicate"),
+        F.col("witness").alias("witness_id"), "jaccard",
+    )
+
+
+@query
+def dedup_recall(spark, sf):
+    return similarity.recall(_evidence(spark, sf))
+
+
 @query
 def dedup_cross_source(spark, sf):
     """Commits and pull requests under one index, before any other rule."""
     exports = _exports(spark, sf)
     none = {"reason": F.lit(None).cast("string")}
-    rows = dataset.collected_commits(exports, PROFILE)
+    rows = dataset.collected_commits(exports, WHOLE)
     facts = files.with_file_facts(rows, _files(spark, sf))
     assembled = files.assemble_files(_files(spark, sf), facts).withColumns(none)
-    requests = dataset.collected_pulls(exports, PROFILE).withColumns(none)
+    requests = dataset.collected_pulls(exports, WHOLE).withColumns(none)
     return dataset.cross_source_duplicates(
         dataset.dedup_input(assembled, requests), PROFILE.filter
     )
@@ -595,7 +621,7 @@ def repos_processed(spark, sf):
 @query
 def run_report(spark, sf):
     """The report row without its id and times; maps as sorted text."""
-    row = jobs.run(_exports(spark, sf), PROFILE, output="", dry_run=True)
+    row = jobs.run(_exports(spark, sf), WHOLE, output="", dry_run=True)
 
     def listed(name: str) -> F.Column:
         entries = F.array_sort(F.map_entries(name))

@@ -2,21 +2,36 @@
 
 A record is dropped when its content was seen before, or when one of its LSH bands equals a band of
 an *earlier kept* record. Dropped records block nobody. Equal to inserting the records one by one
-in order, but decided in rounds over band keys: no pair of records is ever formed.
+in order, but decided over band keys: no pair of records is ever formed. A few rounds decide almost
+everything; what is left hangs together in chains and is split into connected components, the small
+ones of which are walked in order, each inside one task.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histloom.functions.minhash import band_keys, minhash_signature
+from histloom.operators.components import components
 from histloom.operators.skew import salted_join
 from histloom.operators.staging import stage
 from histloom.params import FilterParams
 
+# Tasks get this module's functions with the job, whether or not the package is installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Rounds before chains are looked for, and the most memberships (record, key) of a component that
+# one task walks: some 20 MB of keys.
+EARLY_ROUNDS = 3
+WALKED = 100_000
+
 
 def content(message: Column, diff: Column) -> Column:
     return F.concat(message, F.lit("\n"), diff)
@@ -56,37 +71,92 @@ def _shared(memberships: DataFrame, **skew) -> DataFrame:
     )
 
 
-def near_duplicates(banded: DataFrame, **skew) -> DataFrame:
+def _round(live: DataFrame, **skew) -> DataFrame:
+    """(ord, is_kept) of the records that one round decides."""
+    is_first = F.col("first") == F.col("ord")
+    kept = live.groupBy("ord").agg(F.every(is_first).alias("k")).filter("k").select("ord")
+    later = live.filter(~is_first).select("ord", "first").distinct()
+    hit = salted_join(
+        later,
+        kept.withColumnRenamed("ord", "first"),
+        ["first"],
+        spread_by=["ord"],
+        how="inner",
+        **skew,
+    )
+    return kept.withColumn("is_kept", F.lit(True)).union(
+        hit.select("ord").distinct().withColumn("is_kept", F.lit(False))
+    )
+
+
+def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(ord, is_kept) of rows (root, ord, key) sorted by them: each component one by one."""
+    root, used = None, set()
+    record, keys = None, []
+
+    def verdict() -> bool:
+        kept = used.isdisjoint(keys)
+        if kept:
+            used.update(keys)
+        return kept
+
+    for batch in batches:
+        decided = []
+        for r, o, k in zip(batch["root"], batch["ord"], batch["key"], strict=True):
+            if record is not None and o != record:
+                decided.append((record, verdict()))
+                keys = []
+            if r != root:
+                root = r
+                used.clear()
+            record = o
+            keys.append(k)
+        yield pd.DataFrame(decided, columns=["ord", "is_kept"])
+    if record is not None:
+        yield pd.DataFrame([(record, verdict())], columns=["ord", "is_kept"])
+
+
+def _walk(live: DataFrame, walked: int) -> tuple[DataFrame, DataFrame]:
+    """Verdicts of the records in components of at most ``walked`` memberships; the others' ``live``.
+
+    Records without a verdict share no key with those that have one, so both go on apart.
+    """
+    roots = components(live.select(F.col("ord").alias("a"), F.col("first").alias("b")))
+    placed = live.join(roots.withColumnRenamed("node", "ord"), "ord")
+    small = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= walked)
+    mine = stage(
+        placed.join(small.select("root", F.lit(True).alias("small")), "root", "left"), "placed"
+    )
+    rows = mine.filter("small").select("root", "ord", "key").repartition("root")
+    rows = rows.sortWithinPartitions("root", "ord", "key")
+    verdicts = rows.mapInPandas(_walked, "ord bigint, is_kept boolean")
+    return stage(verdicts, "walked"), mine.filter("small IS NULL").select("key", "ord", "first")
+
+
+def near_duplicates(
+    banded: DataFrame, early_rounds: int = EARLY_ROUNDS, walked: int = WALKED, **skew
+) -> DataFrame:
     """``ord`` of the records to drop, from (ord, bands).
 
     Round: a record that is first in all of its keys is kept, and whoever shares a key with it is
     blocked. Keys left with one undecided record are forgotten, and a record without keys is kept.
-    The lowest undecided record is decided in every round, so the rounds end.
+    The lowest undecided record is decided in every round, so the rounds end. After
+    ``early_rounds`` the components of what is left with at most ``walked`` memberships are decided
+    at once by walking them; only larger ones go on in rounds.
     """
     memberships = banded.select(F.explode("bands").alias("key"), "ord")
     live = stage(_shared(stage(memberships, "bands"), **skew), "live")
-    blocked = []
+    blocked, rounds = [], 0
     while not live.isEmpty():
-        is_first = F.col("first") == F.col("ord")
-        kept = live.groupBy("ord").agg(F.every(is_first).alias("k")).filter("k").select("ord")
-        later = live.filter(~is_first).select("ord", "first").distinct()
-        hit = salted_join(
-            later,
-            kept.withColumnRenamed("ord", "first"),
-            ["first"],
-            spread_by=["ord"],
-            how="inner",
-            **skew,
-        )
-        decided = stage(
-            kept.withColumn("is_kept", F.lit(True)).union(
-                hit.select("ord").distinct().withColumn("is_kept", F.lit(False))
-            ),
-            "decided",
-        )
-        blocked.append(decided.filter(~F.col("is_kept")).select("ord"))
-        undecided = live.select("key", "ord").join(decided, "ord", "left_anti")
-        live = stage(_shared(undecided, **skew), "live")
+        if rounds == early_rounds:
+            decided, live = _walk(live, walked)
+            blocked.append(decided.filter(~F.col("is_kept")).select("ord"))
+        else:
+            decided = stage(_round(live, **skew), "decided")
+            blocked.append(decided.filter(~F.col("is_kept")).select("ord"))
+            undecided = live.select("key", "ord").join(decided, "ord", "left_anti")
+            live = stage(_shared(undecided, **skew), "live")
+        rounds += 1
     return reduce(DataFrame.union, blocked, banded.select("ord").limit(0))
 
 
@@ -118,8 +188,13 @@ def keep_first(
     keyed = stage(fingerprint(records, text, params), "keyed")
     if order is not None:
         keyed = number_in_order(keyed, order)
+    return judge(keyed, **skew)
+
+
+def judge(keyed: DataFrame, **skew) -> DataFrame:
+    """``is_duplicate`` for rows with ``ord``, ``_group`` and, unless compared exactly, ``bands``."""
     firsts = first_per(keyed, "_group")
-    if params.dedup_method == "minhash":
+    if "bands" in keyed.columns:
         banded = firsts.filter(F.col("bands").isNotNull()).select("ord", "bands")
         firsts = firsts.join(near_duplicates(banded, **skew), "ord", "left_anti")
     verdict = firsts.select("ord", F.lit(False).alias("is_duplicate"))

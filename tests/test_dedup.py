@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from histloom.functions import minhash as mh
 from histloom.operators import dedup
+from histloom.operators.components import components
 from histloom.operators.skew import first_n_per_group, salted_join
 from histloom.params import FilterParams
 
@@ -125,3 +126,66 @@ def test_order_decides_who_stays(spark):
     df = spark.createDataFrame(rows, "repo string, place int, t string")
     judged = dedup.keep_first(df, "t", FilterParams(), [F.col("repo"), F.col("place")])
     assert [(r["repo"], r["place"]) for r in judged.filter("is_duplicate").collect()] == [("b", 1)]
+
+
+def insertion(rows):
+    """Dropped positions when inserting (ord, bands) one after the other."""
+    used, dropped = set(), set()
+    for i, keys in sorted(rows):
+        if used & set(keys):
+            dropped.add(i)
+        else:
+            used |= set(keys)
+    return dropped
+
+
+def steps(monkeypatch):
+    """Names of the frames staged from now on."""
+    names, own = [], dedup.stage
+    monkeypatch.setattr(dedup, "stage", lambda df, name: (names.append(name), own(df, name))[1])
+    return names
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    names = steps(monkeypatch)
+    rows = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(1000)]
+    rows += [(2000 + i, [f"alone{i}", f"none{i}"]) for i in range(50)]
+    banded = spark.createDataFrame(rows, "ord bigint, bands array<string>").repartition(4)
+    got = {r["ord"] for r in dedup.near_duplicates(banded).collect()}
+    assert got == insertion(rows) == set(range(1, 1000, 2))
+    assert names.count("decided") == dedup.EARLY_ROUNDS and names.count("walked") == 1
+
+
+@pytest.mark.parametrize(("early", "walked"), [(0, 100_000), (0, 12), (1, 40), (9, 0)])
+def test_walks_and_rounds_decide_alike(spark, early, walked):
+    """Chains of several lengths and random tangles; with small limits the larger ones go in rounds."""
+    rng = random.Random(early + walked)
+    rows = []
+    for c, length in enumerate((1, 2, 3, 5, 8, 13, 21)):
+        rows += [(1000 * c + i, [f"{c}-{i}", f"{c}-{i + 1}"]) for i in range(length)]
+    rows += [(9000 + i, [f"r{b}-{rng.randint(0, 30)}" for b in range(3)]) for i in range(40)]
+    banded = spark.createDataFrame(rows, "ord bigint, bands array<string>").repartition(3)
+    got = dedup.near_duplicates(banded, early_rounds=early, walked=walked, min_rows=3)
+    assert {r["ord"] for r in got.collect()} == insertion(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 60])
+def test_components(spark, n):
+    rng = random.Random(n)
+    pairs = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(n)]
+    pairs += [(200 + i, 201 + i) for i in range(n)]  # a path
+    pairs += [(400, 401 + i) for i in range(n)]  # a hub
+    links = spark.createDataFrame(pairs, "a bigint, b bigint")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = {r["node"]: r["root"] for r in components(links).collect()}
+    assert got == {x: find(x) for x in list(root)}
