@@ -11,6 +11,7 @@ from checks.tables import duckdb_views, referenced
 from histloom import params as pm
 from histloom.functions import fixed_values as fv
 from histloom.functions import minhash as mh
+from histloom.operators import report
 
 P = pm.profile("default").filter
 
@@ -415,27 +416,58 @@ def _ctes() -> list[tuple[str, str]]:
         ("pull_verdicts", f"SELECT *, {first_reason(pull_structure(P))} AS r2 FROM contexts WHERE merged_at IS NOT NULL"),
     ]
     for task, commits_in, pulls_in in (("cm", True, False), ("pr", False, True), ("all", True, True)):
-        ctes += _run_ctes(task, commits_in, pulls_in)
+        ctes += _run_ctes(f"run_{task}", commits_in, pulls_in)
+    for name in pm.profile_names():
+        ctes += _selected_ctes(name, pm.profile(name))
+        ctes += _run_ctes(
+            f"run_{name}", True, True, pm.profile(name).filter, f"{name}_commits", f"{name}_pulls"
+        )
     return ctes
 
 
-def _run_ctes(task: str, commits_in: bool, pulls_in: bool) -> list[tuple[str, str]]:
-    """Stage 4 among the records that a run of this task brings there."""
+def _selected_ctes(name: str, p: pm.RunParams) -> list[tuple[str, str]]:
+    """Verdicts of stages 1 to 3 on what a preset selects."""
+    f, c = p.filter, p.collect
+    day = f"TIMESTAMP '{c.since.isoformat()} 00:00:00'" if c.since else "TIMESTAMP '0001-01-01 00:00:00'"
+    return [
+        (
+            f"{name}_commits",
+            f"""SELECT *, {first_reason(exclusion(f))} AS r1, {first_reason(structure(f))} AS r2,
+                {first_reason(quality(f))} AS r3 FROM (SELECT *, row_number() OVER (
+                    PARTITION BY repo ORDER BY author_ts DESC, sha) AS rank FROM scored WHERE author_ts >= {day})
+            WHERE rank <= {c.max_commits_per_repo}""",
+        ),
+        (
+            f"{name}_pulls",
+            f"""SELECT *, {first_reason(pull_structure(f))} AS r2 FROM (SELECT *, row_number() OVER (
+                    PARTITION BY repo ORDER BY place) AS rank FROM (SELECT *, row_number() OVER (
+                        PARTITION BY repo ORDER BY updated_at DESC, number DESC) AS place FROM contexts)
+                WHERE place <= {5 * c.max_prs_per_repo} AND merged_at >= {day})
+            WHERE rank <= {c.max_prs_per_repo}""",
+        ),
+    ]
+
+
+def _run_ctes(
+    n: str, commits_in: bool, pulls_in: bool, p: pm.FilterParams = P,
+    commits: str = "commit_verdicts", pulls: str = "pull_verdicts",
+) -> list[tuple[str, str]]:
+    """Stage 4 among the records that a run brings there."""
     parts = []
     if commits_in:
         parts.append(
-            """SELECT repo, 'commit' AS source, 0 AS source_rank, sha AS record_id, -epoch(author_ts) AS place,
+            f"""SELECT repo, 'commit' AS source, 0 AS source_rank, sha AS record_id, -epoch(author_ts) AS place,
             sha AS tie, concat(message_subject, chr(10), terminated) AS content
-            FROM commit_verdicts WHERE r1 IS NULL AND r2 IS NULL AND r3 IS NULL"""
+            FROM {commits} WHERE r1 IS NULL AND r2 IS NULL AND r3 IS NULL"""
         )
     if pulls_in:
         parts.append(
-            """SELECT repo, 'pr' AS source, 1 AS source_rank, cast(number AS varchar) AS record_id,
+            f"""SELECT repo, 'pr' AS source, 1 AS source_rank, cast(number AS varchar) AS record_id,
             -epoch(updated_at) AS place, '' AS tie, concat(title, chr(10), diff) AS content
-            FROM pull_verdicts WHERE r2 IS NULL"""
+            FROM {pulls} WHERE r2 IS NULL"""
         )
-    n = f"run_{task}"
-    stage, reason = patch_gates(P)
+    stage, reason = patch_gates(p)
+    banded = "" if p.dedup_method == "minhash" else " WHERE false"
     ctes = [
         (
             f"{n}_records",
@@ -445,8 +477,8 @@ def _run_ctes(task: str, commits_in: bool, pulls_in: bool) -> list[tuple[str, st
         ),
         (f"{n}_digests", f"SELECT pos, sha256(content) AS digest FROM {n}_records"),
         (f"{n}_signatures", signature_sql(f"{n}_records", "pos", "content")),
-        (f"{n}_bands", bands_sql(f"{n}_signatures", "pos", P.dedup_threshold)),
-        (f"{n}_keys", f"SELECT pos, concat(band, '-', band_key) AS band_key FROM {n}_bands"),
+        (f"{n}_bands", bands_sql(f"{n}_signatures", "pos", p.dedup_threshold)),
+        (f"{n}_keys", f"SELECT pos, concat(band, '-', band_key) AS band_key FROM {n}_bands{banded}"),
         *keep_first_sql(f"{n}_digests", f"{n}_keys", n),
         (
             f"{n}_dups",
@@ -455,20 +487,22 @@ def _run_ctes(task: str, commits_in: bool, pulls_in: bool) -> list[tuple[str, st
         (
             f"{n}_pulls",
             f"""SELECT p.*, record_id IS NOT NULL AS is_duplicate, {stage} AS gate_stage, {reason} AS gate_reason
-            FROM pull_verdicts p LEFT JOIN {n}_dups d
+            FROM {pulls} p LEFT JOIN {n}_dups d
                 ON d.source = 'pr' AND d.repo = p.repo AND d.record_id = cast(p.number AS varchar)""",
         ),
         (
             f"{n}_commits",
             f"""SELECT c.*, record_id IS NOT NULL AS is_duplicate
-            FROM commit_verdicts c LEFT JOIN {n}_dups d
+            FROM {commits} c LEFT JOIN {n}_dups d
                 ON d.source = 'commit' AND d.repo = c.repo AND d.record_id = c.sha""",
         ),
     ]
     return ctes
 
 
-COMMIT_DECISIONS = """
+def decisions(n: str) -> str:
+    """One row per decision of a run."""
+    commits = f"""
     SELECT repo, 'commit' AS source, sha AS record_id,
         CASE WHEN r1 IS NULL AND r2 IS NULL THEN 'commit_message' END AS task,
         CASE WHEN r1 IS NOT NULL THEN 'stage1' WHEN r2 IS NOT NULL THEN 'stage2'
@@ -476,19 +510,22 @@ COMMIT_DECISIONS = """
         coalesce(r1, r2, r3, CASE WHEN is_duplicate THEN 'dedup:near_duplicate' END) AS reason,
         CASE WHEN r1 IS NULL AND r2 IS NULL THEN score END AS score,
         message_subject AS headline
-    FROM run_all_commits"""
-PULL_DECISIONS = """
+    FROM {n}_commits"""
+    pulls = f"""
     SELECT repo, 'pr', cast(number AS varchar), NULL,
         CASE WHEN r2 IS NOT NULL THEN 'stage2' ELSE 'stage4' END,
         coalesce(r2, 'dedup:near_duplicate_pr'), NULL, title
-    FROM run_all_pulls WHERE r2 IS NOT NULL OR is_duplicate
+    FROM {n}_pulls WHERE r2 IS NOT NULL OR is_duplicate
     UNION ALL
     SELECT repo, 'pr', cast(number AS varchar), 'pr_review', NULL, NULL, 1.0::double, title
-    FROM run_all_pulls WHERE r2 IS NULL AND NOT is_duplicate
+    FROM {n}_pulls WHERE r2 IS NULL AND NOT is_duplicate
     UNION ALL
     SELECT repo, 'pr', cast(number AS varchar), 'issue_to_patch', gate_stage, gate_reason, 1.0::double, title
-    FROM run_all_pulls WHERE r2 IS NULL AND NOT is_duplicate"""
-DECISIONS = f"({COMMIT_DECISIONS} UNION ALL {PULL_DECISIONS})"
+    FROM {n}_pulls WHERE r2 IS NULL AND NOT is_duplicate"""
+    return f"({commits} UNION ALL {pulls})"
+
+
+DECISIONS = decisions("run_all")
 PASSED_COMMIT = "r1 IS NULL AND r2 IS NULL AND r3 IS NULL AND NOT is_duplicate"
 PASSED_PULL = "r2 IS NULL AND NOT is_duplicate"
 
@@ -570,12 +607,21 @@ HEALTH = f"""(SELECT *, external_system IS NULL AND merge_rate >= 0.15::double A
 
 
 def _profile_funnel() -> str:
-    parts = []
-    for name in pm.profile_names():
-        p = pm.profile(name).filter
-        reason = first_reason(exclusion(p) + structure(p) + quality(p))
-        parts.append(f"SELECT {q(name)} AS profile, coalesce({reason}, 'passed') AS verdict FROM scored")
-    return f"SELECT profile, verdict, count(*) AS n_commits FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+    parts = [
+        f"SELECT {q(name)} AS profile, * FROM {decisions(f'run_{name}')}" for name in pm.profile_names()
+    ]
+    return f"""SELECT profile, source, task, stage_failed, reason, count(*) AS n
+        FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL"""
+
+
+def _limits(n: int) -> str:
+    """What limits of ``n`` per repo leave out."""
+    counts = "repo, count(*) AS n_seen, least(count(*), {0}) AS n_taken FROM {1} GROUP BY repo"
+    looked = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo
+        ORDER BY updated_at DESC, number DESC) AS place FROM pulls) WHERE place <= {5 * n} AND merged_at IS NOT NULL)"""
+    return f"""SELECT 'max_commits_per_repo' AS "limit", {counts.format(n, "commits")}
+        UNION ALL SELECT 'scanned_prs_per_repo', {counts.format(5 * n, "pulls")}
+        UNION ALL SELECT 'max_prs_per_repo', {counts.format(n, looked)}"""
 
 
 def _split(key: str, extra: str) -> str:
@@ -716,6 +762,7 @@ def _selects() -> dict[str, str]:
             count(*) FILTER (reason IS NULL) AS final_records,
             (SELECT count(*) FROM commits) + (SELECT count(*) FROM pull_verdicts) AS total FROM {DECISIONS})""",
         "repos_processed": "SELECT repo FROM commits UNION SELECT repo FROM pull_verdicts",
+        "collection_limits": _limits(50),
         "profile_funnel": _profile_funnel(),
         "health_sample": f"SELECT repo, number, cast(rank AS int) AS rank FROM {SAMPLE}",
         "health_signals": f"SELECT repo, number, system, doc_url, signal, by_bot FROM {_signal_rows()}",
@@ -731,7 +778,8 @@ def _selects() -> dict[str, str]:
     listed = "SELECT string_agg(concat({0}, '=', {1}), ',' ORDER BY {0}) FROM ({2})"
     reasons = listed.format("reason", "n_dropped", selects["reason_counts"])
     tasks = listed.format("task", "n_records", selects["task_distribution"])
-    selects["run_report"] = f"""SELECT rs.*, 'alpaca' AS format, 'all' AS task,
+    limits = ", ".join(f"0::bigint AS {name}" for name in report.LIMITS.values())
+    selects["run_report"] = f"""SELECT rs.*, {limits}, 'alpaca' AS format, 'all' AS task,
         ({reasons}) AS reasons, ({tasks}) AS tasks FROM ({selects["run_stats"]}) rs"""
     for name in EXCLUSIONS:
         selects[f"excl_{name}"] = f"SELECT repo, sha, coalesce({EXCL[name]}, false) AS excluded FROM described"

@@ -23,7 +23,7 @@ from histloom.operators.structure import (
     pull_structure_rules,
     with_full_message,
 )
-from histloom.plans import dataset, jobs
+from histloom.plans import dataset, funnel, jobs
 from histloom.sources import catalog, commits, files, pulls
 from histloom.sources.exports import Exports
 
@@ -629,27 +629,26 @@ def run_report(spark, sf):
         return _joined(texts)
 
     return row.select(
-        "stats.*", "n_repos", "format", "task",
+        "stats.*", "left_out.*", "n_repos", "format", "task",
         listed("top_exclusion_reasons").alias("reasons"),
         listed("task_distribution").alias("tasks"),
     )
 
 
+@query
+def collection_limits(spark, sf):
+    """What small limits leave out, per limit and repo."""
+    exports = _exports(spark, sf)
+    p = PROFILE.limited_to(50)
+    limits = [*dataset.commit_keys(exports, p)[1], *dataset.pull_keys(exports, p)[1]]
+    return limits[0].union(limits[1]).union(limits[2])
+
+
 @query
 def profile_funnel(spark, sf):
-    """Stages 1 to 3 of the commit rules under each preset, from one pass over the commits."""
-    rows = with_full_message(_scored(spark, sf))
-    verdicts = []
-    for name in pm.profile_names():
-        p = pm.profile(name).filter
-        rules = exclusion_rules(p) + commit_structure_rules(p) + quality.quality_rules(p)
-        verdict = F.coalesce(first_failing(rules), F.lit("passed"))
-        verdicts.append(F.struct(F.lit(name).alias("profile"), verdict.alias("verdict")))
-    return (
-        rows.select(F.inline(F.array(*verdicts)))
-        .groupBy("profile", "verdict")
-        .agg(F.count(F.lit(1)).alias("n_commits"))
-    )
+    """All four stages under each preset with its own selection, from one pass."""
+    profiles = {name: pm.profile(name) for name in pm.profile_names()}
+    return funnel.profile_funnel(_exports(spark, sf), profiles)
 
 
 # ---- repository health --------------------------------------------------------------------

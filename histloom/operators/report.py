@@ -59,6 +59,22 @@ def run_stats(decisions: DataFrame, collected: DataFrame) -> DataFrame:
     )
 
 
+# What each limit leaves out, by the name of its count.
+LIMITS = {
+    "max_commits_per_repo": "commits_beyond_limit",
+    "scanned_prs_per_repo": "closed_prs_not_scanned",
+    "max_prs_per_repo": "prs_beyond_limit",
+}
+
+
+def left_out(limits: DataFrame) -> DataFrame:
+    """One row: how many records each limit left out of (limit, repo, n_seen, n_taken)."""
+    beyond = F.col("n_seen") - F.col("n_taken")
+    return limits.agg(
+        *[F.coalesce(F.sum(F.when(F.col("limit") == k, beyond)), F.lit(0)).alias(n) for k, n in LIMITS.items()]
+    )
+
+
 def _as_map(counts: DataFrame, key: str, value: str, name: str) -> DataFrame:
     entries = F.collect_list(F.struct(key, value))
     return counts.agg(F.map_from_entries(entries).alias(name)).withColumn("_one", F.lit(1))
@@ -66,15 +82,22 @@ def _as_map(counts: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 def run_report(
     decisions: DataFrame, collected: DataFrame, repos: DataFrame, run_id: str, output_format: str, task: str,
-    started_at: Column, finished_at: Column, duration_seconds: float,
+    started_at: Column, finished_at: Column, duration_seconds: float, limits: DataFrame | None = None,
 ) -> DataFrame:
-    """The report row: stats struct plus reason and task maps (both have few, fixed keys)."""
+    """The report row: stats struct, what the limits left out, and reason and task maps (both have
+    few, fixed keys)."""
     stats = run_stats(decisions, collected)
     names = [c for c in stats.columns if c != "n_repos"]
     stats = stats.select(F.struct(*names).alias("stats"), F.lit(1).alias("_one"))
     n_repos = repos.agg(F.count(F.lit(1)).alias("n_repos")).withColumn("_one", F.lit(1))
     reasons = _as_map(reason_counts(decisions), "reason", "n_dropped", "top_exclusion_reasons")
     tasks = _as_map(task_distribution(decisions), "task", "n_records", "task_distribution")
+    if limits is None:
+        zeros = F.struct(*[F.lit(0).cast("long").alias(n) for n in LIMITS.values()])
+        stats = stats.withColumn("left_out", zeros)
+    else:
+        beyond = left_out(limits).select(F.struct(*LIMITS.values()).alias("left_out"))
+        stats = stats.join(beyond.withColumn("_one", F.lit(1)), "_one")
     joined = stats.join(n_repos, "_one").join(reasons, "_one").join(tasks, "_one")
     return joined.select(
         F.lit(run_id).alias("run_id"),
@@ -83,6 +106,7 @@ def run_report(
         "n_repos",
         F.lit(duration_seconds).alias("duration_seconds"),
         "stats",
+        "left_out",
         "top_exclusion_reasons",
         F.lit(output_format).alias("format"),
         F.lit(task).alias("task"),

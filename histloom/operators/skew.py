@@ -20,23 +20,59 @@ def first_n_per_group(
     spread_by: list[str],
     rank: str = "rank",
     salts: int = 32,
+    size: str | None = None,
 ) -> DataFrame:
     """First ``n`` rows of each group in ``order``, with their 1-based ``rank``.
 
     Two levels: rows are ranked within (group, salt) first, and only the at most salts x n rows of
     a group that can still qualify are ranked together. ``order`` must be total within a group.
+    ``size`` names a column for the number of all rows of the group, counted by the same windows:
+    every (group, salt) keeps its first row, which carries the count of its rows.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
-    within = Window.partitionBy(*group, "_salt").orderBy(*order)
-    across = Window.partitionBy(*group).orderBy(*order)
-    return (
-        df.withColumn("_salt", salt)
-        .withColumn(rank, F.row_number().over(within))
-        .filter(F.col(rank) <= n)
-        .withColumn(rank, F.row_number().over(across))
-        .filter(F.col(rank) <= n)
-        .drop("_salt")
-    )
+    salted, whole = Window.partitionBy(*group, "_salt"), Window.partitionBy(*group)
+    rows = df.withColumn("_salt", salt).withColumn(rank, F.row_number().over(salted.orderBy(*order)))
+    if size:
+        rows = rows.withColumn("_n", F.count(F.lit(1)).over(salted))
+    rows = rows.filter(F.col(rank) <= n)
+    if size:
+        counts = F.sum(F.when(F.col(rank) == 1, F.col("_n"))).over(whole)
+        rows = rows.withColumn(size, counts).drop("_n")
+    rows = rows.withColumn(rank, F.row_number().over(whole.orderBy(*order)))
+    return rows.filter(F.col(rank) <= n).drop("_salt")
+
+
+def first_n_by_choice(
+    df: DataFrame,
+    group: list[str],
+    order: list[Column],
+    choices: list[tuple[Column, int | None]],
+    spread_by: list[str],
+    bits: str,
+    salts: int = 32,
+) -> DataFrame:
+    """Several such choices from one pass: bit i of ``bits`` is set for the first n_i rows of a group
+    that fulfil condition i (None: all that do). Rows without a bit are left out.
+
+    Ranks are running counts of the rows that fulfil a condition, on the same two levels.
+    """
+
+    def taken(window: Window) -> Column:
+        running = window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        flags = []
+        for i, (condition, n) in enumerate(choices):
+            chosen = F.coalesce(condition, F.lit(False))
+            if n is not None:
+                chosen = chosen & (F.sum(F.when(chosen, 1).otherwise(0)).over(running) <= n)
+            flags.append(F.when(chosen, F.lit(1 << i)).otherwise(F.lit(0)))
+        return sum(flags[1:], flags[0])
+
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
+    if any(n is not None for _, n in choices):
+        near = df.withColumn("_salt", salt)
+        near = near.withColumn(bits, taken(Window.partitionBy(*group, "_salt")))
+        df = near.filter(F.col(bits) > 0).drop("_salt", bits)
+    return df.withColumn(bits, taken(Window.partitionBy(*group))).filter(F.col(bits) > 0)
 
 
 def hottest(counts: DataFrame, keys: list[str], count: str, min_rows: int) -> DataFrame:

@@ -63,17 +63,55 @@ def screen_pulls(pulls: DataFrame, p: FilterParams) -> DataFrame:
     return decide(pulls, [("stage2", pull_structure_rules(p))])
 
 
-def collected_commits(exports: Exports, params: RunParams) -> DataFrame:
-    keys = commit_source.select_commits(exports.listing(), params.collect)
+def commits_of(exports: Exports, keys: DataFrame) -> DataFrame:
+    """The commits of the chosen keys, with what the keys bring besides."""
     rows = commit_source.normalise_commits(exports.commits).dropDuplicates(file_source.KEY)
-    return rows.join(keys.select("repo", "sha", "arrival"), file_source.KEY)
+    return rows.join(keys, file_source.KEY)
 
 
-def collected_pulls(exports: Exports, params: RunParams) -> DataFrame:
-    collect = params.collect
-    keys = pull_source.scan_pulls(exports.closed_pulls(), collect.max_prs_per_repo, collect.since)
+def pulls_of(exports: Exports, keys: DataFrame) -> DataFrame:
     rows = pull_source.normalise_pulls(exports.pull_requests).dropDuplicates(pull_source.KEY)
-    return rows.join(keys.select(*pull_source.KEY, "arrival"), pull_source.KEY)
+    return rows.join(keys, pull_source.KEY)
+
+
+def _beyond(keys: DataFrame, limit: str, seen: str) -> DataFrame:
+    """(limit, repo, n_seen, n_taken): what a limit had to choose from, and took."""
+    counts = keys.groupBy("repo").agg(
+        F.max(seen).cast("long").alias("n_seen"), F.count(F.lit(1)).alias("n_taken")
+    )
+    return counts.select(F.lit(limit).alias("limit"), "repo", "n_seen", "n_taken")
+
+
+def commit_keys(exports: Exports, params: RunParams) -> tuple[DataFrame, list[DataFrame]]:
+    """Chosen (repo, sha, arrival), and per limit what it left out.
+
+    Sizes come with the ranking, so limits are accounted for without reading anything again.
+    """
+    keys = commit_source.select_commits(exports.listing(), params.collect)
+    if params.collect.max_commits_per_repo is None:
+        return keys.select("repo", "sha", "arrival"), []
+    keys = stage(keys, "commit-keys")
+    return keys.select("repo", "sha", "arrival"), [_beyond(keys, "max_commits_per_repo", "n_seen")]
+
+
+def pull_keys(exports: Exports, params: RunParams) -> tuple[DataFrame, list[DataFrame]]:
+    collect, closed = params.collect, exports.closed_pulls()
+    most = collect.max_prs_per_repo
+    if most is None:
+        keys = pull_source.scan_pulls(closed, None, collect.since)
+        return keys.select(*pull_source.KEY, "arrival"), []
+    scanned = stage(pull_source.scanned_pulls(closed, most), "scanned-pulls")
+    keys = stage(pull_source.take_pulls(scanned, most, collect.since), "pull-keys")
+    left = [_beyond(scanned, "scanned_prs_per_repo", "n_closed"), _beyond(keys, "max_prs_per_repo", "n_seen")]
+    return keys.select(*pull_source.KEY, "arrival"), left
+
+
+def collected_commits(exports: Exports, params: RunParams) -> DataFrame:
+    return commits_of(exports, commit_keys(exports, params)[0])
+
+
+def collected_pulls(exports: Exports, params: RunParams) -> DataFrame:
+    return pulls_of(exports, pull_keys(exports, params)[0])
 
 
 def _sortable(arrival: Column) -> Column:
@@ -136,21 +174,29 @@ def apply_verdicts(df: DataFrame, verdicts: DataFrame, key: str, source: str, re
     )
 
 
-def patch_candidates(accepted: DataFrame, exports: Exports, p: FilterParams, **skew) -> DataFrame:
-    """Accepted pull requests with ``context`` and the two gates of the patch task."""
+def with_context(accepted: DataFrame, exports: Exports, **skew) -> DataFrame:
+    """Accepted pull requests with their issues and ``context``."""
     # Narrow rows that the salted joins read several times.
     links = stage(pull_source.issue_links(accepted), "issue-links")
     links = stage(pull_source.links_with_ceiling(links, exports.repos, **skew), "issue-ceilings")
     resolved = pull_source.resolve_issues(links, exports.issues, **skew)
     with_issues = pull_source.attach_issue_blocks(accepted, resolved)
-    contextual = with_issues.withColumn("context", formats.issue_context())
+    return with_issues.withColumn("context", formats.issue_context())
+
+
+def patch_gates(p: FilterParams) -> list[tuple[str, list[Rule]]]:
     unlinked = F.lit(p.require_linked_issue) & (F.size("linked_issue_numbers") == 0)
     thin = tx.count_words(F.col("context")) < p.min_issue_to_patch_words
-    gates = [
+    return [
         ("stage1", [("pr_exclusion:no_linked_issue", unlinked)]),
         ("stage3", [("content_quality:insufficient_context", thin)]),
     ]
-    return decide(contextual.drop("stage_failed", "reason"), gates)
+
+
+def patch_candidates(accepted: DataFrame, exports: Exports, p: FilterParams, **skew) -> DataFrame:
+    """Accepted pull requests with ``context`` and the two gates of the patch task."""
+    contextual = with_context(accepted, exports, **skew)
+    return decide(contextual.drop("stage_failed", "reason"), patch_gates(p))
 
 
 def review_candidates(accepted: DataFrame, exports: Exports, output_format: str) -> DataFrame:
@@ -179,6 +225,11 @@ class Outcome:
     collected: list[DataFrame] = field(default_factory=list)
     records: dict[str, DataFrame] = field(default_factory=dict)
     excluded: list[tuple[str, DataFrame, list[str]]] = field(default_factory=list)
+    limits: list[DataFrame] = field(default_factory=list)
+
+    def left_out(self) -> DataFrame | None:
+        """(limit, repo, n_seen, n_taken) of every limit that was set; None without any."""
+        return reduce(DataFrame.union, self.limits) if self.limits else None
 
     def all_decisions(self) -> DataFrame:
         """One row per excluded record, and per (record, task) that came further."""
@@ -288,12 +339,16 @@ def plan_run(exports: Exports, params: RunParams, **skew) -> Outcome:
     wants_pulls = params.wants_reviews or params.wants_patches
     if params.wants_commits:
         files = file_source.normalise_files(exports.file_changes)
+        keys, left = commit_keys(exports, params)
+        out.limits += left
         screened = stage(
-            screen_commits(collected_commits(exports, params), files, params.filter), "screened"
+            screen_commits(commits_of(exports, keys), files, params.filter), "screened"
         )
         scored = stage(score_commits(screened, files, params.filter), "scored")
     if wants_pulls:
-        pulls = stage(screen_pulls(collected_pulls(exports, params), params.filter), "pulls")
+        keys, left = pull_keys(exports, params)
+        out.limits += left
+        pulls = stage(screen_pulls(pulls_of(exports, keys), params.filter), "pulls")
     # Read by commits and pull requests, and by each of their outputs: decided once.
     verdicts = stage(
         cross_source_duplicates(dedup_input(scored, pulls), params.filter, **skew).filter(

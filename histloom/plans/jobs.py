@@ -23,6 +23,7 @@ DATASET_WITH_META = "dataset_with_meta.jsonl"
 EXCLUDED_LOG = "excluded_log.jsonl"
 REPORT = "run_report.json"
 REPOS = "repos_processed.jsonl"
+LEFT_OUT = "left_out.jsonl"
 
 
 def only_repos(exports: Exports, repos: DataFrame) -> Exports:
@@ -84,12 +85,16 @@ def _run(
             logged_at,
             finished_at,
             round(ended - began, 2),
+            limits=outcome.left_out(),
         ),
         "report",
     )
     if not dry_run:
         row.write.mode("overwrite").json(f"{output}/{REPORT}")
         repos.write.mode("overwrite").json(f"{output}/{REPOS}")
+        if outcome.limits:
+            cut = outcome.left_out().filter("n_seen > n_taken")
+            cut.write.mode("overwrite").json(f"{output}/{LEFT_OUT}")
     return row.first(), row.schema
 
 

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histloom.functions import text as tx
-from histloom.operators.skew import first_n_per_group
+from histloom.operators.skew import first_n_by_choice, first_n_per_group
 from histloom.params import CollectParams
 
 
+def newest() -> list[Column]:
+    """Commits of a repo in the order in which a limit takes them."""
+    return [F.asc("branch_pos"), F.desc("author_ts"), F.asc("sha")]
+
+
 def start_of(day: date, df: DataFrame, column: str) -> Column:
     """Midnight (UTC) of ``day`` as a literal of the column's type, so the filter reaches the scan."""
     if isinstance(df.schema[column].dataType, T.TimestampNTZType):
@@ -47,15 +52,39 @@ def first_branch(listing: DataFrame) -> DataFrame:
 def newest_commits(listing: DataFrame, n: int | None) -> DataFrame:
     """The first ``n`` commits of each repo in branch order, newest first within a branch.
 
-    ``arrival`` is their rank. Without a limit nothing is ranked, and ``arrival`` is a text that
-    sorts in the same order.
+    ``arrival`` is their rank, ``n_seen`` how many the repo has. Without a limit nothing is ranked
+    or counted, and ``arrival`` is a text that sorts in the same order.
     """
     if n is None:
-        late = F.lpad((F.lit(2**62) - F.unix_micros(F.col("author_ts").cast("timestamp"))).cast("string"), 20, "0")
-        place = F.lpad(F.col("branch_pos").cast("string"), 10, "0")
-        return listing.withColumn("arrival", F.concat_ws("-", place, late, "sha"))
-    order = [F.col("branch_pos").asc(), F.col("author_ts").desc(), F.col("sha").asc()]
-    return first_n_per_group(listing, ["repo"], order, n, spread_by=["sha"], rank="arrival")
+        return listing.withColumn("arrival", arrival_text())
+    return first_n_per_group(
+        listing, ["repo"], newest(), n, spread_by=["sha"], rank="arrival", size="n_seen"
+    )
+
+
+def arrival_text() -> Column:
+    """Sorts as newest() does."""
+    late = F.lpad((F.lit(2**62) - F.unix_micros(F.col("author_ts").cast("timestamp"))).cast("string"), 20, "0")
+    place = F.lpad(F.col("branch_pos").cast("string"), 10, "0")
+    return F.concat_ws("-", place, late, "sha")
+
+
+def newest_by_choice(listing: DataFrame, choices: list[CollectParams]) -> DataFrame:
+    """The commits that any of the choices takes, with ``arrival`` and a bit for each in ``taken``.
+
+    All choices must name the same branches; each has its own first day and limit.
+    """
+    branches = choices[0].branches
+    if any(c.branches != branches for c in choices):
+        raise ValueError("choices of different branches")
+    rows = first_branch(on_branches(listing, branches))
+    wanted = [
+        (F.lit(True) if c.since is None else F.col("author_ts") >= start_of(c.since, rows, "author_ts"),
+         c.max_commits_per_repo)
+        for c in choices
+    ]
+    chosen = first_n_by_choice(rows, ["repo"], newest(), wanted, ["sha"], "taken")
+    return chosen.withColumn("arrival", arrival_text())
 
 
 def select_commits(listing: DataFrame, params: CollectParams) -> DataFrame:

@@ -9,13 +9,41 @@ from pyspark.sql import functions as F
 
 from histloom.functions import fixed_values as fv
 from histloom.functions import text as tx
-from histloom.operators.skew import first_n_per_group, salted_join
+from histloom.operators.skew import first_n_by_choice, first_n_per_group, salted_join
+from histloom.params import CollectParams
 from histloom.sources.commits import start_of
 
 KEY = ["repo", "number"]
 SCAN_FACTOR = 5
 
 
+def latest() -> list[Column]:
+    """Pull requests of a repo in the order in which a scan meets them."""
+    return [F.desc("updated_at"), F.desc("number")]
+
+
+def scanned_pulls(closed: DataFrame, max_prs: int) -> DataFrame:
+    """Keys of the closed pull requests that are looked at, with the number closed in their repo."""
+    keys = closed.select(*KEY, "updated_at", "merged_at")
+    scanned = first_n_per_group(
+        keys, ["repo"], latest(), SCAN_FACTOR * max_prs, spread_by=["number"], size="n_closed"
+    )
+    return scanned.drop("rank")
+
+
+def _merged_since(closed: DataFrame, day: date | None) -> Column:
+    merged = F.col("merged_at").isNotNull()
+    return merged if day is None else merged & (F.col("merged_at") >= start_of(day, closed, "merged_at"))
+
+
+def take_pulls(scanned: DataFrame, max_prs: int, day: date | None = None) -> DataFrame:
+    """The first merged ones of each repo with their ``arrival`` and the number to choose from."""
+    merged = scanned.filter(_merged_since(scanned, day))
+    return first_n_per_group(
+        merged, ["repo"], latest(), max_prs, spread_by=["number"], rank="arrival", size="n_seen"
+    )
+
+
 def scan_pulls(closed: DataFrame, max_prs: int | None, day: date | None = None) -> DataFrame:
     """Keys of the merged pull requests a run takes, with their ``arrival`` position.
 
@@ -24,23 +52,31 @@ def scan_pulls(closed: DataFrame, max_prs: int | None, day: date | None = None)
     key columns alone; texts are joined afterwards. Without a limit every merged one is taken and
     none ranked: ``arrival`` is then a text that sorts in the same order.
     """
-    order = [F.col("updated_at").desc(), F.col("number").desc()]
-    scanned = closed.select(*KEY, "updated_at", "merged_at")
     if max_prs is not None:
-        scanned = first_n_per_group(
-            scanned, ["repo"], order, SCAN_FACTOR * max_prs, spread_by=["number"]
-        )
-    merged = scanned.filter(F.col("merged_at").isNotNull())
-    if day is not None:
-        merged = merged.filter(F.col("merged_at") >= start_of(day, closed, "merged_at"))
-    if max_prs is None:
-        late = F.lit(2**62) - F.unix_micros(F.col("updated_at").cast("timestamp"))
-        falling = [late, F.lit(2**62) - F.col("number")]
-        texts = [F.lpad(x.cast("string"), 20, "0") for x in falling]
-        return merged.withColumn("arrival", F.concat_ws("-", *texts))
-    return first_n_per_group(
-        merged.drop("rank"), ["repo"], order, max_prs, spread_by=["number"], rank="arrival"
-    )
+        return take_pulls(scanned_pulls(closed, max_prs), max_prs, day)
+    merged = closed.select(*KEY, "updated_at", "merged_at").filter(_merged_since(closed, day))
+    return merged.withColumn("arrival", arrival_text())
+
+
+def arrival_text() -> Column:
+    """Sorts as latest() does."""
+    late = F.lit(2**62) - F.unix_micros(F.col("updated_at").cast("timestamp"))
+    falling = [late, F.lit(2**62) - F.col("number")]
+    return F.concat_ws("-", *[F.lpad(x.cast("string"), 20, "0") for x in falling])
+
+
+def scan_by_choice(closed: DataFrame, choices: list[CollectParams]) -> DataFrame:
+    """The pull requests that any of the choices takes, with a bit for each in ``taken``."""
+    keys = closed.select(*KEY, "updated_at", "merged_at")
+    limits = [c.max_prs_per_repo for c in choices]
+    looked_at = [(F.lit(True), None if n is None else SCAN_FACTOR * n) for n in limits]
+    scanned = first_n_by_choice(keys, ["repo"], latest(), looked_at, ["number"], "scanned")
+    wanted = [
+        (F.col("scanned").bitwiseAND(F.lit(1 << i)).cast("boolean") & _merged_since(closed, c.since), n)
+        for i, (c, n) in enumerate(zip(choices, limits, strict=True))
+    ]
+    chosen = first_n_by_choice(scanned, ["repo"], latest(), wanted, ["number"], "taken")
+    return chosen.withColumn("arrival", arrival_text())
 
 
 def linked_issue_numbers(body: Column, number: Column) -> Column:
