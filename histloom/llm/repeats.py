@@ -17,7 +17,8 @@ travel, and joins with the table need no exchange. A name reaches a sorting task
 most, so a passage in a third of all texts is no hot group. Equal texts are collapsed first.
 
 Defined results: a null text is empty; matches never cross texts; equal texts of ``LENGTH`` bytes or
-more go whole; offsets are bytes of the UTF-8 form.
+more go whole; offsets are bytes of the UTF-8 form; in the remaining text a character that was cut
+in two leaves replacement characters.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import cache
 from itertools import product
 
 import numpy as np
@@ -33,8 +33,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from histloom.llm.common import arrow_rows, by_value, stage
+from histloom.llm.common import arrow_rows, by_value, fresh_folder, stage
+from histloom.llm.pieces import per_worker
 
 by_value(__name__)
 
@@ -49,9 +51,13 @@ SORTED_NAMES = 1_000_000
 _CHUNK = 1_000_000
 
 
-@cache
 def difference_set(order: int = ORDER) -> tuple[int, np.ndarray]:
-    """Period and offsets of a perfect difference set, from a plane over a prime field.
+    """Period and offsets of a perfect difference set, once per process."""
+    return per_worker(("difference set", order), lambda: _difference_set(order))
+
+
+def _difference_set(order: int) -> tuple[int, np.ndarray]:
+    """From a plane over a prime field.
 
     Powers of a cubic's root that lie in a plane have exponents whose differences meet every
     residue. Cubics are tried until one works.
@@ -70,8 +76,11 @@ def difference_set(order: int = ORDER) -> tuple[int, np.ndarray]:
     raise ValueError("the order must be prime")
 
 
-@cache
 def _tables(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return per_worker(("powers", seed, size), lambda: _drawn(seed, size))
+
+
+def _drawn(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random values of the bytes, powers of an odd base and of its inverse, modulo 2^64."""
     draw = np.random.default_rng(seed)
     values = draw.integers(0, 2**64, 256, dtype=np.uint64)
@@ -92,7 +101,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def names(data: np.ndarray, starts: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
     """64-bit hash of the ``length`` bytes at each of the sorted ``starts``."""
-    values, powers, inverse = _tables(seed, _CHUNK + LENGTH + 1)
+    values, powers, inverse = _tables(seed, _CHUNK + length + 1)
     out = np.empty(len(starts), dtype=np.uint64)
     for at in range(0, len(data), _CHUNK):
         lo, hi = np.searchsorted(starts, (at, at + _CHUNK))
@@ -227,53 +236,65 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+_PACKED = "batch bigint, size bigint, one binary, two binary, copies binary, ends binary, data binary"
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to batches of about BATCH_BYTES; a longer text is a batch of its own."""
     part, sequence = TaskContext.get().partitionId(), 0
     held: list[tuple] = []
-    size = 0
+    size, kind = 0, None
 
     def out() -> pa.RecordBatch:
         nonlocal sequence, held, size
         ends = np.cumsum([len(r[3]) for r in held], dtype=np.int64).tobytes()
         number, sequence = (part << 32) | sequence, sequence + 1
         columns = [np.array([r[i] for r in held], dtype=np.int64).tobytes() for i in range(3)]
-        data = b"".join(r[3] for r in held)
+        data, ids = b"".join(r[3] for r in held), [r[4] for r in held]
         held, size = [], 0
         return pa.RecordBatch.from_arrays(
             [pa.array([number]), pa.array([len(data)], pa.int64()),
              *[pa.array([c], pa.binary()) for c in (*columns, ends)],
-             pa.array([data], pa.large_binary()).cast(pa.binary())],
-            names=["batch", "size", "one", "two", "copies", "ends", "data"],
+             pa.array([data], pa.large_binary()).cast(pa.binary()), pa.array([ids], pa.list_(kind))],
+            names=["batch", "size", "one", "two", "copies", "ends", "data", "ids"],
         )
 
     for batch in batches:
-        keys = zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)
-        for (one, two, copies), body in zip(keys, batch.column(3), strict=True):
+        kind = batch.column(4).type
+        keys = zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4)], strict=True)
+        for (one, two, copies, key), body in zip(keys, batch.column(3), strict=True):
             body = body.as_py()
             if held and size + len(body) > BATCH_BYTES:
                 yield out()
-            held.append((one, two, copies, body))
+            held.append((one, two, copies, body, key))
             size += len(body)
     if held:
         yield out()
 
 
-def _removals(batch: Batch, row: dict, starts: np.ndarray) -> pa.RecordBatch:
+_REMOVALS = "one bigint, two bigint, copies bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string"
+
+
+def _removals(batch: Batch, row: dict, starts: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    """One row per distinct text; of several equal ones nothing stays."""
     removed = batch.covered(starts)
     one, two, copies = (np.frombuffer(row[c], np.int64) for c in ("one", "two", "copies"))
-    n_removed, n_spans, kept = [], [], []
+    n_removed, n_spans, kept, texts = [], [], [], []
     start = 0
     for end, n in zip(batch.ends.tolist(), copies.tolist(), strict=True):
         mask = removed[start:end] if n == 1 else np.ones(end - start, bool)
         n_removed.append(int(mask.sum()))
         n_spans.append(int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum()))
-        kept.append(hashlib.sha256(batch.data[start:end][~mask].tobytes()).hexdigest())
+        rest = batch.data[start:end]
+        rest = (rest[~mask] if n_removed[-1] else rest).tobytes()
+        kept.append(hashlib.sha256(rest).hexdigest())
+        texts.append(rest.decode("utf-8", "replace"))
         start = end
     return pa.RecordBatch.from_arrays(
-        [pa.array(one), pa.array(two), pa.array(n_removed, pa.int64()),
-         pa.array(n_spans, pa.int64()), pa.array(kept, pa.string())],
-        names=["one", "two", "n_removed", "n_spans", "kept_sha256"],
+        [pa.array(one), pa.array(two), pa.array(copies), pa.array(np.diff(batch.ends, prepend=0)),
+         pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string()),
+         pa.array(texts, pa.string()), pa.array(row["ids"], kind)],
+        names=[*(c.split()[0] for c in _REMOVALS.split(", ")), "doc_id"],
     )
 
 
@@ -283,7 +304,11 @@ def _bits_for(names_total: int) -> int:
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    length: int = LENGTH) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining ``text``.
+
+    A text that occurs once is answered where it lies; only of equal texts, of which nothing stays,
+    the documents are looked up again, by narrow rows.
+    """
     spark = docs.sparkSession
     period, offsets = difference_set()
     if length <= period:
@@ -296,22 +321,22 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     long = docs.filter(F.col("n_bytes") >= length)
     distinct = long.groupBy("one", "two").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("text").cast("binary").alias("text")
-    )
-    name = f"histloom_repeats_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = distinct.mapInArrow(
-        _pack, "batch bigint, size bigint, one binary, two binary, copies binary, ends binary, "
-        "data binary",
+        F.count(F.lit(1)).alias("copies"), F.first("text").cast("binary").alias("text"),
+        F.first("doc_id").alias("doc_id"),
     )
+    name, path = f"histloom_repeats_{uuid.uuid4().hex}", fresh_folder(spark, "repeats")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = distinct.mapInArrow(_pack, f"{_PACKED}, ids array<{id_kind}>")
     (
-        packed.write.bucketBy(buckets, "batch")
+        packed.write.bucketBy(buckets, "batch").option("path", path)
         .option("compression", "zstd").format("parquet").saveAsTable(name)
     )
     try:
         batches = spark.table(name)
         total = batches.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         bits = _bits_for(total * len(offsets) // period)
+        arrow_id = to_arrow_type(docs.schema["doc_id"].dataType)
 
         def first(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _rows(rows):
@@ -332,7 +357,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 if len(starts):
                     _, _, rank = _distinct(key, check)
                     hits = starts[_flags(row["strings"])[rank]]
-                yield _removals(batch, row, hits)
+                yield _removals(batch, row, hits, arrow_id)
 
         with arrow_rows(spark, BATCH_ROWS):
             samples = _shared(batches.select("batch", "data", "ends").mapInArrow(first, _DEALT), "samples")
@@ -341,16 +366,19 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 sampled.select("batch", "data", "ends", "samples").mapInArrow(second, _DEALT), "strings"
             )
             done = sampled.join(strings, "batch", "left").mapInArrow(
-                third, "one bigint, two bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+                third, f"{_REMOVALS}, doc_id {id_kind}"
             )
-            removals = stage(done, "removals")
+            removals = stage(done, "removals", compression="zstd")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    whole = F.when(F.col("n_bytes") < length, F.sha2("text", 256))
-    narrow = docs.select("doc_id", "one", "two", "n_bytes", whole.alias("whole"))
-    return narrow.join(removals, ["one", "two"], "left").select(
-        "doc_id", "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("whole", "kept_sha256").alias("kept_sha256"),
-    )
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    none = F.lit(0).cast("long")
+    short = docs.filter(F.col("n_bytes") < length).withColumns(
+        {"n_removed": none, "n_spans": none, "kept_sha256": F.sha2(F.col("text").cast("binary"), 256)}
+    )
+    single = removals.filter("copies = 1")
+    several = removals.filter("copies > 1").select("one", "two", "n_removed", "n_spans", "kept_sha256", "text")
+    copies = long.drop("text").join(several, ["one", "two"])
+    return short.select(*result).union(single.select(*result)).union(copies.select(*result))

@@ -1,9 +1,14 @@
+import base64
 import hashlib
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from histloom.llm import repeats
 
@@ -19,7 +24,8 @@ def brute(texts, length):
                 mask[i : i + length] = True
         spans = int((np.diff(mask.astype(int), prepend=0) == 1).sum())
         kept = bytes(np.frombuffer(x, np.uint8)[~mask])
-        out.append((len(x), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        text = kept.decode("utf-8", "replace")
+        out.append((len(x), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest(), text))
     return out
 
 
@@ -62,5 +68,23 @@ def test_long_text_and_empty_table(spark):
     got = {r.doc_id: r for r in repeats.repeated_bytes(docs).collect()}
     assert (got[1].n_removed, got[1].n_spans, got[2].n_removed) == (400, 1, 400)
     cut = (long[:1_200_000] + long[1_200_400:]).encode()
-    assert got[1].kept_sha256 == hashlib.sha256(cut).hexdigest()
+    assert got[1].kept_sha256 == hashlib.sha256(cut).hexdigest() and got[1].text == cut.decode()
     assert repeats.repeated_bytes(docs.filter("false")).count() == 0
+
+
+def test_workers_need_no_copy_of_the_library(tmp_path):
+    """What tasks get runs in a process that cannot import the library, also after use here."""
+
+    def work():
+        data = np.frombuffer(b"ab" * 400, np.uint8)
+        return repeats.difference_set()[0], len(set(repeats.names(data, np.arange(50), 400).tolist()))
+
+    assert work() == (183, 2)
+    sent = base64.b64encode(cloudpickle.dumps(work)).decode()
+    assert len(sent) < 100_000
+    code = f"import base64, pickle; print(pickle.loads(base64.b64decode('{sent}'))())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120
+    )
+    assert out.stdout.strip() == "(183, 2)", out.stderr
