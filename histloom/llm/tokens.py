@@ -49,7 +49,11 @@ class Encoder:
         # Spark runs one task per core; the library's own threads would only compete.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        # Strings of added tokens are cut out of a text before anything else is done to it.
+        added = {t.content: i for i, t in self._tokenizer.get_added_tokens_decoder().items()}
+        self._added = {text: i.to_bytes(4, "little") for text, i in added.items()}
+        longest = sorted(map(re.escape, added), key=len, reverse=True)
+        self._cut = re.compile(f"({'|'.join(longest)})") if added else None
         self._seen: dict[str, bytes] = {}
         self._letters = _byte_letters()
 
@@ -70,9 +74,8 @@ class Encoder:
         for word, ids in zip(new, self._encoded(new, plain), strict=True):
             self._seen[word] = pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """Unsigned 32-bit ids of the whole text, END_ID last; null is the empty text."""
-        text = text or ""
+    def _plain(self, text: str) -> list[bytes]:
+        """Ids of a text without added tokens."""
         plain = not _UNSAFE.search(text)
         words = _WORDS.findall(text.lower()) if plain else text.replace("\n", " ").split(" ")
         parts = []
@@ -83,6 +86,15 @@ class Encoder:
             except KeyError:
                 self._learn(set(some), plain)
                 parts.append(b"".join(map(self._seen.__getitem__, some)))
+        return parts
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """Unsigned 32-bit ids of the whole text, END_ID last; null is the empty text."""
+        text = text or ""
+        parts = []
+        pieces = self._cut.split(text) if self._cut and self._cut.search(text) else [text]
+        for n, piece in enumerate(pieces):
+            parts += [self._added[piece]] if n % 2 else self._plain(piece)
         parts.append(END_ID.to_bytes(4, "little"))
         return np.frombuffer(b"".join(parts), dtype="<u4")
 

@@ -15,24 +15,24 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 ROWS = [
     (1, "Plain words, repeated words. " * 900, "a"), (2, None, "b"), (3, "", "b"), (3, "", "b"),
     (None, "No id here", "c"), (4, "I'll keep “quotes”, ΟΔΟΣ and ＦＵＬＬ width\x1c too", None),
-    (5, "Éa ²½ 12a3 x_y--z «ok»…", "d"), (6, " \n\t ", "d"),
+    (5, "Éa ²½ 12a3 x_y--z «ok»…", "d"), (6, " \n\t ", "d"), (7, "hello <|endoftext|> world<|startoftext|>", "e"),
 ]
 
 
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=40))
+@given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(
+    ["<|endoftext|>", "<|startoftext|>", "<|END", "oftext|>", "hello", " ", "Wörld's", "日", "\n", "<|", "1"]
+)).map("".join)))
 def test_ids_equal_the_tokenizers_own(text):
     tokenizer = test_ids_equal_the_tokenizers_own.__dict__.setdefault(
         "own", Tokenizer.from_file(PATH)
     )
-    tokenizer.encode_special_tokens = True
     mine = test_ids_equal_the_tokenizers_own.__dict__.setdefault("mine", Encoder(PATH))
     want = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
     assert mine.ids(text).tolist() == want
