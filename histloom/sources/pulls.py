@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from histloom.functions import fixed_values as fv
 from histloom.functions import text as tx
 from histloom.operators.skew import first_n_by_choice, first_n_per_group, salted_join
+from histloom.operators.staging import stage
 from histloom.params import CollectParams
 from histloom.sources.commits import start_of
 
@@ -117,7 +118,12 @@ def ordered_per_pull(children: DataFrame, value: Column, name: str) -> DataFrame
 def attach_ordered(pulls: DataFrame, children: DataFrame, value: Column, name: str) -> DataFrame:
     """``pulls`` plus the ordered array ``name``; only children of these pull requests are moved."""
     wanted = children.join(pulls.select(*KEY), KEY, "left_semi")
-    arrays = ordered_per_pull(wanted, value, name)
+    return _with_arrays(pulls, ordered_per_pull(wanted, value, name))
+
+
+def _with_arrays(pulls: DataFrame, arrays: DataFrame) -> DataFrame:
+    """``pulls`` plus the last column of ``arrays``, empty where there is none."""
+    name = arrays.columns[-1]
     empty = F.array().cast(arrays.schema[name].dataType)
     return pulls.join(arrays, KEY, "left").withColumn(name, F.coalesce(name, empty))
 
@@ -146,10 +152,15 @@ def issue_links(pulls: DataFrame) -> DataFrame:
 
 
 def links_with_ceiling(links: DataFrame, repos: DataFrame, **skew) -> DataFrame:
-    """Links with the ceiling of their repo; repos with very many links are salted."""
+    """Links with the ceiling of their repo; repos with very many links are salted.
+
+    The links are narrow and read several times by the joins, so they are staged, as is the result.
+    """
+    links = stage(links, "issue-links")
     sizes = repos.select(F.col("full_name").alias("repo"), "open_issues")
     joined = salted_join(links, sizes, ["repo"], spread_by=["number", "issue"], **skew)
-    return joined.withColumn("ceiling", issue_ceiling(F.col("open_issues"))).drop("open_issues")
+    found = joined.withColumn("ceiling", issue_ceiling(F.col("open_issues"))).drop("open_issues")
+    return stage(found, "issue-ceilings")
 
 
 def resolve_issues(links: DataFrame, issues: DataFrame, **skew) -> DataFrame:
@@ -167,9 +178,12 @@ def resolve_issues(links: DataFrame, issues: DataFrame, **skew) -> DataFrame:
 
 
 def attach_issue_blocks(pulls: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``linked_issue_bodies``: headed bodies in ascending issue order; empty array without any."""
+    """``linked_issue_bodies``: headed bodies in ascending issue order; empty array without any.
+
+    ``resolved`` holds links of these pull requests only, so nothing is looked up among them first.
+    """
     block = F.concat(F.lit("Issue #"), "issue", F.lit(":\n"), "issue_body")
     blocks = resolved.select(
         *KEY, F.struct(F.length("issue").alias("n"), F.col("issue")).alias("pos"), block.alias("block")
     )
-    return attach_ordered(pulls, blocks, F.col("block"), "linked_issue_bodies")
+    return _with_arrays(pulls, ordered_per_pull(blocks, F.col("block"), "linked_issue_bodies"))

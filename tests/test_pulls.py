@@ -130,3 +130,19 @@ def test_issue_joins_do_not_depend_on_salting(spark):
     assert plain["r", 7] == ["Issue #1:\none", "Issue #7:\nseven"]
     assert plain["r", 8] == ["Issue #1:\none"]
     assert plain["q", 1] == ["Issue #1:\nq one", "Issue #6000:\nfar"]
+
+
+def test_resolving_reads_the_pull_requests_once_for_the_rows(spark, tmp_path):
+    """Links are staged: the plan of the result scans their source once more, for the rows themselves."""
+    rows = [("o/r", i, "t", "Fixes #1", "d", "u", [], None, None) for i in range(20)]
+    schema = ("repo string, number bigint, title string, body string, diff string, author string, "
+              "labels array<string>, updated_at timestamp, merged_at timestamp")
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "pulls"))
+    requests = pulls.normalise_pulls(spark.read.parquet(str(tmp_path / "pulls")))
+    repos = spark.createDataFrame([("o/r", 10)], "full_name string, open_issues bigint")
+    issues = spark.createDataFrame([("o/r", 1, "why")], "repo string, number bigint, body string")
+    links = pulls.links_with_ceiling(pulls.issue_links(requests), repos)
+    found = pulls.attach_issue_blocks(requests, pulls.resolve_issues(links, issues))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/pulls") == 1
+    assert {len(r["linked_issue_bodies"]) for r in found.collect()} == {0, 1}  # number 1 names itself
