@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from histloom.operators.staging import staging_root
 
-BUCKETS = 4096
-
 
 def by_value(module_name: str) -> None:
     """Send the functions of a module to executors by value, so they need no copy of the library."""
@@ -64,33 +62,38 @@ def row_hash(df: DataFrame, *more: Column) -> Column:
     return F.xxhash64(*more, *usable)
 
 
-def numbered(
-    df: DataFrame, group: list[str], order: list[str], share: Column, name: str,
-    size: str | None = None, buckets: int = BUCKETS,
+def placed(
+    df: DataFrame, group: list[str], order: list[str], name: str, size: str | None = None,
+    label: str = "placed",
 ) -> DataFrame:
-    """Position from 0 of each row within its group, without a task that holds a whole group.
+    """Position from 0 of each row within its group by ``order``, from one range sort.
 
-    ``share`` is in [0, 1) and grows with ``order``; it deals the rows of a group to ``buckets``
-    consecutive slices. Slices are counted, offsets are running sums over counts, and only the
-    rows of one slice are sorted together. Group columns must not be null. ``df`` is evaluated
-    twice: pass a staged frame. ``size`` also adds the number of rows in the group.
+    A row's place is the offset of its (group, partition), a running sum over one row per partition
+    and group, plus its place there: slices follow the rows, whatever their values, so no group and
+    no run of rows that share their first keys is one task's. ``order`` must tell rows apart (end it
+    with a column of their own), group columns must not be null, and ``df`` should be staged: it is
+    sampled, then sorted. ``size`` also adds the number of rows in the group.
     """
     columns = df.columns
-    slice_ = F.least(F.floor(share * buckets).cast("int"), F.lit(buckets - 1))
-    df = df.withColumn("_slice", slice_)
-    keys = [*group, "_slice"]
+    at, part, first, n, offset, total = (
+        fresh(df, c) for c in ("_at", "_part", "_first", "_n", "_offset", "_total")
+    )
+    ranked = df.orderBy(*group, *order).withColumn(at, F.monotonically_increasing_id())
+    # The partition's number stands above the lower 33 bits.
+    ranked = stage(ranked, label).withColumn(part, F.shiftright(at, 33))
     whole = Window.partitionBy(*group)
-    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("_size"),
-    )
-    within = Window.partitionBy(*keys).orderBy(*order)
-    placed = df.withColumn("_place", F.row_number().over(within) - 1)
-    more = [F.col("_size").alias(size)] if size else []
-    return placed.join(offsets, keys).select(
-        *[F.col(f"`{c}`") for c in columns],
-        (F.col("_before") + F.col("_place")).cast("long").alias(name),
-        *more,
+    before = whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranked.groupBy(*group, part)
+        .agg(F.min(at).alias(first), F.count(F.lit(1)).alias(n))
+        .select(
+            *group,
+            part,
+            (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first)).alias(offset),
+            F.sum(n).over(whole).alias(total),
+        )
+    )
+    more = [F.col(total).alias(size)] if size else []
+    return ranked.join(offsets, [*group, part]).select(
+        *[F.col(f"`{c}`") for c in columns], (F.col(at) + F.col(offset)).alias(name), *more
     )

@@ -4,18 +4,20 @@ Rows of each source are shuffled by a seeded hash and ranked; a row's fractional
 over its source's size. Sorted by fractional rank all sources advance in proportion, and the order
 is cut into shards whose counts differ by one at most, so each shard holds the mixture of the whole.
 
-Texts take no part: only ids, sizes and hashes are ranked. No source is ever in one task
-(``common.numbered`` ranks slices of the hash range). Defined results: a null source is a source;
+Texts take no part: only ids, sizes and hashes are ranked. Both ranks come from range sorts
+(``common.placed``), so neither a hot source nor many sources of one row, which all have the same
+fractional rank, meet in one task. Rows of equal fractional rank are ordered by a hash of their
+source. Defined results: a null source is a source;
 a null text has size 8 and checksum 0; equal rows get neighbouring slots; with fewer rows than
 shards some shards stay empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histloom.llm.common import fresh, numbered, row_hash, stage
+from histloom.llm.common import fresh, placed, row_hash, stage
 
 SHARDS = 24
 SEED = 20
@@ -23,38 +25,34 @@ SEED = 20
 OVERHEAD = 8
 
 
-def _share_of(signed_hash: str) -> Column:
-    """Where a 64-bit hash lies in its range, as a number in [0, 1)."""
-    return F.shiftrightunsigned(signed_hash, 11) / F.lit(float(2**53))
-
-
 def interleaved(rows: DataFrame, source: str, seed: int = SEED) -> DataFrame:
     """Add ``position``: the place from 0 of each row in the interleaved order.
 
-    ``rows`` should be narrow; it is written to the staging folder once with its ranks.
+    ``rows`` should be narrow; it is written to the staging folder as it comes and after each sort.
     """
-    wanted = ("_draw", "_group", "_rank", "_of", "_fraction")
-    draw, group, rank, of, fraction = (fresh(rows, n) for n in wanted)
+    wanted = ("_draw", "_group", "_own", "_rank", "_of", "_fraction", "_tie")
+    draw, group, own, rank, of, fraction, tie = (fresh(rows, n) for n in wanted)
     columns = rows.columns
     # Never null, and no name can equal the null source's.
     named = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit(""))
     shuffled = rows.withColumns({draw: row_hash(rows, F.lit(seed)), group: named})
-    shuffled = stage(shuffled, "shuffled")
-    ranked = numbered(shuffled, [group], [draw], _share_of(draw), rank, size=of)
+    # Tells equal rows apart; fixed once written.
+    shuffled = stage(shuffled.withColumn(own, F.monotonically_increasing_id()), "shuffled")
+    ranked = placed(shuffled, [group], [draw, own], rank, size=of, label="ranked")
     # The middle of the row's share of its source: in (0, 1), exact order within a source.
     ranked = ranked.withColumn(fraction, (F.col(rank) + 0.5) / F.col(of)).drop(rank, of)
-    ranked = stage(ranked, "ranked")
-    placed = numbered(ranked, [], [fraction, group, draw], F.col(fraction), "position")
-    return placed.select(*[F.col(f"`{c}`") for c in columns], "position")
+    ranked = stage(ranked.withColumn(tie, F.xxhash64(F.lit(seed), group)), "fractions")
+    order = placed(ranked, [], [fraction, tie, group, draw, own], "position", label="interleaved")
+    return order.select(*[F.col(f"`{c}`") for c in columns], "position")
 
 
-def cut(placed: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
+def cut(rows: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
     """Add ``shard`` and ``slot`` by position; shard sizes differ by one row at most."""
     total = max(total, 1)
     shard = F.expr(f"int(position * {shards} div {total})")
     # First position of a shard: the smallest p with p * shards div total = shard.
     first = F.expr(f"(bigint(shard) * {total} + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", shard).withColumn("slot", F.col("position") - first)
+    return rows.withColumn("shard", shard).withColumn("slot", F.col("position") - first)
 
 
 def shard_rows(
@@ -69,18 +67,18 @@ def shard_rows(
         (F.octet_length(body) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
     )
-    placed = stage(interleaved(narrow, "source", seed), "placed")
-    total = placed.agg(F.count(F.lit(1))).first()[0]
-    return cut(placed, total, shards).drop("position")
+    order = interleaved(narrow, "source", seed)
+    total = narrow.agg(F.count(F.lit(1))).first()[0]
+    return cut(order, total, shards).drop("position")
 
 
 def write_shards(
     docs: DataFrame, path: str, source: str = "source", shards: int = SHARDS, seed: int = SEED
 ) -> None:
     """Write whole documents as ``path``/shard=N, each in slot order."""
-    placed = stage(interleaved(docs, source, seed), "placed")
-    total = placed.agg(F.count(F.lit(1))).first()[0]
-    ready = cut(placed, total, shards).drop("position")
+    order = interleaved(docs, source, seed)
+    total = docs.agg(F.count(F.lit(1))).first()[0]
+    ready = cut(order, total, shards).drop("position")
     (
         ready.repartition(shards, "shard")
         .sortWithinPartitions("shard", "slot")

@@ -1,7 +1,10 @@
 import zlib
 from collections import Counter
 
-from histloom.llm import sharding
+from pyspark.sql import functions as F
+
+from histloom.llm import common, sharding
+from histloom.llm.common import stage
 
 
 def rows_of(n):
@@ -54,3 +57,30 @@ def test_shard_files_keep_all_columns(spark, tmp_path):
     assert sorted(map(str, back.select("doc_id", "text", "source", "n").collect())) == sorted(
         map(str, docs.collect())
     )
+
+
+def test_sources_of_one_row_share_no_task(spark, monkeypatch):
+    rows = [(i, f"text {i}", f"host {i}", i) for i in range(4000)] + rows_of(400)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _tie int")
+    staged = {}
+
+    def kept(df, name, *more):
+        staged[name] = stage(df, name, *more)
+        return staged[name]
+
+    monkeypatch.setattr(common, "stage", kept)
+    conf = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(conf)
+    # With so few rows it would put all partitions together.
+    spark.conf.set(conf, "false")
+    try:
+        got = sharding.interleaved(docs, "source")
+        assert got.columns == [*docs.columns, "position"]
+        assert sorted(r.position for r in got.collect()) == list(range(len(rows)))
+    finally:
+        spark.conf.set(conf, before)
+    # All hosts have the same fractional rank; the parts of the sort by it are near even all the same.
+    for name in ("ranked", "interleaved"):
+        part = F.shiftright("_at", 33)
+        parts = [r["count"] for r in staged[name].groupBy(part).count().collect()]
+        assert len(parts) == 4 and max(parts) < 0.4 * len(rows)
