@@ -1,9 +1,10 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
 Each class has a mean and a covariance of transformed statistics, shrunk towards the pooled
-diagonal; statistics of very short texts are drawn towards the training mean first. A score is the logistic of the difference of Gaussian log densities (Mahalanobis
-distances through cached Cholesky factors) plus the log odds of the classes. The model is fitted
-on every labelled training document: only sums and products of statistics leave the tasks.
+diagonal; statistics of very short texts are drawn towards the training mean first. A score is the
+logistic of the difference of Gaussian log densities (Mahalanobis distances through cached Cholesky
+factors) plus the log odds of the classes. The model is fitted on every labelled training document:
+only sums and products of statistics leave the tasks.
 
 Defined results: null and empty texts have the statistics of no words; documents without label are
 scored only; labels that are null, not 0 or 1, or contradict each other for one id are left out;
@@ -218,13 +219,12 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality") -> Model
     return model_from(centre, total(centre))
 
 
-def _scored(model: Model | None, column: Column, from_text: bool) -> Column:
+def _scored(model: Model | None, column: Column) -> Column:
     @F.pandas_udf("double")
     def udf(values: pd.Series) -> pd.Series:
         if not len(values) or model is None:
             return pd.Series(np.full(len(values), 0.5))
-        x = np.array([statistics(t) for t in values] if from_text else values.tolist())
-        return pd.Series(model.scores(x))
+        return pd.Series(model.scores(np.array(values.tolist())))
 
     return udf(column)
 
@@ -242,14 +242,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     model = fit(measured, labels, label)
     return measured.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"),
-        _scored(model, F.col("x"), from_text=False).alias("score"),
+        _scored(model, F.col("x")).alias("score"),
     ).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
               label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """Documents scored at least ``threshold``; all columns stay. Texts are not shuffled."""
-    model = fit(measure(docs, doc_id, text), labels, label)
-    score = fresh(docs, "_score")
-    kept = docs.withColumn(score, _scored(model, F.col(f"`{text}`"), from_text=True))
-    return kept.filter(F.col(score) >= threshold).drop(score)
+    """Documents scored at least ``threshold``; all columns stay. Texts are not shuffled.
+
+    Documents are written once with their statistics; fitting then reads ids and statistics only.
+    """
+    x, score = fresh(docs, "_x"), fresh(docs, "_score")
+    measured = stage(docs.withColumn(x, _measured(F.col(f"`{text}`"))), "measured", "zstd")
+    narrow = measured.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(x).alias("x"))
+    scored = measured.withColumn(score, _scored(fit(narrow, labels, label), F.col(x)))
+    kept = scored.filter(F.col(score) >= threshold)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
