@@ -9,7 +9,8 @@ knowing the term makes the entity likely and is far more informative than chance
     texts with the term near the entity                                            >= ``SUPPORT``
 
 All counts, p(entity) too, are of different texts: copies of a text count once, so they neither prove
-nor hide anything. Such terms are generalised wherever they stand, and removed from ``REMOVE`` on.
+nor hide anything. Such terms are generalised wherever they stand, to the kind of entity they tell
+most about (``GENERAL``), and removed from ``REMOVE`` on.
 Spans are code points, end exclusive.
 
 Defined results: a null text is empty and has no spans; equal rows have equal results.
@@ -50,7 +51,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+# What a term is generalised to: the kind of entity it tells most about.
+GENERAL = {kind: f"[{kind.upper()} CONTEXT]" for kind in KINDS}
 
 Span = tuple[int, int, int]  # start, index of the kind, end
 
@@ -113,7 +116,20 @@ def term_spans(text: str, terms: dict[str, str], taken: list[Span]) -> list[Span
     if not terms:
         return []
     found = [m.span() for m in TERM.finditer(text) if m[0].casefold() in terms]
-    return [(a, len(KINDS), b) for a, b in found if all(b <= s or a >= e for s, _, e in taken)]
+    return [(a, len(KINDS), b) for a, b in _outside(found, taken)]
+
+
+def _outside(found: list[tuple[int, int]], taken: list[Span]) -> list[tuple[int, int]]:
+    """The ``found`` that overlap no span of ``taken``; both by start, compared in one walk."""
+    free, i, reach = [], 0, 0
+    for start, end in found:
+        # Spans of several kinds may overlap: the furthest end of those begun so far counts.
+        while i < len(taken) and taken[i][0] < end:
+            reach = max(reach, taken[i][2])
+            i += 1
+        if reach <= start:
+            free.append((start, end))
+    return free
 
 
 def _near(text: str, spans: list[Span]) -> set[tuple[int, str | None]]:
@@ -125,7 +141,8 @@ def _near(text: str, spans: list[Span]) -> set[tuple[int, str | None]]:
     for start, kind, end in spans:
         first, last = bisect_right(ends, start), bisect_left(starts, end)
         near = words[max(0, first - CONTEXT_WORDS) : first] + words[last : last + CONTEXT_WORDS]
-        entity = _hash64(f"{KINDS[kind]}:{text[start:end].casefold()}")
+        # The last bits of an entity's hash are its kind.
+        entity = _hash64(f"{KINDS[kind]}:{text[start:end].casefold()}") & -len(KINDS) | kind
         found.add((entity, None))
         found.update((entity, text[a:b].casefold()) for a, b in near)
     return found
@@ -235,7 +252,8 @@ def _texts_with(docs: DataFrame, text: str, terms: DataFrame, limit: int) -> Dat
 
 def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT,
                      limit: int = TERM_LIMIT) -> DataFrame:
-    """(term, action): every term over the thresholds, with ``remove`` or ``generalise``."""
+    """(term, action, mask): every term over the thresholds, with ``remove`` or ``generalise`` and
+    what takes its place. Of entities as likely, the first kind in the order of KINDS names it."""
     # An entity may hold a third of all texts: all counts combine before they move.
     once = stage(contexts(docs, text).distinct(), "contexts")
     total = once.filter("entity IS NULL").count()
@@ -254,16 +272,20 @@ def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT
     pairs = stage(pairs, "term-pairs")
     terms = stage(pairs.select("term").distinct(), "terms")
     if terms.isEmpty():
-        return docs.sparkSession.createDataFrame([], "term string, action string")
+        return docs.sparkSession.createDataFrame([], "term string, action string, mask string")
     spread = _texts_with(docs, text, terms, limit)
     likely = F.col("both") / F.col("texts")
     bits = F.log2(likely * F.lit(float(total)) / F.col("of_entity"))
+    action = F.when(F.col("likely") >= REMOVE, "remove").otherwise("generalise")
+    general = F.get(F.array(*[F.lit(GENERAL[k]) for k in KINDS]), F.col("kind"))
     return stage(
         pairs.join(spread, "term")
         .withColumns({"likely": likely, "bits": bits})
         .filter((F.col("likely") >= GENERALISE) & (F.col("bits") >= MIN_BITS))
+        .withColumn("kind", F.expr(f"int(entity & {len(KINDS) - 1})"))
         .groupBy("term")
-        .agg(F.when(F.max("likely") >= REMOVE, "remove").otherwise("generalise").alias("action")),
+        .agg(F.max("likely").alias("likely"), F.min_by("kind", F.struct(-F.col("likely"), "kind")).alias("kind"))
+        .select("term", action.alias("action"), F.when(action == "remove", "").otherwise(general).alias("mask")),
         "disclosing",
     )
 
@@ -276,15 +298,15 @@ def _text(spans: list[Span]) -> str:
 def _with_terms(docs: DataFrame, text: str, terms: DataFrame, limit: int):  # noqa: ANN202
     """(frame, column of given term spans, dictionary): one of the last two holds the terms."""
     given = fresh(docs, "_terms")
-    empty = F.array().cast("array<struct<start:int,end:int,action:string>>")
+    empty = F.array().cast("array<struct<start:int,end:int,mask:string>>")
     listed = terms.limit(limit + 1).collect()
     if len(listed) <= limit:
-        return docs.withColumn(given, empty), given, {r.term: r.action for r in listed}
+        return docs.withColumn(given, empty), given, {r.term: r.mask for r in listed}
     row = fresh(docs, "_row")
     kept = stage(docs.withColumn(row, F.monotonically_increasing_id()), "texts")
     found = (
         _words(kept, row, text).join(terms, "term").groupBy(F.col("row").alias(row))
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias(given))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "mask"))).alias(given))
     )
     joined = kept.join(found, row, "left").withColumn(given, F.coalesce(given, empty))
     return joined.drop(row), given, {}
@@ -293,10 +315,8 @@ def _with_terms(docs: DataFrame, text: str, terms: DataFrame, limit: int):  # no
 def _all_spans(body: str, given: list[dict], terms: dict[str, str]) -> tuple[list[Span], list[Span]]:
     base = base_spans(body)
     more = term_spans(body, terms, base)
-    more += [
-        (g["start"], len(KINDS), g["end"]) for g in given
-        if all(g["end"] <= s or g["start"] >= e for s, _, e in base)
-    ]
+    listed = sorted((g["start"], g["end"]) for g in given)
+    more += [(a, len(KINDS), b) for a, b in _outside(listed, base)]
     return base, sorted(base + more)
 
 
@@ -328,15 +348,14 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def masked(body: str, spans: list[Span], actions: Callable[[int, int], str]) -> str:
-    """``body`` with spans replaced; of overlapping spans the first one's mask stands for all."""
+def masked(body: str, spans: list[Span], mask: Callable[[int, int], str]) -> str:
+    """``body`` with spans replaced, terms by their ``mask``; of overlapping spans the first one's
+    mask stands for all."""
     out, done = [], 0
     for start, kind, end in spans:
         if start >= done:
             out.append(body[done:start])
-            term = kind == len(KINDS)
-            gone = term and actions(start, end) == "remove"
-            out.append("" if gone else MASKS["term" if term else KINDS[kind]])
+            out.append(mask(start, end) if kind == len(KINDS) else MASKS[KINDS[kind]])
         done = max(done, end)
     return "".join([*out, body[done:]])
 
@@ -354,8 +373,8 @@ def sanitise(docs: DataFrame, text: str = "text", limit: int = TERM_LIMIT) -> Da
         _, spans = _all_spans(body, terms_here, terms)
         if not spans:
             return body
-        told = {(t["start"], t["end"]): t["action"] for t in terms_here}
-        return masked(body, spans, lambda a, b: told.get((a, b)) or terms[body[a:b].casefold()])
+        told = {(t["start"], t["end"]): t["mask"] for t in terms_here}
+        return masked(body, spans, lambda a, b: told[a, b] if told else terms[body[a:b].casefold()])
 
     udf = F.udf(clean, "string", useArrow=True)
     return marked.withColumn(text, udf(F.col(f"`{text}`"), F.col(given))).select(

@@ -111,3 +111,43 @@ def test_overlapping_spans_are_masked_once():
     text = "call +1 408 555 0123 4567 now"
     spans = [(5, 3, 20), (6, 2, 25)]
     assert privacy.masked(text, spans, lambda a, b: None) == "call [PHONE] now"
+
+
+def overlapping(found, taken):
+    return [(a, b) for a, b in found if any(b > s and a < e for s, _, e in taken)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 3), st.integers(1, 20)), max_size=12),
+       st.lists(st.integers(1, 6), max_size=15))
+def test_terms_outside_of_spans(spans, steps):
+    taken = sorted((a, k, a + n) for a, k, n in spans)
+    found, at = [], 0
+    for n in steps:
+        found.append((at, at + n))
+        at += n + 1
+    free = privacy._outside(found, taken)
+    assert sorted(free + overlapping(found, taken)) == found
+
+
+def test_many_terms_and_spans_in_one_text():
+    text = "kim@corp.example wrote " * 20_000
+    base = privacy.base_spans(text)
+    found = privacy.term_spans(text, {"wrote": "", "kim": ""}, base)
+    assert len(base) == len(found) == 20_000
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_terms_are_generalised_to_the_kind_they_tell_about(spark, limit):
+    # Each term stands beside its entity in 6 of the 10 texts that hold it.
+    rows = [f"the {t} of {e} is {chr(97 + i) * 4}" for t, e in (("bureau", "kim@corp.example"), ("gateway", "10.1.2.3"))
+            for i in range(6)]
+    rows += [f"a {t} is like any other, draft {chr(97 + i) * 5}" for t in ("bureau", "gateway") for i in range(4)]
+    rows += [f"the words of common texts, draft {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3}" for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
+    terms = {r.term: (r.action, r.mask) for r in privacy.disclosing_terms(docs, limit=limit).collect()}
+    assert terms == {"bureau": ("generalise", "[EMAIL CONTEXT]"), "gateway": ("generalise", "[IP CONTEXT]")}
+    texts = {r.doc_id: r.text for r in privacy.sanitise(docs, limit=limit).collect()}
+    assert texts[0] == "the [EMAIL CONTEXT] of [EMAIL] is aaaa"
+    assert texts[6] == "the [IP CONTEXT] of [IP] is aaaa"
+    assert texts[12] == "a [EMAIL CONTEXT] is like any other, draft aaaaa"
