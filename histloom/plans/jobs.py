@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from dataclasses import replace
@@ -13,7 +14,8 @@ from pyspark.sql.types import StructType
 
 from histloom.operators import health as health_ops
 from histloom.operators import report, split
-from histloom.operators.staging import stage, staged_run
+from histloom.operators.outputs import Outputs, recover
+from histloom.operators.staging import run_identity, stage, staged_run
 from histloom.params import RunParams
 from histloom.plans.dataset import plan_run
 from histloom.sources.exports import Exports
@@ -24,6 +26,7 @@ EXCLUDED_LOG = "excluded_log.jsonl"
 REPORT = "run_report.json"
 REPOS = "repos_processed.jsonl"
 LEFT_OUT = "left_out.jsonl"
+OUTPUTS = (DATASET, DATASET_WITH_META, EXCLUDED_LOG, REPORT, REPOS, LEFT_OUT)
 
 
 def only_repos(exports: Exports, repos: DataFrame) -> Exports:
@@ -44,33 +47,48 @@ def clean(records: DataFrame) -> DataFrame:
 
 def run(
     exports: Exports, params: RunParams, output: str, dry_run: bool = False,
-    selected: DataFrame | None = None,
+    selected: DataFrame | None = None, name: str | None = None,
 ) -> DataFrame:
-    """Build the data set below ``output`` (previous outputs are replaced); returns the report row.
+    """Build the data set below ``output``; returns the report row.
 
-    ``selected`` (full_name) are the repos of the run: processed even if nothing came of them.
-    A dry run writes nothing but counts everything.
+    Previous outputs are replaced by all new ones at once, or not at all. ``selected`` (full_name)
+    are the repos of the run: processed even if nothing came of them. A dry run writes nothing but
+    counts everything. A run with a ``name`` that failed or lost its driver goes on after its last
+    finished step when run again by that name, with the same inputs and parameters.
     """
     spark = next(t for t in (exports.commits, exports.pull_requests) if t is not None).sparkSession
     selected = exports.selected if selected is None else selected
-    with staged_run(spark):
-        row, schema = _run(exports, params, output, dry_run, selected)
+    if not dry_run:
+        recover(spark, output)
+    with staged_run(spark, name):
+        inputs = hashlib.sha256(f"{params!r} {output}".encode()).hexdigest()
+        fresh = {"run_id": str(uuid.uuid4()), "began": time.time(), "inputs": inputs}
+        identity = run_identity(spark, fresh)
+        outputs = None if dry_run else Outputs(spark, output, identity["run_id"])
+        try:
+            row, schema = _run(exports, params, outputs, identity, selected)
+            if outputs:
+                outputs.publish(OUTPUTS)
+        except BaseException:
+            if outputs and name is None:
+                outputs.discard()
+            raise
     return spark.createDataFrame([row], schema)
 
 
 def _run(
-    exports: Exports, params: RunParams, output: str, dry_run: bool, selected: DataFrame | None
-) -> tuple[Row, StructType]:
-    run_id, began = str(uuid.uuid4()), time.time()
+    exports: Exports, params: RunParams, outputs: Outputs | None, identity: dict,
+    selected: DataFrame | None,
+) -> tuple[Row, StructType]:
+    began = identity["began"]
     outcome = plan_run(exports, params)
     decisions = stage(outcome.all_decisions(), "decisions")
     logged_at = F.lit(time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime(began)))
-    if not dry_run:
+    if outputs:
         records = stage(outcome.all_records(), "records")
-        records.drop("task").write.mode("overwrite").json(f"{output}/{DATASET_WITH_META}")
-        clean(records).write.mode("overwrite").json(f"{output}/{DATASET}")
-        log = outcome.excluded_lines(logged_at)
-        log.write.mode("overwrite").text(f"{output}/{EXCLUDED_LOG}")
+        outputs.write(DATASET_WITH_META, lambda: records.drop("task"))
+        outputs.write(DATASET, lambda: clean(records))
+        outputs.write(EXCLUDED_LOG, lambda: outcome.excluded_lines(logged_at), text=True)
     repos = report.repos_processed(outcome.all_collected(), selected)
     ended = time.time()
     finished_at = F.lit(time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime(ended)))
@@ -79,7 +97,7 @@ def _run(
             decisions,
             outcome.all_collected(),
             repos,
-            run_id,
+            identity["run_id"],
             params.output_format,
             params.task,
             logged_at,
@@ -89,12 +107,11 @@ def _run(
         ),
         "report",
     )
-    if not dry_run:
-        row.write.mode("overwrite").json(f"{output}/{REPORT}")
-        repos.write.mode("overwrite").json(f"{output}/{REPOS}")
+    if outputs:
+        outputs.write(REPORT, lambda: row)
+        outputs.write(REPOS, lambda: repos)
         if outcome.limits:
-            cut = outcome.left_out().filter("n_seen > n_taken")
-            cut.write.mode("overwrite").json(f"{output}/{LEFT_OUT}")
+            outputs.write(LEFT_OUT, lambda: outcome.left_out().filter("n_seen > n_taken"))
     return row.first(), row.schema
 
 
