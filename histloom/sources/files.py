@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from histloom.functions import fixed_values as fv
 from histloom.functions import text as tx
+from histloom.operators.keyfilter import maybe_in
 
 KEY = ["repo", "sha"]
 FACTS = (
@@ -82,5 +83,11 @@ def assemble_files(files: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def files_of(files: DataFrame, commits: DataFrame) -> DataFrame:
-    """The file rows of the given commits."""
-    return files.join(commits.select(*KEY), KEY, "left_semi")
+    """The file rows of the given commits (a staged frame: its keys are read several times).
+
+    Diffs of other commits are dropped in the tasks that read them, but for the few that pass the
+    filter by chance; what is left meets the commits in an exact join.
+    """
+    keys = commits.select(*KEY)
+    # Not a semi join: the optimiser would move that below the filter.
+    return maybe_in(files, keys, KEY).join(keys.distinct(), KEY)
