@@ -2,10 +2,14 @@
 
 A set-similarity join with prefix filtering. The tokens of every distinct token set are ordered by
 ascending frequency over all sets. Two sets of Jaccard similarity t or more have sizes within a
-factor t of each other and share a token among their first n - ceil(t n) + 1, so only sets that
-meet in such a rare token, at places that leave room for enough others, are compared in full. Equal
-sets are joined once, whatever the number of their copies, and on one side of the join stand kept
-records only, few of which are similar to one another.
+factor t of each other and share s tokens among their first n - ceil(t n) + s (all their common ones
+if those are fewer), so only sets that meet in SHARED such rare tokens, at places that leave room for
+enough others, are compared in full; sets that share a rare token by chance are not. Equal sets are
+joined once, whatever the number of their copies, and on one side of the join stand kept records
+only, few of which are similar to one another.
+
+Token lists are written once. Each token travels twice, as a number, to be counted and to be
+ordered; lists are moved only for the sets that are compared.
 
 Tokens are compared by 64-bit hashes. Records without tokens are similar to nothing.
 """
@@ -16,11 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histloom.functions import text as tx
+from histloom.operators.keyfilter import maybe_in
 from histloom.operators.skew import salted_join
 from histloom.operators.staging import stage
 
 # Products of a threshold and a size may miss a whole number by this much.
 _SLACK = 1e-9
+# Rare tokens that two sets must share before they are compared.
+SHARED = 3
 
 
 def _ceil(x: Column) -> Column:
@@ -36,29 +43,44 @@ def token_sets(records: DataFrame, text: Column) -> DataFrame:
     return sets.withColumn("digest", digest)
 
 
-def distinct_sets(members: DataFrame) -> DataFrame:
-    """One row per set: ``id`` (its first record), ``kept`` (its first kept one), tokens and size."""
+def set_keys(members: DataFrame) -> DataFrame:
+    """One narrow row per set: ``id`` (its first record), ``kept`` (its first kept one), digest, size."""
     firsts = members.groupBy("digest").agg(
         F.min("ord").alias("id"), F.min(F.when(F.col("is_kept"), F.col("ord"))).alias("kept")
     )
     # The way back goes over the unique id, not over a digest that very many records may share.
+    sizes = members.select(F.col("ord").alias("id"), "size")
+    return firsts.join(sizes, "id").select("id", "kept", "digest", "size")
+
+
+def distinct_sets(members: DataFrame) -> DataFrame:
+    """One row per set: ``id`` (its first record), ``kept`` (its first kept one), tokens and size."""
+    sized = members.withColumn("size", F.size("tokens"))
     texts = members.select(F.col("ord").alias("id"), "tokens")
-    return firsts.join(texts, "id").select(
-        "id", "kept", "digest", "tokens", F.size("tokens").alias("size")
-    )
+    return set_keys(sized).join(texts, "id").select("id", "kept", "digest", "tokens", "size")
+
 
+def prefixes(sets: DataFrame, threshold: float, texts: DataFrame | None = None, **skew) -> DataFrame:
+    """(id, kept, size, token, place): the rarest tokens of each set, SHARED of which, or all that
+    the sets must have in common, must be shared.
 
-def prefixes(sets: DataFrame, threshold: float, **skew) -> DataFrame:
-    """(id, kept, size, token, place): the rarest tokens of each set, one of which must be shared."""
-    tokens = stage(sets.select("id", F.explode("tokens").alias("token")), "set-tokens")
+    ``texts`` (id, tokens) may hold the tokens instead of ``sets``, those of other records included.
+    A token becomes a number of 8 bytes, ascending by its frequency up to a factor of 2 ** (1 / 4)
+    and then by its hash, so that one number a token is gathered per set.
+    """
+    texts = sets.select("id", "tokens") if texts is None else texts
+    tokens = texts.select("id", F.explode("tokens").alias("token"))
     counts = stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
     ranked = salted_join(
         tokens, counts, ["token"], spread_by=["id"], how="inner", counts=counts, **skew
     )
-    ordered = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    often = F.least(F.floor(F.log2("n") * 4), F.lit(127)).cast("long")
+    number = F.shiftleft(often, 56).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 56) - 1)))
+    gathered = ranked.select("id", number.alias("number")).groupBy("id")
+    ordered = gathered.agg(F.array_sort(F.array_distinct(F.collect_list("number"))).alias("t"))
     wide = ordered.join(sets.select("id", "kept", "size"), "id")
-    length = F.col("size") - _ceil(F.col("size") * F.lit(threshold)) + 1
-    rare = F.slice(F.col("t")["token"], F.lit(1), length)
+    length = F.col("size") - _ceil(F.col("size") * F.lit(threshold)) + SHARED
+    rare = F.slice("t", F.lit(1), length)
     return wide.select("id", "kept", "size", F.posexplode(rare).alias("place", "token"))
 
 
@@ -75,14 +97,26 @@ def candidates(index: DataFrame, threshold: float) -> DataFrame:
     left = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2")) - 1
     near = (low >= _ceil(high * F.lit(threshold))) & (before + left >= wanted)
     joined = mine.join(theirs, "token").filter((F.col("id") != F.col("other")) & near)
-    return joined.select("id", "other").distinct()
+    met = joined.select("id", "other", F.least(wanted, F.lit(SHARED)).alias("needed"), "token")
+    # A token that meets twice because records repeat counts once a pair of rows, so never too little.
+    return (
+        met.groupBy("id", "other", "needed")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n >= needed")
+        .select("id", "other")
+    )
 
 
-def similar_kept(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(id, witness, jaccard): the earliest kept record at or over the threshold, per set."""
-    mine = sets.select("id", F.col("tokens").alias("t1"))
-    theirs = sets.select(F.col("id").alias("other"), "kept", F.col("tokens").alias("t2"))
-    both = pairs.join(mine, "id").join(theirs, "other")
+def similar_kept(sets: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(id, witness, jaccard): the earliest kept record at or over the threshold, per set.
+
+    ``pairs`` must be staged: only tokens of sets that are in pairs are moved.
+    """
+    mine = maybe_in(texts.withColumnRenamed("tokens", "t1"), pairs.select("id"), ["id"])
+    theirs = texts.select(F.col("id").alias("other"), F.col("tokens").alias("t2"))
+    theirs = maybe_in(theirs, pairs.select("other"), ["other"])
+    kept = sets.select(F.col("id").alias("other"), "kept")
+    both = pairs.join(kept, "other").join(mine, "id").join(theirs, "other")
     shared = F.size(F.array_intersect("t1", "t2"))
     either = F.size("t1") + F.size("t2") - F.col("shared")
     compared = both.withColumn("shared", shared).select(
@@ -96,22 +130,39 @@ def similar_kept(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFra
     )
 
 
-def witnesses(records: DataFrame, text: Column, threshold: float, **skew) -> DataFrame:
+def witnesses(
+    records: DataFrame, text: Column, threshold: float, verdicts: DataFrame | None = None, **skew
+) -> DataFrame:
     """``witness`` and ``jaccard`` for records (ord, is_kept, text): the earliest kept record before
     each whose token set has at least this similarity; null where there is none.
 
     The earliest of all similar kept records is looked for, once per distinct set: if it does not
-    come before a record, none does.
+    come before a record, none does. ``verdicts`` (ord, is_kept) may stand apart from the records;
+    texts are then read in place and never joined.
     """
-    members = stage(token_sets(records, text), "token-sets")
-    sets = stage(distinct_sets(members), "distinct-sets")
-    pairs = candidates(stage(prefixes(sets, threshold, **skew), "prefixes"), threshold)
-    best = stage(similar_kept(sets, stage(pairs, "candidates"), threshold), "best")
+    if verdicts is None:
+        verdicts = records.select("ord", "is_kept")
+        members = stage(token_sets(records, text), "token-sets")
+        keyed = members.select("ord", "is_kept", "digest", F.size("tokens").alias("size"))
+    else:
+        verdicts = stage(verdicts.select("ord", "is_kept"), "verdicts")
+        unjudged = records.withColumn("is_kept", F.lit(None).cast("boolean"))
+        members = stage(token_sets(unjudged, text).drop("is_kept"), "token-sets")
+        keyed = members.select("ord", "digest", F.size("tokens").alias("size"))
+        keyed = keyed.join(verdicts, "ord")
+    sets = stage(set_keys(keyed), "distinct-sets")
+    # Tokens stay where they were written: a bitmap of the sets' ids picks the rows.
+    every = members.select(F.col("ord").alias("id"), "tokens")
+    texts = maybe_in(every, sets.select("id"), ["id"])
+    index = stage(prefixes(sets, threshold, texts, **skew), "prefixes")
+    pairs = stage(candidates(index, threshold), "candidates")
+    best = stage(similar_kept(sets, every, pairs, threshold), "best")
     by_digest = best.join(sets.select("id", "digest"), "id").drop("id")
-    keyed = members.select("ord", "digest")
-    found = salted_join(keyed, by_digest, ["digest"], spread_by=["ord"], how="inner", **skew)
+    found = salted_join(
+        keyed.select("ord", "digest"), by_digest, ["digest"], spread_by=["ord"], how="inner", **skew
+    )
     earlier = found.filter(F.col("witness") < F.col("ord")).select("ord", "witness", "jaccard")
-    return records.select("ord", "is_kept").join(earlier, "ord", "left")
+    return verdicts.join(earlier, "ord", "left")
 
 
 def recall(evidence: DataFrame) -> DataFrame:

@@ -72,3 +72,22 @@ def test_no_records(spark):
     none = spark.createDataFrame([], "ord bigint, is_kept boolean, t string")
     found = similarity.witnesses(none, F.col("t"), 0.8)
     assert found.isEmpty() and similarity.recall(found).first()["recall"] is None
+
+
+def test_one_rare_word_in_common_is_no_candidate(spark):
+    """Texts that share a word of no other text, and little else, are not compared in full."""
+    rows = [(i, True, f"pair{i // 2} " + " ".join(f"w{i}x{k}" for k in range(19))) for i in range(40)]
+    records = spark.createDataFrame(rows, "ord bigint, is_kept boolean, t string")
+    sets = similarity.distinct_sets(similarity.token_sets(records, F.col("t")))
+    assert similarity.candidates(similarity.prefixes(sets, 0.8), 0.8).isEmpty()
+
+
+def test_verdicts_may_stand_apart_from_the_texts(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(2000)]
+    texts = [t for size in (2, 9, 30) for t in family(rng, sorted(set(vocabulary)), size, 12, 1)]
+    rows = [(i, rng.random() < 0.5, t) for i, t in enumerate([*texts, None, "", *["a b c"] * 5])]
+    together = spark.createDataFrame(rows, "ord bigint, is_kept boolean, t string")
+    texts, verdicts = together.select("ord", "t"), together.select("ord", "is_kept")
+    found = similarity.witnesses(texts, F.col("t"), 0.8, verdicts).collect()
+    assert {r["ord"]: (r["witness"], r["jaccard"]) for r in found} == brute(rows, 0.8)
