@@ -13,7 +13,7 @@ from functools import lru_cache
 from hashlib import sha1
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,11 +28,12 @@ SEED = 1
 PRIME = (1 << 61) - 1
 MAX_HASH = (1 << 32) - 1
 
-# Tokens permuted in one numpy block (kept small enough for the CPU caches), tokens gathered before
-# minima are taken, and token hashes remembered per task. They bound memory whatever a text's length.
+# Tokens permuted in one numpy block (kept small enough for the CPU caches), tokens of a text whose
+# minima are taken at once, and tokens whose permuted values a task remembers (512 bytes each).
+# They bound memory whatever a text's length and whatever the number of texts.
 _BLOCK = 256
 _GROUP = 1 << 13
-_REMEMBERED = 1 << 19
+_REMEMBERED = 1 << 16
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -66,48 +67,43 @@ def _permuted(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(texts: Iterator[str]) -> Iterator[np.ndarray | None]:
-    """Signature of each text's token set, None for a text without tokens.
+class _Permuted:
+    """Permuted values of tokens: most tokens of a corpus are few words, each permuted once."""
 
-    Short texts share a group; a long text fills several, and its minima are folded.
-    """
-    remembered: dict[str, int] = {}
-    hashes: list[int] = []
-    starts: list[int] = []
-    waiting: list[bool] = []  # per text of the group: has it no tokens?
+    def __init__(self) -> None:
+        self._places: dict[str, int] = {}
+        self._rows = np.empty((max(_REMEMBERED, _GROUP), NUM_PERM), dtype=np.uint32)
 
-    def minima() -> np.ndarray:
-        return np.minimum.reduceat(_permuted(np.array(hashes, dtype=np.uint64)), starts, axis=0)
+    def lowest(self, tokens: list[str]) -> np.ndarray:
+        """Minimum per permutation over at most _GROUP distinct tokens."""
+        new = [t for t in tokens if t not in self._places]
+        if len(self._places) + len(new) > len(self._rows):
+            self._places.clear()
+            new = tokens
+        if new:
+            first, after = len(self._places), len(self._places) + len(new)
+            hashes = np.fromiter(map(_hash, new), dtype=np.uint64, count=len(new))
+            self._rows[first:after] = _permuted(hashes)
+            self._places.update(zip(new, range(first, after), strict=True))
+        at = np.fromiter(map(self._places.__getitem__, tokens), dtype=np.intp, count=len(tokens))
+        return self._rows.take(at, axis=0).min(axis=0)
 
-    def flush() -> Iterator[np.ndarray | None]:
-        rows = iter(minima()) if starts else iter(())
-        yield from [None if empty else next(rows) for empty in waiting]
-        hashes.clear(), starts.clear(), waiting.clear()
 
+def signatures(
+    texts: Iterator[str | None], permuted: _Permuted | None = None
+) -> Iterator[np.ndarray | None]:
+    """Signature of each text's token set, None for a text without tokens.
+
+    The minima of a long text are taken in groups of its tokens and folded.
+    """
+    permuted = permuted or _Permuted()
     for text in texts:
         tokens = list(set(text.split())) if text else []
-        if len(remembered) > _REMEMBERED:
-            remembered.clear()
-        if len(tokens) > _GROUP:
-            yield from flush()
-            lowest = None
-            for start in range(0, len(tokens), _GROUP):
-                part = np.array([_hash(t) for t in tokens[start : start + _GROUP]], dtype=np.uint64)
-                part = _permuted(part).min(axis=0)
-                lowest = part if lowest is None else np.minimum(lowest, part)
-            yield lowest
-            continue
-        waiting.append(not tokens)
-        if tokens:
-            starts.append(len(hashes))
-            for t in tokens:
-                h = remembered.get(t)
-                if h is None:
-                    h = remembered[t] = _hash(t)
-                hashes.append(h)
-        if len(hashes) >= _GROUP:
-            yield from flush()
-    yield from flush()
+        lowest = None
+        for start in range(0, len(tokens), _GROUP):
+            part = permuted.lowest(tokens[start : start + _GROUP])
+            lowest = part if lowest is None else np.minimum(lowest, part)
+        yield lowest
 
 
 def _hash(token: str) -> int:
@@ -115,12 +111,21 @@ def _hash(token: str) -> int:
     return int.from_bytes(sha1(token.encode("utf-8", "surrogatepass")).digest()[:4], "little")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def minhash_signature(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def minhash_signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """NUM_PERM minima over the text's token set; null without tokens."""
+    permuted = _Permuted()
     for texts in batches:
-        found = [None if s is None else s.astype(np.int64) for s in signatures(iter(texts))]
-        yield pd.Series(found, index=texts.index, dtype=object)
+        values = np.zeros((len(texts), NUM_PERM), dtype=np.uint32)
+        empty = np.zeros(len(texts), dtype=bool)
+        for i, found in enumerate(signatures((t.as_py() for t in texts), permuted)):
+            if found is None:
+                empty[i] = True
+            else:
+                values[i] = found
+        ends = np.arange(0, values.size + 1, NUM_PERM, dtype=np.int32)
+        flat = pa.array(values.reshape(-1).astype(np.int64))
+        yield pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(empty))
 
 
 @lru_cache(maxsize=None)

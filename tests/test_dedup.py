@@ -189,3 +189,17 @@ def test_components(spark, n):
             root[high] = low
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {x: find(x) for x in list(root)}
+
+
+def test_a_word_is_permuted_once_and_memory_is_bounded(monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + k) % 40}" for k in range(12)) for i in range(50)]
+    want = [list(s) for s in mh.signatures(iter(texts))]
+    permuted, seen = mh._permuted, []
+    monkeypatch.setattr(mh, "_permuted", lambda h: seen.append(len(h)) or permuted(h))
+    assert [list(s) for s in mh.signatures(iter(texts))] == want
+    assert sum(seen) == 40
+    monkeypatch.setattr(mh, "_REMEMBERED", 16)
+    monkeypatch.setattr(mh, "_GROUP", 8)
+    few = mh._Permuted()
+    assert [list(s) for s in mh.signatures(iter(texts), few)] == want
+    assert len(few._places) <= 16
