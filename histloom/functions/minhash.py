@@ -82,8 +82,7 @@ class _Permuted:
             new = tokens
         if new:
             first, after = len(self._places), len(self._places) + len(new)
-            hashes = np.fromiter(map(_hash, new), dtype=np.uint64, count=len(new))
-            self._rows[first:after] = _permuted(hashes)
+            self._rows[first:after] = _permuted(_hashes(new))
             self._places.update(zip(new, range(first, after), strict=True))
         at = np.fromiter(map(self._places.__getitem__, tokens), dtype=np.intp, count=len(tokens))
         return self._rows.take(at, axis=0).min(axis=0)
@@ -111,6 +110,12 @@ def _hash(token: str) -> int:
     return int.from_bytes(sha1(token.encode("utf-8", "surrogatepass")).digest()[:4], "little")
 
 
+def _hashes(tokens: list[str]) -> np.ndarray:
+    """_hash of many tokens."""
+    digests = b"".join([sha1(t.encode("utf-8", "surrogatepass")).digest() for t in tokens])
+    return np.frombuffer(digests, dtype="<u4").reshape(len(tokens), -1)[:, 0].astype(np.uint64)
+
+
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def minhash_signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """NUM_PERM minima over the text's token set; null without tokens."""

@@ -30,6 +30,10 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def all_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(fv.WHITESPACE_CHARS))
 

@@ -45,6 +45,18 @@ def bitmap(keys: DataFrame, on: list[str], bits: int) -> DataFrame:
     )
 
 
+def _marked(rows: DataFrame, keys: DataFrame, on: list[str], n: int, most: int) -> DataFrame:
+    """``rows`` with ``_found``: may the key be among the ``n`` keys?"""
+    bits = bits_for(n, most)
+    byte = F.expr("substring(_bitmap, int(_at div 8) + 1, 1)")
+    found = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, int(_at % 8))"))
+    piece, bit = _place(on, bits)
+    placed = rows.withColumns({"_piece": piece, "_at": bit})
+    joined = placed.join(F.broadcast(bitmap(keys, on, bits)), "_piece", "left")
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return joined.select(*columns, F.coalesce(found != 0, F.lit(False)).alias("_found"))
+
+
 def maybe_in(rows: DataFrame, keys: DataFrame, on: list[str], most: int = MAX_BITS) -> DataFrame:
     """``rows`` without most of those whose key is not among ``keys``; no exchange of ``rows``.
 
@@ -54,10 +66,12 @@ def maybe_in(rows: DataFrame, keys: DataFrame, on: list[str], most: int = MAX_BI
     n = keys.count()
     if n >= most:
         return rows
-    bits = bits_for(n, most)
-    byte = F.expr("substring(_bitmap, int(_at div 8) + 1, 1)")
-    found = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, int(_at % 8))"))
-    piece, bit = _place(on, bits)
-    placed = rows.withColumns({"_piece": piece, "_at": bit})
-    joined = placed.join(F.broadcast(bitmap(keys, on, bits)), "_piece")
-    return joined.filter(found != 0).select(*[F.col(f"`{c}`") for c in rows.columns])
+    return _marked(rows, keys, on, n, most).filter("_found").drop("_found")
+
+
+def surely_out(rows: DataFrame, keys: DataFrame, on: list[str], most: int = MAX_BITS) -> DataFrame:
+    """The rows that ``maybe_in`` leaves out."""
+    n = keys.count()
+    if n >= most:
+        return rows.limit(0)
+    return rows if n == 0 else _marked(rows, keys, on, n, most).filter("NOT _found").drop("_found")

@@ -95,8 +95,8 @@ def select_commits(listing: DataFrame, params: CollectParams) -> DataFrame:
     )
 
 
-def normalise_commits(raw: DataFrame) -> DataFrame:
-    """Message split and null defaults."""
+def normalise_commits(raw: DataFrame, *more: str) -> DataFrame:
+    """Message split and null defaults; ``more`` columns are kept as they are."""
     return raw.select(
         "repo",
         "sha",
@@ -107,6 +107,7 @@ def normalise_commits(raw: DataFrame) -> DataFrame:
         F.col("author_ts").alias("timestamp"),
         "is_merge",
         "parent_shas",
+        *more,
     )
 
 

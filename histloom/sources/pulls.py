@@ -55,8 +55,12 @@ def scan_pulls(closed: DataFrame, max_prs: int | None, day: date | None = None)
     """
     if max_prs is not None:
         return take_pulls(scanned_pulls(closed, max_prs), max_prs, day)
-    merged = closed.select(*KEY, "updated_at", "merged_at").filter(_merged_since(closed, day))
-    return merged.withColumn("arrival", arrival_text())
+    return all_merged(closed.select(*KEY, "updated_at", "merged_at"), day)
+
+
+def all_merged(closed: DataFrame, day: date | None = None) -> DataFrame:
+    """The merged rows, with their ``arrival`` as a text that sorts as latest() does."""
+    return closed.filter(_merged_since(closed, day)).withColumn("arrival", arrival_text())
 
 
 def arrival_text() -> Column:
@@ -96,7 +100,8 @@ def linked_issue_numbers(body: Column, number: Column) -> Column:
     return F.transform(keyed, lambda k: k["d"])
 
 
-def normalise_pulls(raw: DataFrame) -> DataFrame:
+def normalise_pulls(raw: DataFrame, *more: str) -> DataFrame:
+    """Null defaults and linked numbers; ``more`` columns are kept as they are."""
     body = F.coalesce("body", F.lit(""))
     return raw.select(
         *KEY,
@@ -106,6 +111,7 @@ def normalise_pulls(raw: DataFrame) -> DataFrame:
         "labels",
         "merged_at",
         linked_issue_numbers(body, F.col("number")).alias("linked_issue_numbers"),
+        *more,
     )
 
 

@@ -1,12 +1,15 @@
 import json
 import os
+from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from histloom import params as pm
 from histloom.functions import fixed_values as fv
-from histloom.plans import jobs
+from histloom.operators.staging import stage
+from histloom.plans import dataset, jobs
 from histloom.plans.dataset import plan_run
 from histloom.sources.exports import SCHEMAS, Exports, read_exports
 
@@ -197,3 +200,39 @@ def test_parameter_files(tmp_path):
     assert part.filter.max_commit_message_chars == 500 and part.filter.min_diff_lines == 3
     with pytest.raises(FileNotFoundError):
         pm.load_yaml(str(tmp_path / "missing.yaml"))
+
+
+def test_rows_of_their_own_key_are_not_exchanged_and_others_as_before(exports, spark):
+    collect = pm.CollectParams(None, None)
+    p = pm.RunParams(collect=collect)
+    pulls, left = dataset.limited_pulls(exports, p)
+    assert left == [] and "Exchange" not in pulls._jdf.queryExecution().executedPlan().toString()
+    commits, left = dataset.limited_commits(exports, p)
+    assert left == [] and "Exchange" not in commits._jdf.queryExecution().executedPlan().toString()
+    unnamed = spark.createDataFrame([(None, 7, "t", "b", DIFF, "u", [], WHEN, WHEN)], SCHEMAS["pull_requests"])
+    lost = spark.createDataFrame([("o/r", None, "x", "a", None, WHEN, False, ["p"])], SCHEMAS["commits"])
+    some = replace(
+        exports,
+        pull_requests=exports.pull_requests.union(exports.pull_requests.filter("number < 3")).union(unnamed),
+        commits=exports.commits.union(exports.commits.filter("sha > 'c3'")).union(lost),
+    )
+    for got, old in (
+        (dataset.limited_pulls(some, p)[0], dataset.pulls_of(some, dataset.pull_keys(some, p)[0])),
+        (dataset.limited_commits(some, p)[0], dataset.commits_of(some, dataset.commit_keys(some, p)[0])),
+    ):
+        columns = sorted(old.columns)
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, old.select(columns).collect()))
+
+
+def test_texts_of_pull_requests_are_staged_once(exports, monkeypatch):
+    staged = []
+    monkeypatch.setattr(dataset, "stage", lambda df, name: staged.append((name, df.columns)) or stage(df, name))
+    outcome = plan_run(exports, pm.profile("default"))
+    assert [name for name, columns in staged if "diff" in columns] == ["pulls"]
+    assert {r["task"] for r in outcome.all_decisions().collect()} >= {"pr_review", "issue_to_patch"}
+
+
+def test_staged_texts_are_packed_small(spark):
+    rows = spark.range(2000).select(F.repeat(F.md5(F.col("id").cast("string")), 40).alias("diff")).coalesce(1)
+    files = stage(rows, "packed").inputFiles()
+    assert all(".zstd." in f for f in files)
