@@ -3,7 +3,7 @@
 A set-similarity join with prefix filtering. The tokens of every distinct token set are ordered by
 ascending frequency over all sets. Two sets of Jaccard similarity t or more have sizes within a
 factor t of each other and share s tokens among their first n - ceil(t n) + s (all their common ones
-if those are fewer), so only sets that meet in SHARED such rare tokens, at places that leave room for
+if those are fewer), so only sets that meet in s such rare tokens, at places that leave room for
 enough others, are compared in full; sets that share a rare token by chance are not. Equal sets are
 joined once, whatever the number of their copies, and on one side of the join stand kept records
 only, few of which are similar to one another.
@@ -26,14 +26,20 @@ from histloom.operators.staging import stage
 
 # Products of a threshold and a size may miss a whole number by this much.
 _SLACK = 1e-9
-# Rare tokens that two sets must share before they are compared.
+# Rare tokens that two sets must share before they are compared: so many, and one more for every
+# so many tokens of the smaller set, since long texts share some rare tokens by chance.
 SHARED = 3
+SHARED_PER = 64
 
 
 def _ceil(x: Column) -> Column:
     return F.ceil(x - F.lit(_SLACK)).cast("int")
 
 
+def _shared(size: Column) -> Column:
+    return (F.floor(size / F.lit(SHARED_PER)) + SHARED).cast("int")
+
+
 def token_sets(records: DataFrame, text: Column) -> DataFrame:
     """``records`` without other columns than ord and is_kept, plus ``tokens`` (sorted hashes) and
     ``digest``, equal for equal sets; records without tokens are left out."""
@@ -61,8 +67,8 @@ def distinct_sets(members: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, threshold: float, texts: DataFrame | None = None, **skew) -> DataFrame:
-    """(id, kept, size, token, place): the rarest tokens of each set, SHARED of which, or all that
-    the sets must have in common, must be shared.
+    """(id, kept, size, token, place): the rarest tokens of each set, ``_shared`` of which, or all
+    that the sets must have in common, must be shared.
 
     ``texts`` (id, tokens) may hold the tokens instead of ``sets``, those of other records included.
     A token becomes a number of 8 bytes, ascending by its frequency up to a factor of 2 ** (1 / 4)
@@ -79,7 +85,7 @@ def prefixes(sets: DataFrame, threshold: float, texts: DataFrame | None = None,
     gathered = ranked.select("id", number.alias("number")).groupBy("id")
     ordered = gathered.agg(F.array_sort(F.array_distinct(F.collect_list("number"))).alias("t"))
     wide = ordered.join(sets.select("id", "kept", "size"), "id")
-    length = F.col("size") - _ceil(F.col("size") * F.lit(threshold)) + SHARED
+    length = F.col("size") - _ceil(F.col("size") * F.lit(threshold)) + _shared(F.col("size"))
     rare = F.slice("t", F.lit(1), length)
     return wide.select("id", "kept", "size", F.posexplode(rare).alias("place", "token"))
 
@@ -97,7 +103,7 @@ def candidates(index: DataFrame, threshold: float) -> DataFrame:
     left = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2")) - 1
     near = (low >= _ceil(high * F.lit(threshold))) & (before + left >= wanted)
     joined = mine.join(theirs, "token").filter((F.col("id") != F.col("other")) & near)
-    met = joined.select("id", "other", F.least(wanted, F.lit(SHARED)).alias("needed"), "token")
+    met = joined.select("id", "other", F.least(wanted, _shared(low)).alias("needed"), "token")
     # A token that meets twice because records repeat counts once a pair of rows, so never too little.
     return (
         met.groupBy("id", "other", "needed")

@@ -91,3 +91,14 @@ def test_verdicts_may_stand_apart_from_the_texts(spark):
     texts, verdicts = together.select("ord", "t"), together.select("ord", "is_kept")
     found = similarity.witnesses(texts, F.col("t"), 0.8, verdicts).collect()
     assert {r["ord"]: (r["witness"], r["jaccard"]) for r in found} == brute(rows, 0.8)
+
+
+def test_long_texts_must_share_more_rare_words(spark):
+    """Four words of no other text in common, of 200, are no reason to compare two texts."""
+    rows = [
+        (i, True, " ".join([f"pair{i // 2}x{k}" for k in range(4)] + [f"w{i}x{k}" for k in range(196)]))
+        for i in range(12)
+    ]
+    records = spark.createDataFrame(rows, "ord bigint, is_kept boolean, t string")
+    sets = similarity.distinct_sets(similarity.token_sets(records, F.col("t")))
+    assert similarity.candidates(similarity.prefixes(sets, 0.8), 0.8).isEmpty()
