@@ -52,16 +52,38 @@ def count_words(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, f"[{fv.WS}]+")) - edges)
 
 
+def words_up_to(text: Column, n: int) -> Column:
+    """``count_words(text)`` where that is less than ``n``, else some number of at least ``n``.
+
+    The beginning of a text mostly has that many words already; the rest is then not looked at.
+    """
+    n_first = count_words(F.left(text, F.lit(16 * max(n, 0) + 64)))
+    return F.when(n_first >= n, n_first).otherwise(count_words(text))
+
+
+def fewer_words_than(text: Column, n: int) -> Column:
+    return words_up_to(text, n) < n
+
+
 def lines(text: Column) -> Column:
     """Pieces between line breaks; a trailing break still leaves a final empty piece."""
     return F.split(F.coalesce(text, F.lit("")), fv.LINE_BREAK)
 
 
+def _has_odd_break(text: Column) -> Column:
+    """Is there a line break other than a newline? Plain searches, no pattern."""
+    return any_of([F.contains(text, F.lit(c)) for c in fv.LINE_BREAK_CHARS if c != "\n"])
+
+
 def line_count(text: Column) -> Column:
     """Number of lines; the text after a trailing break is not a line."""
     text = F.coalesce(text, F.lit(""))
     no_last = (text == "") | F.right(text, F.lit(1)).isin(*fv.LINE_BREAK_CHARS)
-    return F.size(F.split(text, fv.LINE_BREAK)) - no_last.cast("int")
+    # Splitting at a single character needs no pattern.
+    pieces = F.when(_has_odd_break(text), F.size(F.split(text, fv.LINE_BREAK))).otherwise(
+        F.size(F.split(text, "\n"))
+    )
+    return pieces - no_last.cast("int")
 
 
 def subject(message: Column) -> Column:
@@ -93,12 +115,22 @@ def strip_trailers(text: Column) -> Column:
 
     Line breaks are first made uniform, then one multi-line pattern takes a trailer line together
     with its blank followers. The blank-line loop is possessive, so it cannot overflow the stack.
+    Most texts have neither odd breaks nor trailers; plain searches spare them the patterns.
     """
     blank = f"[{fv.WS}&&[^\n]]*+"
     trailers = "|".join(p.replace("(", r"\(") for p in fv.TRAILER_PREFIXES)
-    uniform = F.regexp_replace(F.coalesce(text, F.lit("")), fv.LINE_BREAK, "\n")
     trailer_block = f"(?m)^{blank}(?:{trailers})[^\n]*+(?:\n{blank}(?=\n|\\z))*+\n?"
-    return strip(F.regexp_replace(uniform, trailer_block, ""))
+    text = F.coalesce(text, F.lit(""))
+    odd, named = _has_odd_break(text), _has_trailer_prefix(text)
+    uniform = F.when(odd, F.regexp_replace(text, fv.LINE_BREAK, "\n")).otherwise(text)
+    return strip(F.when(named, F.regexp_replace(uniform, trailer_block, "")).otherwise(uniform))
+
+
+def _has_trailer_prefix(text: Column) -> Column:
+    """Does any prefix occur anywhere? Texts without a colon are not searched for those that have one."""
+    with_colon = [F.contains(text, F.lit(p)) for p in fv.TRAILER_PREFIXES if ":" in p]
+    others = [F.contains(text, F.lit(p)) for p in fv.TRAILER_PREFIXES if ":" not in p]
+    return (F.contains(text, F.lit(":")) & any_of(with_colon)) | any_of(others)
 
 
 def strip_html_comments(text: Column) -> Column:

@@ -88,3 +88,15 @@ def test_message_split_and_language(spark):
     ]
     names = spark.createDataFrame([("a.PY",), ("b.tsx",), ("c.yml",)], "p string")
     assert [r[0] for r in names.select(tx.language(F.col("p"))).collect()] == ["python", None, "yaml"]
+
+
+def test_few_words_are_told_from_the_beginning(spark):
+    rng = random.Random(4)
+    words = ["a", "bc", "x" * 300, " ", "\n", "\u3000", "\x85 ", "  ", "é"]
+    rows = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(500)] + ["", " ", " " * 5000 + "a b"]
+    t = F.col("t")
+    df = spark.createDataFrame([(r,) for r in rows] + [(None,)], "t string")
+    for n in (0, 1, 2, 20):
+        for r in df.select("t", tx.fewer_words_than(t, n), tx.words_up_to(t, n)).collect():
+            count = len((r[0] or "").split())
+            assert r[1] == (count < n) and (r[2] == count or (r[2] >= n and count >= n))
