@@ -170,7 +170,10 @@ def fingerprint(records: DataFrame, text: str, params: FilterParams) -> DataFram
     if params.dedup_method == "minhash":
         records = with_band_keys(records, F.col(text), params.dedup_threshold)
         group = F.coalesce(F.md5(F.array_join("bands", "")), group)
-    return records.withColumn("_group", group).drop(text)
+        records = records.withColumn("_group", F.unhex(group))
+        # As bytes digests take half the room, in every exchange from here on.
+        return records.withColumn("bands", F.transform("bands", F.unhex)).drop(text)
+    return records.withColumn("_group", F.unhex(group)).drop(text)
 
 
 def keep_first(

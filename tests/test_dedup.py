@@ -203,3 +203,12 @@ def test_a_word_is_permuted_once_and_memory_is_bounded(monkeypatch):
     few = mh._Permuted()
     assert [list(s) for s in mh.signatures(iter(texts), few)] == want
     assert len(few._places) <= 16
+
+
+def test_digests_travel_as_bytes(spark):
+    df = spark.createDataFrame([(0, "a b c"), (1, "")], "ord bigint, t string")
+    for method, size in (("minhash", {0: 16, 1: 32}), ("exact", {0: 32, 1: 32})):
+        p = FilterParams(dedup_method=method)
+        rows = dedup.fingerprint(df, "t", p).collect()
+        assert {r.ord: len(r._group) for r in rows} == size
+        assert method == "exact" or {len(b) for b in rows[0].bands} == {16} and rows[1].bands is None
