@@ -124,13 +124,22 @@ def format_reviews(pulls: DataFrame, output_format: str) -> DataFrame:
     return pulls.withColumns({"conversations": _chat(fv.REVIEW_CHAT_SYSTEM, human, gpt), "_meta": meta})
 
 
+def issue_part(block: Column) -> Column:
+    """What an issue block is in a context."""
+    return tx.strip_html_comments(block)
+
+
+def description_part() -> Column:
+    """What a pull request's body is in a context; ``''`` for an empty description."""
+    # Null for an empty description, so that the text is not computed twice.
+    description = F.nullif(tx.strip_html_comments(F.col("body")), F.lit(""))
+    return F.coalesce(F.concat(F.lit("PR Description:\n"), description), F.lit(""))
+
+
 def issue_context() -> Column:
     """Issue blocks and description without HTML comments; the title only if nothing is left."""
-    issues = F.transform("linked_issue_bodies", tx.strip_html_comments)
-    # Null for an empty description, so that neither text is computed twice.
-    description = F.nullif(tx.strip_html_comments(F.col("body")), F.lit(""))
-    labelled = F.coalesce(F.concat(F.lit("PR Description:\n"), description), F.lit(""))
-    parts = F.filter(F.concat(issues, F.array(labelled)), lambda part: part != "")
+    issues = F.transform("linked_issue_bodies", issue_part)
+    parts = F.filter(F.concat(issues, F.array(description_part())), lambda part: part != "")
     return F.coalesce(F.nullif(F.array_join(parts, "\n\n"), F.lit("")), F.col("title"))
 
 

@@ -124,6 +124,11 @@ def ordered_per_pull(children: DataFrame, value: Column, name: str) -> DataFrame
 def attach_ordered(pulls: DataFrame, children: DataFrame, value: Column, name: str) -> DataFrame:
     """``pulls`` plus the ordered array ``name``; only children of these pull requests are moved."""
     wanted = children.join(pulls.select(*KEY), KEY, "left_semi")
+    return attach_gathered(pulls, wanted, value, name)
+
+
+def attach_gathered(pulls: DataFrame, wanted: DataFrame, value: Column, name: str) -> DataFrame:
+    """The same with children of these pull requests only."""
     return _with_arrays(pulls, ordered_per_pull(wanted, value, name))
 
 
@@ -183,13 +188,16 @@ def resolve_issues(links: DataFrame, issues: DataFrame, **skew) -> DataFrame:
     )
 
 
+def issue_block() -> Column:
+    return F.concat(F.lit("Issue #"), "issue", F.lit(":\n"), "issue_body")
+
+
 def attach_issue_blocks(pulls: DataFrame, resolved: DataFrame) -> DataFrame:
     """``linked_issue_bodies``: headed bodies in ascending issue order; empty array without any.
 
     ``resolved`` holds links of these pull requests only, so nothing is looked up among them first.
     """
-    block = F.concat(F.lit("Issue #"), "issue", F.lit(":\n"), "issue_body")
     blocks = resolved.select(
-        *KEY, F.struct(F.length("issue").alias("n"), F.col("issue")).alias("pos"), block.alias("block")
+        *KEY, F.struct(F.length("issue").alias("n"), F.col("issue")).alias("pos"), issue_block().alias("block")
     )
     return _with_arrays(pulls, ordered_per_pull(blocks, F.col("block"), "linked_issue_bodies"))

@@ -236,3 +236,59 @@ def test_staged_texts_are_packed_small(spark):
     rows = spark.range(2000).select(F.repeat(F.md5(F.col("id").cast("string")), 40).alias("diff")).coalesce(1)
     files = stage(rows, "packed").inputFiles()
     assert all(".zstd." in f for f in files)
+
+
+def unlimited(p):
+    return replace(p, collect=replace(p.collect, max_commits_per_repo=None, max_prs_per_repo=None))
+
+
+def test_messages_are_neither_staged_nor_exchanged_for_the_screen(exports, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(dataset, "stage", lambda df, name: staged.setdefault(name, df) and stage(df, name))
+    plan_run(exports, unlimited(pm.profile("default")))
+    assert not {"message_body", "author", "full_message"} & set(staged["screened"].columns)
+    plan = staged["screened"]._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join LeftOuter" in line)
+    assert "message_body" not in plan[plan.index(join) :].split("Project")[1]
+
+
+def test_counted_gates_equal_those_of_whole_contexts(exports, spark):
+    accepted = exports.pull_requests.transform(dataset.pull_source.normalise_pulls)
+    titles = spark.createDataFrame([("o/r", 7, "one two three", "<!-- x -->", DIFF, "u", [], WHEN, WHEN),
+                                    ("o/r", 8, None, None, DIFF, "u", [], WHEN, WHEN)], SCHEMAS["pull_requests"])
+    accepted = accepted.unionByName(titles.transform(dataset.pull_source.normalise_pulls))
+    resolved = dataset.resolved_issues(accepted, exports)
+    seen = set()
+    for least in (0, 1, 3, 4, 5, 10, 33, 34, 35, 36, 37, 38, 39, 40, 1000):
+        p = replace(pm.FilterParams(), min_issue_to_patch_words=least)
+        columns = ["repo", "number", "stage_failed", "reason"]
+        whole = dataset.patch_candidates(accepted, exports, p).select(columns)
+        got = dataset.patch_verdicts(accepted, resolved, p).select(columns)
+        rows = sorted(map(str, whole.collect()))
+        assert sorted(map(str, got.collect())) == rows
+        seen.add(tuple(rows))
+    assert len(seen) >= 4
+
+
+def test_texts_of_pull_requests_move_once_for_both_tasks(exports):
+    for output_format, text in (("alpaca", "input"), ("sharegpt", "conversations")):
+        p = unlimited(replace(pm.profile("default"), output_format=output_format))
+        both = plan_run(exports, p)
+        plan = both.all_records()._jdf.queryExecution().executedPlan().toString()
+        assert len([x for x in plan.splitlines() if "FileScan" in x and "diff#" in x]) == 1
+        single = [plan_run(exports, replace(p, task=t)).all_records() for t in ("pr_review", "issue_to_patch")]
+        wanted = sorted(map(str, single[0].union(single[1]).select("task", text, "_meta").collect()))
+        got = both.all_records().filter("task != 'commit_message'").select("task", text, "_meta")
+        assert wanted and sorted(map(str, got.collect())) == wanted
+
+
+def test_log_is_gathered_only_for_a_log(exports, monkeypatch):
+    staged = []
+    monkeypatch.setattr(dataset, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    outcome = plan_run(exports, unlimited(pm.profile("default")))
+    outcome.all_decisions().count()
+    assert not [name for name in staged if name.startswith("excluded")]
+    records = [json.loads(r.record) for r in outcome.excluded_log().collect()]
+    merge = next(r for r in records if r.get("sha") == "c5")
+    assert len(merge["files_changed"]) == 25 and merge["author"] == "Ann" and merge["parent_shas"] == ["p", "q"]
+    assert [name for name in staged if name.startswith("excluded")] == ["excluded-commits", "excluded-pulls"]
