@@ -560,10 +560,11 @@ def clean_dataset(spark, sf):
 def excluded_log(spark, sf):
     """The log's scalars and a digest of what its records hold: files, or diff and comments."""
     log = _run(spark, sf, "all").excluded_log()
-    record = lambda path: F.get_json_object("record", f"$.{path}")
+    # Parsed once: the records are most of the input again.
     content = F.from_json(
         "record",
-        "diff string, files_changed array<struct<filename:string,change_type:string,"
+        "sha string, number string, message_subject string, title string, diff string, "
+        "files_changed array<struct<filename:string,change_type:string,"
         "additions:bigint,deletions:bigint,diff:string>>, "
         "review_comments array<struct<path:string,diff_hunk:string,body:string,author:string>>",
     )
@@ -578,8 +579,8 @@ def excluded_log(spark, sf):
     return log.withColumn("c", content).select(
         "source",
         "repo",
-        F.coalesce(record("sha"), record("number")).alias("record_id"),
-        F.coalesce(record("message_subject"), record("title")).alias("headline"),
+        F.coalesce("c.sha", "c.number").alias("record_id"),
+        F.coalesce("c.message_subject", "c.title").alias("headline"),
         "stage_failed",
         "reason",
         F.md5(F.when(F.col("source") == "commit", files_text).otherwise(pull_text)).alias("content"),
