@@ -393,19 +393,26 @@ def _whole_commits(excluded: DataFrame, commits: DataFrame, files: DataFrame) ->
 
 
 def _whole_pulls(
-    excluded: DataFrame, pulls: DataFrame, comments: DataFrame | None, resolved: DataFrame | None
+    gated: DataFrame, verdicts: DataFrame | None, comments: DataFrame | None, resolved: DataFrame | None
 ) -> DataFrame:
     """Excluded pull requests as they are logged: with their comments and what was resolved of
-    their issues."""
-    key, excluded = pull_source.KEY, stage(excluded, "excluded-pulls")
-    rows = maybe_in(pulls.drop("stage_failed", "reason"), excluded.select(*key), key).join(excluded, key)
+    their issues. Rows of a repeated key come as often as ``gated`` has them."""
+    key = pull_source.KEY
+    rows = gated.filter(F.col("reason").isNotNull())
+    keys = rows.select(*key)
+    if verdicts is not None:
+        failed = stage(_excluded(verdicts, key).distinct(), "excluded-patches")
+        accepted = gated.filter(F.col("reason").isNull()).drop("stage_failed", "reason")
+        rows = rows.unionByName(maybe_in(accepted, failed, key).join(failed, key))
+        keys = keys.union(failed.select(*key))
     if comments is None:
         kind = "array<struct<path:string,diff_hunk:string,body:string,author:string>>"
         rows = rows.withColumn("review_comments", F.array().cast(kind))
     else:
+        keys = stage(keys.distinct(), "excluded-pulls")
         author = pull_source.comment_author(F.col("author")).alias("author")
         entry = F.struct("path", "diff_hunk", "body", author)
-        wanted = maybe_in(comments, excluded.select(*key), key).join(excluded.select(*key), key)
+        wanted = maybe_in(comments, keys, key).join(keys, key)
         rows = pull_source.attach_gathered(rows, wanted, entry, "review_comments")
     if resolved is not None:
         return pull_source.attach_issue_blocks(rows, resolved)
@@ -448,11 +455,10 @@ def _both_records(accepted: DataFrame, resolved: DataFrame, exports: Exports, ou
     return both.select(F.inline(F.array_compact(F.array("_review", "_patch"))))
 
 
-def _plan_pulls(out: Outcome, pulls: DataFrame, gated: DataFrame, exports: Exports, params: RunParams,
-                **skew) -> None:
+def _plan_pulls(out: Outcome, gated: DataFrame, exports: Exports, params: RunParams, **skew) -> None:
     accepted = gated.filter(F.col("reason").isNull())
     dropped = gated.filter(F.col("reason").isNotNull())
-    excluded, resolved = _excluded(gated, pull_source.KEY), None
+    verdicts = resolved = None
     out.decisions.append(_decision(dropped, "pr", "number", None, F.lit(None)))
     out.collected.append(gated.select("repo", F.lit("pr").alias("source")))
     if params.wants_reviews:
@@ -461,7 +467,6 @@ def _plan_pulls(out: Outcome, pulls: DataFrame, gated: DataFrame, exports: Expor
         resolved = resolved_issues(accepted, exports, **skew)
         verdicts = patch_verdicts(accepted, resolved, params.filter)
         out.decisions.append(_decision(verdicts, "pr", "number", "issue_to_patch", F.lit(1.0)))
-        excluded = excluded.unionByName(_excluded(verdicts, pull_source.KEY))
     if params.wants_reviews and params.wants_patches:
         out.records.append(_both_records(accepted, resolved, exports, out.output_format, params.filter))
     elif params.wants_reviews:
@@ -473,7 +478,7 @@ def _plan_pulls(out: Outcome, pulls: DataFrame, gated: DataFrame, exports: Expor
         passed = patches.filter(F.col("reason").isNull())
         out.record("issue_to_patch", formats.format_patches(passed, out.output_format))
     comments = exports.review_comments
-    out.exclude("pr", lambda: _whole_pulls(excluded, pulls, comments, resolved), _PULL_RECORD)
+    out.exclude("pr", lambda: _whole_pulls(gated, verdicts, comments, resolved), _PULL_RECORD)
 
 
 def plan_run(exports: Exports, params: RunParams, **skew) -> Outcome:
@@ -504,5 +509,5 @@ def plan_run(exports: Exports, params: RunParams, **skew) -> Outcome:
     if wants_pulls:
         # Texts stay where "pulls" has them: whoever counts reads no more than keys and verdicts.
         gated = apply_verdicts(pulls, verdicts, "number", "pr", "dedup:near_duplicate_pr")
-        _plan_pulls(out, pulls, gated, exports, params, **skew)
+        _plan_pulls(out, gated, exports, params, **skew)
     return out

@@ -291,4 +291,16 @@ def test_log_is_gathered_only_for_a_log(exports, monkeypatch):
     records = [json.loads(r.record) for r in outcome.excluded_log().collect()]
     merge = next(r for r in records if r.get("sha") == "c5")
     assert len(merge["files_changed"]) == 25 and merge["author"] == "Ann" and merge["parent_shas"] == ["p", "q"]
-    assert [name for name in staged if name.startswith("excluded")] == ["excluded-commits", "excluded-pulls"]
+    assert [name for name in staged if name.startswith("excluded")] == [
+        "excluded-commits", "excluded-patches", "excluded-pulls",
+    ]
+
+
+def test_log_of_repeated_keys_has_each_comment_once(exports):
+    p = unlimited(pm.profile("default"))
+    p = replace(p, filter=replace(p.filter, min_pr_body_words=1000))
+    twice = replace(exports, pull_requests=exports.pull_requests.union(exports.pull_requests))
+    logged = [r for r in plan_run(twice, p).excluded_log().collect() if r.source == "pr"]
+    assert len(logged) == plan_run(twice, p).all_decisions().filter("source = 'pr'").count() == 6
+    texts = [[c["body"] for c in json.loads(r.record)["review_comments"]] for r in logged]
+    assert sorted(texts) == [[]] * 4 + [["first", "second"]] * 2
