@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens over the bytes of every document.
 
-A text is encoded by both. In each batch the tokens of both sides stand in one frame of (document,
-first byte); ``pandas.merge_asof`` keyed by document finds for each token's start the other side's
-token that covers it, and the union of both directions is every pair of overlapping tokens. Bytes
-where tokens of both sides end cut the tokens into groups.
+A text is encoded by both. In each batch the documents' bytes follow one another on one axis and the
+tokens of both sides stand in one frame by first byte; ``pandas.merge_asof`` finds for each token's
+start the other side's token that covers it, and the union of both directions is every pair of
+overlapping tokens. Bytes where tokens of both sides end cut the tokens into groups.
 
 How many documents hold a pair of ids linked is a partially aggregated count over the documents'
 distinct pairs; it comes back to the documents by joins. The at most 4096 pairs that hold more than
@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from histloom.llm.common import by_value, stage
-from histloom.llm.pieces import LETTERS, SIGNS, SPACE, WHITE, Pieces, parts, per_worker, pieces
+from histloom.llm.pieces import LETTERS, SIGNS, SPACE, WHITE, Pieces, Remembered, parts, per_worker, pieces
 
 by_value(__name__)
 
@@ -41,9 +42,12 @@ SHAPE = (
 HOT_SHARE = 4096
 # Characters of texts aligned in one frame; a longer text stands alone.
 _FRAME = 1 << 19
-_REMEMBERED = 400_000
+# Words of a lot a worker remembers, and the longest of them.
+_REMEMBERED = 250_000
 _LONGEST = 64
 _WORD = f"[{WHITE}]*[{LETTERS}]++(?=[{WHITE}0-9{re.escape(SIGNS)}]|$)"
+# A word of letters with at most the one space before it that belongs to it.
+_PLAIN = re.compile(f" ?[{LETTERS}]+")
 _CHUNKS = re.compile(f"{_WORD}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
@@ -71,31 +75,49 @@ class ByteTokens:
         self._bytes = [b""] * (self._tokenizer.get_vocab_size() + 1)
         for name, i in names.items():
             self._bytes[i] = bytes(letters[c] for c in name)
-        self._seen: dict[str, bytes] = {}
+        self._seen = Remembered(_REMEMBERED)
+        # The tokenizer cuts nothing out of a word of letters: only the model's merges are left to do.
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        own = self._tokenizer.normalizer is None and not any(re.fullmatch(f"[ {LETTERS}]+", t) for t in added)
+        self._plain = _PLAIN if own else None
+        self._stands = {b: c for c, b in letters.items()}
 
     def token_bytes(self) -> list[bytes]:
         return self._bytes
 
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        if self._plain is None:
+            found = self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+            return [e.ids for e in found]
+        merge, stands, plain = self._tokenizer.model.tokenize, self._stands, self._plain.fullmatch
+        others = [c for c in chunks if not plain(c)]
+        found = self._tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        known = {c: e.ids for c, e in zip(others, found, strict=True)}
+        return [
+            known[c] if c in known
+            else [t.id for t in merge(c.encode().decode("latin-1").translate(stands))]
+            for c in chunks
+        ]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks, as bytes; those of usual length are remembered."""
+        long_: dict[str, bytes] = {}
+        get, seen = self._bytes.__getitem__, self._seen.young
+        for chunk, ids in zip(new, self._encoded(new), strict=True):
+            if b"".join(map(get, ids)) != chunk.encode():
+                raise ValueError(f"not a lossless byte-level tokenizer: {chunk!r}")
+            (seen if len(chunk) <= _LONGEST else long_)[chunk] = pack(f"<{len(ids)}i", *ids)
+        return long_
+
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         found = []
         for text in texts:
             ids = []
             for part in parts(text):
                 chunks = _CHUNKS.findall(part)
-                new = {c for c in chunks if c not in self._seen}
-                long_: dict[str, bytes] = {}
-                if new:
-                    if len(self._seen) + len(new) > _REMEMBERED:
-                        self._seen.clear()
-                        new = set(chunks)
-                    listed = list(new)
-                    encoded = self._tokenizer.encode_batch_fast(listed, add_special_tokens=False)
-                    for chunk, e in zip(listed, encoded, strict=True):
-                        if b"".join(map(self._bytes.__getitem__, e.ids)) != chunk.encode():
-                            raise ValueError(f"not a lossless byte-level tokenizer: {chunk!r}")
-                        kept = self._seen if len(chunk) <= _LONGEST else long_
-                        kept[chunk] = np.array(e.ids, dtype="<i4").tobytes()
-                seen = self._seen
+                new = self._seen.unknown(set(chunks))
+                long_ = self._learn(list(new)) if new else {}
+                seen = self._seen.young
                 get = (lambda c: long_.get(c) or seen[c]) if long_ else seen.__getitem__  # noqa: B023
                 ids.append(b"".join(map(get, chunks)))
             found.append(np.frombuffer(b"".join(ids), dtype="<i4"))
@@ -140,10 +162,12 @@ def _frame(ids: list[np.ndarray], lengths: np.ndarray) -> tuple[pd.DataFrame, np
 
 
 def _covering(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    """Number of the right token that covers each left token's start."""
-    found = pd.merge_asof(
-        left[["doc", "start"]], right[["doc", "start", "number"]], on="start", by="doc"
-    )
+    """Number of the right token that covers each left token's start.
+
+    On the axis of all bytes each document begins at the same place on both sides, so the last
+    token that starts no later is one of the same document; no key has to be looked up.
+    """
+    found = pd.merge_asof(left[["start"]], right[["start", "number"]], on="start")
     return found["number"].to_numpy(dtype=np.int64)
 
 

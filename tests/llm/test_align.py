@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from histloom.llm import align, queries
+from histloom.llm.pieces import Remembered
 
 PATH_A, PATH_B = queries.BYTES, queries.PIECES
 TOKENIZER = Tokenizer.from_file(PATH_A)
@@ -119,3 +120,25 @@ def test_registered_columns(spark, tmp_path):
     empty = got.filter(F.col("n_a") == 0).select("groups_sha256").distinct().collect()
     assert [r[0] for r in empty] == [""]
     assert public_tokenizers.path("byte_bpe_50k.json") == PATH_A
+
+
+def test_words_met_again_are_not_learnt_again(monkeypatch):
+    monkeypatch.setattr(align, "_REMEMBERED", 4)
+    own, learnt = align.ByteTokens(PATH_A), Counter()
+    encoded = own._encoded
+    monkeypatch.setattr(own, "_encoded", lambda words: learnt.update(words) or encoded(words))
+    texts = [f" often rare{n} of{n} them" for n in "abcdefgh"]
+    texts += [" naïve Ǆ x'll it's <|endoftext|> 日本  two\n of them"]
+    found = own.encode(texts)
+    assert [x.tolist() for x in found] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+    assert learnt[" often"] == 1
+
+
+def test_remembered_words_move_from_the_old_lot():
+    held = Remembered(3)
+    for n in range(6):
+        for word in held.unknown({"often", f"rare{n}"}):
+            assert word == f"rare{n}" or n == 0
+            held.young[word] = word.encode()
+        assert held.young["often"] == b"often" and len(held.young) <= 3
+    assert held.unknown({"rare0"}) == {"rare0"}
