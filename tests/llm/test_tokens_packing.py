@@ -1,5 +1,6 @@
+import os
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from histloom.llm import materialise, packing
+from histloom.llm.common import stage
 from histloom.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -114,3 +116,15 @@ def test_shards_read_back_exactly(spark, plain, tmp_path):
     empty = materialise.materialise(docs.filter("false"), str(tmp_path / "none"), PATH)
     assert empty.count() == 0
     assert materialise.read_shards(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_staged_ids_hold_copies_further_apart_than_a_usual_page_once(spark, tmp_path):
+    bodies = np.random.default_rng(1).integers(0, 256, (2_000, 1_024), dtype=np.uint8)
+    rows = [(bytearray(b.tobytes()),) for b in bodies] * 2
+    df = spark.createDataFrame(rows, "ids binary").coalesce(1)
+    size = {}
+    for name, options in (("plain", {}), ("tight", materialise.TIGHT)):
+        staged = stage(df, name, "zstd", options)
+        assert Counter(staged.collect()) == Counter(df.collect())
+        size[name] = sum(os.path.getsize(f.removeprefix("file:")) for f in staged.inputFiles())
+    assert size["tight"] < 0.75 * size["plain"]
