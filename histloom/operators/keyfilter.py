@@ -69,6 +69,14 @@ def maybe_in(rows: DataFrame, keys: DataFrame, on: list[str], most: int = MAX_BI
     return _marked(rows, keys, on, n, most).filter("_found").drop("_found")
 
 
+def marked(rows: DataFrame, keys: DataFrame, on: list[str], mark: str, most: int = MAX_BITS) -> DataFrame:
+    """``rows`` with ``mark``: may the key be among ``keys``? The rows that ``maybe_in`` keeps."""
+    n = keys.count()
+    if n >= most:
+        return rows.withColumn(mark, F.lit(True))
+    return _marked(rows, keys, on, n, most).withColumnRenamed("_found", mark)
+
+
 def surely_out(rows: DataFrame, keys: DataFrame, on: list[str], most: int = MAX_BITS) -> DataFrame:
     """The rows that ``maybe_in`` leaves out."""
     n = keys.count()
