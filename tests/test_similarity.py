@@ -181,3 +181,11 @@ def test_sketches_and_table_of_levels_count_no_similar_pair_out():
         [pa.array([[5, 7], [5], [7 + (1 << 15)], [9, -1]], pa.list_(pa.int64()))], ["tokens"])]))))
     table = prefixes.level_table([(r["piece"], r["levels"]) for b in levels for r in b.to_pylist()], 15)
     assert [table[i] for i in (5, 7, 9, 11, (1 << 15) - 1)] == [6, 6, 1, 0, 1]
+
+
+def test_pairs_without_an_earlier_witness_are_left_out(spark):
+    rows = [(1, 10, 1, 1), (2, 20, None, 2), (3, 30, 3, 9), (4, 40, None, 4)]
+    sets = spark.createDataFrame(rows, "id bigint, digest bigint, kept bigint, last bigint")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)], "id bigint, other bigint")
+    found = {(r["id"], r["other"]): (r["for1"], r["for2"]) for r in similarity.useful(sets, pairs).collect()}
+    assert found == {(1, 2): (False, True), (1, 3): (False, True), (3, 4): (False, True)}
