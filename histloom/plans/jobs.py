@@ -88,7 +88,9 @@ def _run(
         records = stage(outcome.all_records(), "records")
         outputs.write(DATASET_WITH_META, lambda: records.drop("task"))
         outputs.write(DATASET, lambda: clean(records))
-        outputs.write(EXCLUDED_LOG, lambda: outcome.excluded_lines(logged_at), text=True)
+        # Made in any case: a run that goes on must count the steps that this stages.
+        log = outcome.excluded_lines(logged_at)
+        outputs.write(EXCLUDED_LOG, lambda: log, text=True)
     repos = report.repos_processed(outcome.all_collected(), selected)
     ended = time.time()
     finished_at = F.lit(time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime(ended)))
